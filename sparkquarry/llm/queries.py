@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, tokenfile, topk
+from . import bpe, chat, mixing, tokenfile, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.normalise(warc.write(table(spark, sf_dir, "pages"))))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents")))
 
@@ -52,4 +56,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_inner_products": OP7_SQL, "op8_chat_windows": chat.SQL}
+    return {"op3_warc_round_trip": warc.SQL, "op7_top_inner_products": OP7_SQL, "op8_chat_windows": chat.SQL}

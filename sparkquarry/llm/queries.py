@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, tokenfile, topk, warc
+from . import bpe, chat, linededup, mixing, tokenfile, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -56,4 +60,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_round_trip": warc.SQL, "op7_top_inner_products": OP7_SQL, "op8_chat_windows": chat.SQL}
+    return {"op3_warc_round_trip": warc.SQL, "op6_line_dedup": linededup.SQL, "op7_top_inner_products": OP7_SQL, "op8_chat_windows": chat.SQL}

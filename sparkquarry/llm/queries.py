@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, linededup, mixing, tokenfile, topk, warc
+from . import bpe, chat, linededup, minhash, mixing, tokenfile, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.normalise(warc.write(table(spark, sf_dir, "pages"))))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents")))
 

@@ -45,7 +45,8 @@ def permuted(x: str, n: str, key: str, rounds: int = ROUNDS) -> Column:
 
 def placed(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, start): each document's words and where they begin in its source's stream."""
-    sized = columns_of(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # written first: the running sums below read it twice, and texts are not counted twice
+    sized = written(columns_of(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     return written(running_start(sized, ["source"], [F.col("doc_id"), F.col("size")], id_bucket("doc_id", BUCKETS), "size", "start"))
 
 
@@ -100,7 +101,8 @@ def mix(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame
         F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)).alias("word_from"),
         F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")).alias("word_to"),
     )
-    return slots(sources, seed).join(pieces, ["rank", "block"]), at, sources
+    # both sides grow with the data, though one comes from a small table: never broadcast
+    return slots(sources, seed).hint("merge").join(pieces.hint("merge"), ["rank", "block"]), at, sources
 
 
 def taken(docs: DataFrame, seed: int = 1) -> DataFrame:

@@ -55,8 +55,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = occ.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = occ.join(first, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(~place.eqNullSafe(F.col("_first")))
     covered = later.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    d = _lined(columns_of(docs, *DOC_COLUMNS))
-    d = d.join(covered, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
+    # texts cross the shuffle, their lines are split after it
+    d = columns_of(docs, *DOC_COLUMNS).withColumn("_key", F.xxhash64("text"))
+    d = _lined(d.join(covered, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left"))
     kept = F.expr("array_except(sequence(0, size(lines) - 1), flatten(transform(runs, r -> sequence(r.a, r.b))))")
     d = d.withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))

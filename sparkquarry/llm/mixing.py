@@ -131,3 +131,40 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     some = F.ltrim(F.concat_ws("", F.flatten(F.transform("pieces", lambda p: F.slice("_words", (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int"))))))
     d = d.withColumn("text", F.when(F.expr("aggregate(pieces, 0L, (n, p) -> n + p.word_to - p.word_from)") == F.size("_words"), F.col("text")).otherwise(some))
     return d.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def _sql_hash(z: str) -> str:
+    return f"(((({z}) % 2147483647) * (({z}) % 2147483647) % 2147483647 * 48271 + ({z}) % 2147483647) % 2147483647)"
+
+
+def _sql_rounds(seed: int) -> str:
+    """CTEs p1, p2, ...: the rounds that take x, in 0..n-1, to its block."""
+    out, last = [], "p0"
+    for r in range(1, ROUNDS + 1):
+        out.append(f"h{r} AS (SELECT *, {_sql_hash(f'(rank * 104729 + epoch * 1299709 + {seed}) % 2147483647 + {7919 * r}')} AS h FROM {last})")
+        out.append(f"y{r} AS (SELECT *, (h % blocks + blocks - x) % blocks AS y FROM h{r})")
+        bit = _sql_hash("greatest(x, y) + h")
+        out.append(f"p{r} AS (SELECT rank, blocks, epoch, CASE WHEN {bit} // 1024 % 2 = 1 THEN y ELSE x END AS x FROM y{r})")
+        last = f"p{r}"
+    return ", ".join(out)
+
+
+SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    coalesce((((doc_id % 2147483647) + 2147483647) % 2147483647 * 48271 % 2147483647) % {BUCKETS}, 0) AS b
+  FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, [{', '.join(f'{float(x)}' for x in WEIGHTS)}][rank % {len(WEIGHTS)} + 1]::DOUBLE AS w, (source_size * {float(MOST)})::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM w),
+t AS (SELECT *, coalesce(least(cap, max(CASE WHEN cap / w > lvl THEN lvl END) OVER () * w), 0.0)::DOUBLE AS target, ceil(source_size / {BLOCK}.0)::BIGINT AS blocks FROM l),
+k AS (SELECT *, (CASE WHEN source_size > 0 THEN least(floor({MOST} * blocks), floor(target * blocks / source_size + 0.5)) ELSE 0 END)::BIGINT AS tickets FROM t),
+p0 AS (SELECT rank, blocks, i // blocks AS epoch, i % blocks AS x FROM (SELECT rank, blocks, unnest(generate_series(0, tickets - 1)) AS i FROM k WHERE tickets > 0)),
+{_sql_rounds(1)},
+n AS (SELECT rank, x AS block, count(*) AS times FROM p{ROUNDS} GROUP BY rank, x),
+a AS (SELECT d.doc_id, d.size, k.rank, k.source_size, k.target, row_number() OVER () AS row,
+  coalesce(sum(d.size) OVER (PARTITION BY k.rank ORDER BY d.b, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+c AS (SELECT row, rank, start, size, unnest(generate_series(start // {BLOCK}, (start + size - 1) // {BLOCK})) AS block FROM a WHERE size > 0),
+g AS (SELECT c.row, sum(n.times * (least((c.block + 1) * {BLOCK}, c.start + c.size) - greatest(c.block * {BLOCK}, c.start)))::BIGINT AS taken FROM c JOIN n ON c.rank = n.rank AND c.block = n.block GROUP BY c.row)
+SELECT a.doc_id, a.size, a.source_size, a.target, coalesce(g.taken, 0)::BIGINT AS taken FROM a LEFT JOIN g ON a.row = g.row
+"""

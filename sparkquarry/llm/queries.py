@@ -72,4 +72,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_round_trip": warc.SQL, "op6_line_dedup": linededup.SQL, "op7_top_inner_products": OP7_SQL, "op8_chat_windows": chat.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op3_warc_round_trip": warc.SQL, "op6_line_dedup": linededup.SQL, "op7_top_inner_products": OP7_SQL, "op8_chat_windows": chat.SQL}

@@ -10,9 +10,10 @@ Groups of copies never become all their pairs:
 2. in each bucket every class is a candidate with the bucket's hub only, the class that shares most with others overall
    (of a text and its many edited copies that is the text); candidates are confirmed on their full sets;
 3. links so far give components; only buckets that still hold several components go on, and there only classes of
-   different components are candidates, in buckets of over SMALL classes only if they share a second band as well
-   (whole passages in common fill one bucket, hardly two; a pair at 0.75 or more that shares exactly one band has
-   probability below 3e-4).
+   different components are candidates, if they share a second band (a pair at 0.75 shares fewer with probability 3e-4,
+   while a passage in common fills one bucket, hardly two), if their sizes allow the link, and if at most DIFFER of the 200 values
+   differ, seen by a byte of each (at 0.75 it is 50; 67 is 2.8 deviations more).  Buckets of over LARGE classes are parted by the second
+   band first.
 All steps are grouped aggregates and equi-joins on buckets or documents; hot keys are split by adaptive execution.
 
 Defined results: null or empty texts have no shingles, are linked with nothing and kept; fewer words than a shingle are
@@ -24,13 +25,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, components, written
 
-#: Words of a shingle, link threshold in per cent, permutations, bands and values in each, largest bucket paired at once.
-WORDS, PERCENT, PERMUTATIONS, BANDS, ROWS, SMALL = 5, 75, 100, 40, 5, 24
+#: Words of a shingle, link threshold in per cent, permutations, bands and values in each, largest bucket paired at once,
+#: most of the 200 values that may differ.
+WORDS, PERCENT, PERMUTATIONS, BANDS, ROWS, LARGE, DIFFER = 5, 75, 100, 40, 5, 2048, 67
 
 _RNG = np.random.default_rng(20240101)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,24 +77,45 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(sig.reshape(BANDS, ROWS)) * _ROW).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
+SIGN_WORDS = -(-2 * PERMUTATIONS // 8)
+
+
+def sign_bytes(sig: np.ndarray) -> np.ndarray:
+    """A byte of each value, in 64-bit words."""
+    some = (sig >> np.uint64(20) & np.uint64(255)).astype(np.uint8)
+    return np.frombuffer(some.tobytes() + bytes(-len(some) % 8), np.int64)
+
+
+def differing() -> Column:
+    """How many bytes of signs and signs_b differ: each byte's bits fold into its lowest."""
+    folded = "zip_with(signs, signs_b, (x, y) -> x ^ y)"
+    for n in (1, 2, 4):
+        folded = f"transform({folded}, z -> z | shiftrightunsigned(z, {n}))"
+    return F.expr(f"aggregate({folded}, 0, (n, z) -> n + bit_count(z & {0x0101010101010101}L))")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, and its bands, of each row."""
+    """doc_id, n_shingles, two hashes of the set, its bands and its sign bytes, of each row."""
 
     def run(batches):
         for b in batches:
-            n, h1, h2, bands, ends = [], [], [], [], [0]
+            n, h1, h2, bands, bits, ends = [], [], [], [], [], [0]
             for text in b.column("text").to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 h1.append(int(_mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 h2.append(int((_mixed(s + np.uint64(1)) ^ s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 if len(s):
-                    bands.append(band_keys(signature(s)))
+                    sig = signature(s)
+                    bands.append(band_keys(sig))
+                    bits.append(sign_bytes(sig))
                 ends.append(ends[-1] + BANDS * bool(len(s)))
-            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), keys], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+            join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), join(bands))
+            signs = pa.ListArray.from_arrays(pa.array(np.array(ends) // BANDS * SIGN_WORDS, pa.int32()), join(bits))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), keys, signs], ["doc_id", "n_shingles", "h1", "h2", "bands", "signs"])
 
-    return columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, signs array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -116,7 +139,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed pairs (a, b) that connect what is connected. classes: rep, bands."""
+    """Confirmed pairs (a, b) that connect what is connected. classes: rep, bands, and signs and n where rep is one set."""
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(shared, "key"))
@@ -131,15 +154,21 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     at = components(first)
     members = members.join(at, F.col("rep") == F.col("node"), "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    mixed = written(members.join(mixed, "key", "left_semi"))
-    large = mixed.where(F.col("n") > SMALL).join(classes.select("rep", "bands"), "rep")
-    large = large.select("rep", "comp", F.col("key").alias("_k"), F.explode("bands").alias("_b")).where("_k < _b")
-    # of the two shared bands the smaller key stands first, so each pair of bands is looked at once
-    large = large.select("rep", "comp", F.xxhash64("_k", "_b").alias("key"))
+    mixed = members.join(mixed, "key", "left_semi")
+    mixed = written(mixed.withColumnRenamed("n", "full").join(classes.select("rep", "bands", "signs", "n"), "rep"))
+    kept = ["key", "rep", "comp", "bands", "signs", "n"]
+    # in large buckets each two bands of a class are a key, of the two the smaller first, so they are looked at once
+    large = mixed.where(F.col("full") > LARGE).withColumn("_b", F.explode("bands")).where("key < _b").withColumn("key", F.xxhash64("key", "_b"))
     some = large.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    both = mixed.where(F.col("n") <= SMALL).select("rep", "comp", "key").union(large.join(some, "key", "left_semi").select("rep", "comp", "key"))
-    other = both.select(F.col("key"), F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-    more = both.withColumnRenamed("rep", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
+    both = mixed.where(F.col("full") <= LARGE).select(*kept).withColumn("parted", F.lit(False)).union(large.join(some, "key", "left_semi").select(*kept).withColumn("parted", F.lit(True)))
+    other = both.select("key", *[F.col(c).alias(f"{c}_b") for c in kept[1:]])
+    shared = F.array_intersect("bands", "bands_b")
+    may = (F.col("rep") < F.col("rep_b")) & (F.col("comp") != F.col("comp_b"))
+    may = may & F.coalesce(100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"), F.lit(True))
+    # a pair comes once, from the smallest bucket key that it shares
+    may = may & (F.size(shared) > 1) & (F.col("parted") | (F.array_min(shared) == F.col("key"))) & F.coalesce(differing() <= DIFFER, F.lit(True))
+    more = both.join(other.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & may)
+    more = more.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(seen, ["a", "b"], "left_anti"))
     return first.union(confirmed(more, texts))
@@ -148,8 +177,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     rows = written(sketches(docs))
-    classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    found = written(links(docs, classes.groupBy("rep").agg(F.flatten(F.collect_list("bands")).alias("bands"))))
+    classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signs").alias("signs")))
+    one = F.count("*") == 1
+    by_rep = classes.groupBy("rep").agg(F.flatten(F.collect_list("bands")).alias("bands"), F.when(one, F.first("signs")).alias("signs"), F.when(one, F.first("n")).alias("n"))
+    found = written(links(docs, written(by_rep)))
     # rows that share a doc_id but not their text tie their classes together
     same = rows.where("n_shingles > 0 and doc_id is not null").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     again = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("b"))

@@ -54,11 +54,11 @@ class PieceTable:
         table = self.table
         new = list(set().union(*texts).difference(table))
         table.update(zip(new, self.encode([piece_of(k) for k in new]), strict=True))
-        for keys in texts:
-            yield [table[k] for k in keys]
+        values = [[table[k] for k in keys] for keys in texts]
         kept = max(0, self.kept - (len(table) - len(new)))
         for k in new:
             if kept and len(k) <= LONGEST:
                 kept -= 1
             else:
                 del table[k]
+        yield from values

@@ -17,9 +17,11 @@ stand side by side, ordered by text; an empty table has an empty manifest; other
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from .pieces import PieceTable
 MAGIC, HEAD = b"WVMX0001", struct.Struct("<8sQQIQQQ")
 #: Ids in a shard (a longer document is a shard of its own), bits between counts of ones, doc_id of null.
 SHARD_IDS, STEP, NO_ID = 1 << 21, 512, -(1 << 63)
+#: Pieces that a worker keeps.
+KEPT = 800_000
 
 
 class Shard:
@@ -146,13 +150,19 @@ class LibraryCodec:
     """Ids of texts by the tokenizers library, each distinct piece encoded once (see pieces)."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = PieceTable(lambda new: [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        self.pieces = PieceTable(lambda new: self._new(new), KEPT)
+
+    def _new(self, pieces: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(pieces), 4096):
+            for e in self.library.encode_batch_fast(pieces[k : k + 4096], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""

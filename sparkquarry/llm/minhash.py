@@ -11,9 +11,9 @@ Groups of copies never become all their pairs:
    (of a text and its many edited copies that is the text); candidates are confirmed on their full sets;
 3. links so far give components; only buckets that still hold several components go on, and there only classes of
    different components are candidates, if they share a second band (a pair at 0.75 shares fewer with probability 3e-4,
-   while a passage in common fills one bucket, hardly two), if their sizes allow the link, and if at most DIFFER of the 200 values
-   differ, seen by a byte of each (at 0.75 it is 50; 67 is 2.8 deviations more).  Buckets of over LARGE classes are parted by the second
-   band first.
+   while a passage in common fills one bucket, hardly two), if their sizes allow the link, and if at most DIFFER of the
+   200 values differ, seen by a byte of each (at 0.75 it is 50; 72 is 3.6 deviations more, probability 2e-4).  Buckets
+   of over LARGE classes are parted by the second band first.
 All steps are grouped aggregates and equi-joins on buckets or documents; hot keys are split by adaptive execution.
 
 Defined results: null or empty texts have no shingles, are linked with nothing and kept; fewer words than a shingle are
@@ -32,7 +32,7 @@ from .common import columns_of, components, written
 
 #: Words of a shingle, link threshold in per cent, permutations, bands and values in each, largest bucket paired at once,
 #: most of the 200 values that may differ.
-WORDS, PERCENT, PERMUTATIONS, BANDS, ROWS, LARGE, DIFFER = 5, 75, 100, 40, 5, 2048, 67
+WORDS, PERCENT, PERMUTATIONS, BANDS, ROWS, LARGE, DIFFER = 5, 75, 100, 40, 5, 2048, 72
 
 _RNG = np.random.default_rng(20240101)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

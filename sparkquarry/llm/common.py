@@ -69,12 +69,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node that links reach, for all nodes of ``edges`` (a, b).
 
     Alternates large stars and small stars (Kiveris et al. 2014): each step is a grouped minimum and a join on
-    the node, edges stay linear in number, and each round is a written table.
+    the node, edges stay linear in number, and each round is a written table.  It ends when all that is left are stars.
     """
-    spark = edges.sparkSession
     now = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
-    before = None
     for _ in range(rounds):
+        if _stars(now):
+            break
         both = now.union(now.select("lo", "hi"))
         least = both.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m")).select("n", F.least("n", "m").alias("m"))
         large = both.where("lo > hi").join(least, both.hi == least.n).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -87,16 +87,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .where("hi <> lo")
             .distinct()
         )
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if not _stars(now):
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return nodes.union(nodes.select(F.col("component"), F.col("component")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node of (hi, lo) is either a centre or tied to one centre only."""
+    ends = edges.select(F.col("hi").alias("n"), "lo").union(edges.select("lo", F.lit(None).cast("long")))
+    odd = ends.groupBy("n").agg(F.min("lo").alias("m"), F.max("lo").alias("x"), F.count("lo").alias("up"), F.count("*").alias("all"))
+    return odd.where("up > 0 and (m <> x or up < all)").limit(1).count() == 0
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: others, whatever they are called, take no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])

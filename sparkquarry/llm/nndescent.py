@@ -1,16 +1,18 @@
 """Near-duplicate embeddings by NN-descent: a neighbour graph refined by neighbours-of-neighbours joins.
 
 1. Vectors are normalised in double precision.  Equal vectors are one class, represented by the smallest vec_id.
-2. The first graph comes from TABLES random-hyperplane tables: in each, vectors of one bucket, ordered by one more
-   projection, are neighbours of those next to them.  Buckets hold some vectors on average whatever the number of rows;
-   larger ones are cut into parts by a hash that differs between tables.
+2. The first graph comes from random-hyperplane tables.  Buckets hold some vectors on average whatever the number of
+   rows, so a pair is parted more often the more rows there are: the number of tables grows such that a pair at THRESHOLD
+   meets in none of them with probability MISS at most.  All that share a bucket are compared; large buckets in blocks.
 3. In each round every vector brings its neighbours and those that have it as a neighbour together: all that meet are
    compared in numpy, and pairs that beat the weakest entry of a list enter it.
-4. A list that is full of links (cosine >= THRESHOLD) is saturated: its true list is longer than any fixed length.  It
-   is enlarged to the whole component that links span so far: components are compared in blocks of bounded size, which
-   yields counts of links, not pairs.
-5. An audit takes AUDITED vectors, picked by a hash, compares them with all rows, and measures which share of their
-   true links the graph's components hold; below GOAL more tables and rounds follow.
+4. Lists are cut at LIST entries, links (cosine >= THRESHOLD) are not: whatever is compared in steps 2 and 3 gives, beside
+   list entries, a forest that spans its links.  So a saturated list, whose true list is longer than any fixed length,
+   loses no tie to another group.  Counts of links come from comparing whole components in blocks of bounded size.
+5. An audit takes vectors picked by a hash, compares them with all rows, and measures which share of their true links the
+   components hold, over all that have links and over those with few; each vector weighs the same.  It takes more until
+   SEEN vectors with few links were met, all rows taken, or VALUES reached.  Below GOAL more tables and rounds follow,
+   after ATTEMPTS a comparison of all rows in blocks.
 Components come from links by grouped minima and joins (see common.components).
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept;
@@ -28,10 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, components, written
 
-#: Cosine of a link; entries of a list; tables of a round; neighbours on each side in a bucket; vectors in a bucket.
+#: Cosine of a link; entries of a list; tables that give list entries; entries from a bucket; vectors in a bucket.
 THRESHOLD, LIST, TABLES, BESIDE, BUCKET = 0.95, 10, 6, 4, 16
 #: Largest part of a bucket, rounds of refinement, vectors audited, recall to reach, most enlargements, vectors in a block.
 PART, ROUNDS, AUDITED, GOAL, ATTEMPTS, BLOCK = 1024, 2, 200, 0.98, 4, 1024
+#: Most that tables may miss at THRESHOLD; vectors with few links that an audit needs; most numbers in its sample.
+MISS, SEEN, VALUES = 0.01, 50, 1_000_000
+#: What rounding to single precision changes in a cosine, at most; kinds of rows that comparisons yield.
+ROUNDED, ENTRY, LINK, DOUBTFUL = 2e-7, 0, 1, 2
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -51,31 +57,111 @@ def _rows(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def tables(classes: DataFrame, rows: int, attempt: int) -> DataFrame:
-    """Neighbours (a, b) by random hyperplanes. classes: id, v."""
+def planned(rows: int) -> tuple[int, int]:
+    """Hyperplanes of a table and the number of tables for so many rows."""
     bits = max(1, int(np.log2(max(2, rows / BUCKET))))
+    meet = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    return bits, max(TABLES, int(np.ceil(np.log(MISS) / np.log(1 - meet))))
+
+
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p, q) of edges that join what the symmetric matrix joins: all of its pairs if they are few."""
+    p, q = np.nonzero(np.triu(near, 1))
+    if len(p) <= 2 * len(near):
+        return p, q
+    roots, leaves, pending = [], [], near.any(1)
+    while pending.any():
+        root = int(np.argmax(pending))
+        seen = np.zeros(len(near), bool)
+        seen[root], front = True, np.array([root])
+        while len(front):
+            new = near[front].any(0) & ~seen
+            seen |= new
+            front = np.flatnonzero(new)
+        pending &= ~seen
+        seen[root] = False
+        leaves.append(np.flatnonzero(seen))
+        roots.append(np.full(len(leaves[-1]), root))
+    return np.concatenate(roots), np.concatenate(leaves)
+
+
+def compared(ids: np.ndarray, v: np.ndarray, i: np.ndarray, p: int, q: int, entries: bool):
+    """(a, b, s, kind) of one bucket, or of its blocks p and q: BESIDE best of each vector, links, pairs too close to say."""
+    left, right = (np.flatnonzero(i == p), np.flatnonzero(i == q)) if p != q else (slice(None), slice(None))
+    s = np.full((len(ids), len(ids)), -2.0)
+    if p == q:
+        s = v @ v.T
+        np.fill_diagonal(s, -2.0)
+    else:
+        s[np.ix_(left, right)] = v[left] @ v[right].T
+        s = np.maximum(s, s.T)
+    out = []
+    if s.max(initial=-2.0) >= THRESHOLD - ROUNDED:
+        sure = s >= THRESHOLD + ROUNDED
+        out += [(*forest(sure), LINK), (*np.nonzero(np.triu((s >= THRESHOLD - ROUNDED) & ~sure, 1)), DOUBTFUL)]
+    if entries and p == q:
+        best = np.ones(s.shape, bool)
+        if len(ids) > BESIDE + 1:
+            best[:] = False
+            np.put_along_axis(best, np.argpartition(s, -BESIDE, axis=1)[:, -BESIDE:], True, axis=1)
+        out.append((*np.nonzero(np.triu(best | best.T, 1)), ENTRY))
+    return [(np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), s[x, y], np.full(len(x), kind, np.int32)) for x, y, kind in out if len(x)]
+
+
+def tables(classes: DataFrame, bits: int, number: int, attempt: int) -> DataFrame:
+    """(a, b, s, kind) from comparing all that share a bucket of random hyperplanes; bits = 0: all with all.
+
+    classes: id, v.
+    """
+
+    def keyed(carry: bool):
+        def run(batches):
+            planes: dict[int, np.ndarray] = {}
+            weights = (1 << np.arange(bits)).astype(np.int64)
+            for b in batches:
+                widths = np.diff(b.column("v").offsets.to_numpy())
+                for width in np.unique(widths):
+                    part = b.filter(pa.array(widths == width))
+                    if width not in planes:
+                        planes[width] = np.random.default_rng([attempt, int(width)]).standard_normal((int(width), number * bits))
+                    keys = (((_rows(part.column("v")) @ planes[width]).reshape(len(part), number, bits)) > 0) @ weights
+                    v = part.column("v").cast(pa.list_(pa.float32())) if carry else None
+                    for t in range(number):
+                        own = [pa.array(np.full(len(part), t, np.int32)), pa.array(np.full(len(part), width, np.int32)), pa.array(keys[:, t].astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays([part.column("id"), *own, *([v] if carry else [])], ["id", "t", "w", "key", *(["v"] if carry else [])])
+
+        return classes.select("id", "v").mapInArrow(run, "id long, t int, w int, key long" + ", v array<float>" * carry)
 
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(bits)
+        rest = None
         for b in batches:
-            widths = np.diff(b.column("v").offsets.to_numpy())
-            for width in np.unique(widths):
-                part = b.filter(pa.array(widths == width))
-                if width not in planes:
-                    planes[width] = np.random.default_rng([attempt, int(width)]).standard_normal((int(width), TABLES * (bits + 1)))
-                p = (_rows(part.column("v")) @ planes[width]).reshape(len(part), TABLES, bits + 1)
-                keys = (p[:, :, :bits] > 0) @ weights
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.full(len(part), t, np.int32)), pa.array(keys[:, t].astype(np.int64) << 12 | int(width) & 4095), pa.array(p[:, t, bits])], ["id", "t", "key", "x"])
-
-    k = written(classes.select("id", "v").mapInArrow(run, "id long, t int, key long, x double"))
-    full = k.groupBy("t", "key").agg(F.count("*").alias("n"))
-    k = k.join(full, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("t", "id"), F.ceil(F.col("n") / PART)))
-    w = Window.partitionBy("t", "key", "part").orderBy("x", "id")
-    beside = F.array(*[F.lead("id", i).over(w) for i in range(1, BESIDE + 1)])
-    k = k.withColumn("beside", beside).select(F.col("id").alias("a"), F.explode(F.filter("beside", lambda x: x.isNotNull())).alias("b"))
-    return k.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            b = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            marks = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("t", "w", "key", "p", "q")])
+            starts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
+            last = int(starts[-1]) if len(starts) else 0
+            yield from found(b.slice(0, last), np.concatenate([[0], starts]).tolist(), marks)
+            rest = b.slice(last)
+        if rest is not None:
+            yield from found(rest, [0, len(rest)], np.stack([rest.column(c).to_numpy().astype(np.int64) for c in ("t", "w", "key", "p", "q")]))
+
+    def found(b, starts, marks):
+        if not len(b):
+            return
+        ids, i, flat, offsets = b.column("id").to_numpy(), b.column("i").to_numpy(), b.column("v").flatten().to_numpy(), b.column("v").offsets.to_numpy()
+        out = []
+        for x, y in zip(starts[:-1], starts[1:], strict=True):
+            if y - x > 1:
+                t, w, _, p, q = marks[:, x].tolist()
+                at = int(offsets[x] - offsets[0])
+                out += compared(ids[x:y], flat[at : at + w * (y - x)].reshape(-1, w).astype(float), i[x:y], p, q, bits > 0 and t < TABLES)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "s", "kind"])
+
+    key = ["t", "w", "key"]
+    large = written(keyed(False).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > PART).withColumn("blocks", F.ceil(F.col("n") / PART).cast("long")).drop("n"))
+    k = keyed(True).join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    k = k.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(*key, F.least("i", "with").alias("p"), F.greatest("i", "with").alias("q"), "i", "id", "v")
+    return k.repartition(*key, "p", "q").sortWithinPartitions(*key, "p", "q").mapInArrow(run, "a long, b long, s double, kind int")
 
 
 def similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -100,7 +186,7 @@ def lists(edges: DataFrame) -> DataFrame:
 
 
 def refined(graph: DataFrame, classes: DataFrame) -> DataFrame:
-    """New pairs (a, b, s) from one neighbours-of-neighbours join over lists (a, b, s)."""
+    """(a, b, s, kind) from one neighbours-of-neighbours join over lists (a, b, s): new entries, and links that lists may cut."""
     weakest = graph.groupBy("a").agg(F.min("s").alias("low"), F.count("*").alias("n")).select(F.col("a").alias("id"), F.when(F.col("n") >= LIST, F.col("low")).otherwise(-2.0).alias("low"))
     carried = classes.select("id", "v").join(weakest, "id")
     # a meets its own list and those that list it; the latter are parted where many do, so no meeting is unbounded
@@ -124,13 +210,16 @@ def refined(graph: DataFrame, classes: DataFrame) -> DataFrame:
                     m = values[first[i[0]] : first[i[0]] + w * len(i)].reshape(-1, w) if len(i) == end - begin else np.stack([values[f : f + w] for f in first[i]])
                     s = m @ m.T
                     p, q = np.nonzero(np.triu(s > np.minimum(low[i][:, None], low[i][None, :]), 1))
-                    a, b = x[i[p]], x[i[q]]
-                    out.append((np.minimum(a, b), np.maximum(a, b), s[p, q]))
+                    near = s >= THRESHOLD
+                    np.fill_diagonal(near, False)
+                    for (p, q), kind in (((p, q), ENTRY), (forest(near), LINK)):
+                        a, b = x[i[p]], x[i[q]]
+                        out.append((np.minimum(a, b), np.maximum(a, b), s[p, q], np.full(len(p), kind, np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "s", "kind"])
 
     groups = met.groupBy("at", "part").agg(F.collect_list(F.struct("id", "low", "v")).alias("m")).select(F.col("m.id").alias("ids"), F.col("m.low").alias("lows"), F.col("m.v").alias("vs"))
-    return groups.mapInArrow(run, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
+    return groups.mapInArrow(run, "a long, b long, s double, kind int").groupBy("a", "b", "kind").agg(F.max("s").alias("s"))
 
 
 def counted(classes: DataFrame, at: DataFrame) -> DataFrame:
@@ -161,30 +250,49 @@ def counted(classes: DataFrame, at: DataFrame) -> DataFrame:
     return m.groupBy("component", "p", "q").applyInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def audit(classes: DataFrame, at: DataFrame) -> tuple[float, int]:
-    """Share of the true links of a bounded sample that lie inside components, and how many there are."""
-    sample = classes.orderBy(F.xxhash64(F.lit("audit"), "id"), "id").limit(AUDITED)
-    own = sample.join(at, sample.id == at.node, "left").select("id", "v", F.coalesce("component", "id").alias("c")).collect()  # AUDITED rows
-    by_width: dict[int, list] = {}
-    for r in own:
-        by_width.setdefault(len(r.v), []).append(r)
-    have = {w: (np.array([r.v for r in rows]), np.array([r.id for r in rows]), np.array([r.c for r in rows])) for w, rows in by_width.items()}
+def audit(classes: DataFrame, at: DataFrame, rows: int) -> tuple[float, int]:
+    """Share of true links that lie inside components, and how many vectors with few links it rests on.
+
+    The mean over sampled vectors with links or over those with at most LIST links, whichever is lower.
+    """
+    placed = classes.join(at, classes.id == at.node, "left").select("id", "v", F.coalesce("component", "id").alias("c"))
+    most = max(AUDITED, VALUES // max(1, classes.agg(F.max(F.size("v"))).first()[0]))
+    size = AUDITED
+    while True:
+        share, few = measured(placed, min(size, most))
+        if few >= SEEN or size >= min(rows, most):
+            return share, few
+        size *= 8
+
+
+def measured(placed: DataFrame, size: int) -> tuple[float, int]:
+    """audit() by one sample of bounded size. placed: id, v, c."""
+    sample = placed.orderBy(F.xxhash64(F.lit("audit"), "id"), "id").limit(size).toArrow().combine_chunks()
+    widths = np.array([len(x) for x in sample.column("v")])
+    have = {}
+    for w in np.unique(widths).tolist():
+        own = sample.filter(pa.array(widths == w))
+        have[w] = (np.array(own.column("v").to_pylist()), own.column("id").to_numpy(), own.column("c").to_numpy())
 
     def run(batches):
         for b in batches:
             widths = np.diff(b.column("v").offsets.to_numpy())
-            true = held = 0
             for w, (x, ids, c) in have.items():
                 part = b.filter(pa.array(widths == w))
-                near = (_rows(part.column("v")) @ x.T >= THRESHOLD) if len(part) else np.zeros((0, len(x)), bool)
-                near &= part.column("id").to_numpy()[:, None] != ids[None, :]
-                true += int(near.sum())
-                held += int((near & (part.column("c").to_numpy()[:, None] == c[None, :])).sum())
-            yield pa.RecordBatch.from_pydict({"true": [true], "held": [held]})
-
-    rows = classes.join(at, classes.id == at.node, "left").select("id", "v", F.coalesce("component", "id").alias("c"))
-    true, held = rows.mapInArrow(run, "true long, held long").agg(F.sum("true"), F.sum("held")).first()
-    return (held / true if true else 1.0), true or 0
+                if not len(part):
+                    continue
+                m, mine, theirs = _rows(part.column("v")), part.column("id").to_numpy(), part.column("c").to_numpy()
+                for first in range(0, len(x), 512):
+                    of = slice(first, first + 512)
+                    near = (m @ x[of].T >= THRESHOLD) & (mine[:, None] != ids[of][None, :])
+                    true, held = near.sum(0), (near & (theirs[:, None] == c[of][None, :])).sum(0)
+                    some = np.flatnonzero(true)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[of][some]), pa.array(true[some].astype(np.int64)), pa.array(held[some].astype(np.int64))], ["id", "true", "held"])
+
+    each = placed.mapInArrow(run, "id long, true long, held long").groupBy("id").agg(F.sum("true").alias("true"), F.sum("held").alias("held"))
+    few = F.col("true") <= LIST
+    r = each.agg(F.avg(F.col("held") / F.col("true")), F.avg(F.when(few, F.col("held") / F.col("true"))), F.count(F.when(few, 1))).first()
+    return min(1.0 if x is None else x for x in r[:2]), r[2]
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -193,16 +301,23 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     v = written(prepared(vectors).groupBy("vec_id").agg(F.min("v").alias("v")))
     classes = written(v.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     rows = classes.count()
-    graph = at = None
+    graph = links = at = None
     if rows:
-        for attempt in range(ATTEMPTS):
-            fresh = similar(tables(classes, rows, attempt), classes)
-            graph = written(lists(fresh if graph is None else fresh.union(graph)))
-            for _ in range(ROUNDS):
-                graph = written(lists(graph.union(refined(graph, classes))))
-            at = components(graph.where(F.col("s") >= THRESHOLD).select("a", "b"))
-            recall, _ = audit(classes, at)
-            if recall >= GOAL:
+        for attempt in range(ATTEMPTS + 1):
+            whole = attempt == ATTEMPTS
+            fresh = written(tables(classes, *((0, 1) if whole else planned(rows)), attempt))
+            entries, sure = fresh.where(F.col("kind") == ENTRY).select("a", "b", "s"), fresh.where(F.col("kind") == LINK).select("a", "b")
+            doubtful = similar(fresh.where(F.col("kind") == DOUBTFUL).select("a", "b").distinct(), classes).where(F.col("s") >= THRESHOLD).select("a", "b")
+            new = sure.union(doubtful)
+            if not whole:
+                graph = written(lists(entries if graph is None else entries.union(graph)))
+                for _ in range(ROUNDS):
+                    fresh = written(refined(graph, classes))
+                    new = new.union(fresh.where(F.col("kind") == LINK).select("a", "b"))
+                    graph = written(lists(graph.union(fresh.where(F.col("kind") == ENTRY).select("a", "b", "s"))))
+            links = written((new if links is None else new.union(links)).distinct())
+            at = components(links)
+            if whole or audit(classes, at, rows)[0] >= GOAL:
                 break
         n = counted(classes, at)
         found = classes.join(n, "id", "left").join(at, F.col("id") == F.col("node"), "left")

@@ -275,6 +275,55 @@ def test_nn_descent(spark):
     assert nndescent.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
 
 
+def at_cosine(r, x, c):
+    """A unit vector at cosine c of the unit vector x."""
+    y = r.standard_normal(len(x))
+    y -= (y @ x) * x
+    return c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y)
+
+
+def test_nn_descent_isolated_pairs(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 800, 2):
+        x[i + 1] = at_cosine(r, x[i], 0.952)
+    got = {g.vec_id: g for g in nndescent.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    assert sum(got[i + 1].component_id == i for i in range(0, 800, 2)) >= 0.98 * 400
+
+
+def test_nn_descent_saturated_groups(spark):
+    r = np.random.default_rng(9)
+    x = r.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1] = at_cosine(r, x[0], 0.963)
+    x[100:130] = [at_cosine(r, x[0], 0.998) for _ in range(30)]
+    x[200:230] = [at_cosine(r, x[1], 0.998) for _ in range(30)]
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near[100:130, 200:230].mean() > 0.9 and near[100:130, 100:130].sum() == 870
+    got = {g.vec_id: g for g in nndescent.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    assert all(got[i].component_id == 0 and got[i].n_links == near[i].sum() for i in [0, 1, *range(100, 130), *range(200, 230)])
+
+
+@pytest.mark.parametrize("goal", [0.98, 2.0])
+def test_nn_descent_misses_are_mended(spark, monkeypatch, goal):
+    """One table of many hyperplanes finds next to nothing: the audit sees that although links are few, and all rows are compared."""
+    r = np.random.default_rng(10)
+    x = r.standard_normal((900, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 40, 2):
+        x[i + 1] = at_cosine(r, x[i], 0.955)
+    monkeypatch.setattr(nndescent, "planned", lambda rows: (40, 1))
+    monkeypatch.setattr(nndescent, "PART", 128)
+    monkeypatch.setattr(nndescent, "ATTEMPTS", 1)
+    monkeypatch.setattr(nndescent, "GOAL", goal)
+    got = {g.vec_id: g for g in nndescent.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    assert all(got[i + 1].component_id == i and got[i].n_links == 1 for i in range(0, 40, 2))
+
+
 # ---- chat
 
 def test_chat_windows(spark):

@@ -76,23 +76,29 @@ s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, q.label AS ql, list_dot_p
 """
 
 
-def _points(spark: SparkSession, d: str, kind: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def _points(spark: SparkSession, d: str, kind: Column | None = None, asked: str = "vec_id in (0, 1, 2)") -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
     kind = F.lit("pubmedbert") if kind is None else kind
     p = e.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("type"), F.array(F.concat(F.lit("a"), (F.col("label") % 3).cast("string"))).alias("answer_types"), F.concat(F.lit("s"), (F.col("label") % 2).cast("string")).alias("boost_section"), kind.alias("embedding_type"))
-    # three stated question vectors: the questions of the report
-    return e.where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("ql")), p
+    # by default three stated question vectors, which the SQL above asks too; WHOLE is the set of the whole job
+    return e.where(asked).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("ql")), p
+
+
+def _topk(q: DataFrame, p: DataFrame) -> DataFrame:
+    return search.search(q.withColumn("embedding_type", F.lit("pubmedbert")), p, 10).select("qid", "id", F.round("original_score", 4).alias("score"), "rank")
 
 
 @named(_TOP + "SELECT qid, id, round(c, 4) AS score, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) AS r FROM s) WHERE r <= 10")
 def vector_topk(spark, d):
-    q, p = _points(spark, d)
-    return search.search(q.withColumn("embedding_type", F.lit("pubmedbert")), p, 10).select("qid", "id", F.round("original_score", 4).alias("score"), "rank")
+    return _topk(*_points(spark, d))
 
 
 @named(_TOP + "SELECT qid, id, round(c, 4) AS score, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) AS r FROM s WHERE label = ql) WHERE r <= 10")
 def vector_topk_filtered(spark, d):
-    q, p = _points(spark, d)
+    return _topk_filtered(*_points(spark, d))
+
+
+def _topk_filtered(q: DataFrame, p: DataFrame) -> DataFrame:
     q = q.withColumns({"embedding_type": F.lit("pubmedbert"), "types": F.array(F.col("ql").cast("string"))})
     return search.search(q, p, 10).select("qid", "id", F.round("original_score", 4).alias("score"), "rank")
 
@@ -104,7 +110,10 @@ b AS (SELECT *, c * (CASE WHEN label % 2 = 1 THEN 1.3 ELSE 1.0 END) * 1.15 AS sc
 
 @named(_BOOSTED + "SELECT qid, id, round(c, 4) AS original_score, round(sc, 4) AS score, CASE WHEN label % 2 = 1 THEN 'section|answer_type' ELSE 'answer_type' END AS boosts, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, c DESC, id)::INTEGER AS rank FROM b")
 def vector_topk_boosted(spark, d):
-    q, p = _points(spark, d)
+    return _topk_boosted(*_points(spark, d))
+
+
+def _topk_boosted(q: DataFrame, p: DataFrame) -> DataFrame:
     q = q.withColumns({"embedding_type": F.lit("pubmedbert"), "answer_filter": F.array(F.lit("a1")), "boost_sections": F.array(F.lit("s1"))})
     return search.search(q, p, 10).select("qid", "id", F.round("original_score", 4).alias("original_score"), F.round("score", 4).alias("score"), joined("boost_applied").alias("boosts"), "rank")
 
@@ -114,12 +123,44 @@ k AS (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY c DESC, id) A
 m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, kind, id) AS pos FROM k WHERE r <= 10)
 SELECT qid, id, kind AS embedding_type, round(c, 4) AS score, pos::INTEGER AS position FROM m WHERE pos <= 10""")
 def multi_collection_merge(spark, d):
-    q, p = _points(spark, d, F.when(F.col("label") < 5, "pubmedbert").otherwise("biobert"))
+    return _merge(*_points(spark, d, _kind()))
+
+
+def _merge(q: DataFrame, p: DataFrame) -> DataFrame:
     q = search.routed(q.withColumns({"confidence": F.lit(0.5), "embedding_types": F.lit(None).cast("array<string>")}))
     hits = search.search(q, p.drop("type").withColumn("type", F.lit("x")), 10)
     return search.merged(hits, 10).select("qid", "id", "embedding_type", F.round("score", 4).alias("score"), "position")
 
 
+#: The questions of the whole job.
+WHOLE = "vec_id % 100 = 0"
+
+
+def _kind() -> Column:
+    return F.when(F.col("label") < 5, "pubmedbert").otherwise("biobert")
+
+
+@named()
+def vector_topk_whole(spark, d):
+    """Every hundredth vector against all; checked by brute force, as are the three below."""
+    return _topk(*_points(spark, d, asked=WHOLE))
+
+
+@named()
+def vector_topk_filtered_whole(spark, d):
+    return _topk_filtered(*_points(spark, d, asked=WHOLE))
+
+
+@named()
+def vector_topk_boosted_whole(spark, d):
+    return _topk_boosted(*_points(spark, d, asked=WHOLE))
+
+
+@named()
+def multi_collection_merge_whole(spark, d):
+    return _merge(*_points(spark, d, _kind(), WHOLE))
+
+
 @named("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (3 * x::DOUBLE) * (3 * x::DOUBLE)))), 3) AS length_before, 1.0::DOUBLE AS length_after FROM embeddings")
 def l2_normalize(spark, d):
     v = F.transform("embedding", lambda x: x.cast("double") * 3)

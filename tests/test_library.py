@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,37 @@ def test_entry_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_searches_ask_every_hundredth_vector(spark):
+    d = "/root/testdata/sf0.001"
+    e = catalog.table(spark, d, "embeddings").orderBy("vec_id").collect()
+    ids, label = np.array([r.vec_id for r in e]), np.array([r.label for r in e])
+    v = np.array([r.embedding for r in e], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    kind = np.where(label < 5, "pubmedbert", "biobert")
+    asked = ids[ids % 100 == 0].tolist()
+    assert len(asked) > 3
+
+    def best(q, keep):
+        c = v @ v[q]
+        return [(int(ids[i]), c[i], i) for i in sorted(np.flatnonzero(keep), key=lambda i: (-c[i], ids[i]))[:10]]
+
+    def got(name, place="rank"):
+        out = {}
+        for r in catalog.QUERIES[name](spark, d).orderBy("qid", place).collect():
+            out.setdefault(r.qid, []).append((r.id, r.score))
+        return out
+
+    def same(found, wanted):
+        assert {*found} == {q for q, w in wanted.items() if w}
+        for q, rows in found.items():
+            assert [i for i, _ in rows] == [i for i, _ in wanted[q]] and np.allclose([s for _, s in rows], [s for _, s in wanted[q]], atol=1e-4)
+
+    places = {q: int(np.flatnonzero(ids == q)[0]) for q in asked}
+    same(got("vector_topk_whole"), {q: [(i, c) for i, c, _ in best(at, label >= 0)] for q, at in places.items()})
+    same(got("vector_topk_filtered_whole"), {q: [(i, c) for i, c, _ in best(at, label == label[at])] for q, at in places.items()})
+    boosted = {q: [(i, c * (1.3 if label[n] % 2 == 1 else 1.0) * 1.15, c) for i, c, n in best(at, label % 3 == 1)] for q, at in places.items()}
+    same(got("vector_topk_boosted_whole"), {q: [(i, s) for i, s, _ in sorted(w, key=lambda x: (-x[1], -x[2], x[0]))] for q, w in boosted.items()})
+    both = {q: sorted([(i, c, k) for k in ("biobert", "pubmedbert") for i, c, _ in best(at, kind == k)], key=lambda x: (-x[1], x[2], x[0]))[:10] for q, at in places.items()}
+    same(got("multi_collection_merge_whole", "position"), {q: [(i, c) for i, c, _ in w] for q, w in both.items()})

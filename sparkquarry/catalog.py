@@ -389,6 +389,24 @@ def entity_stats(spark, d):
     return e.agg(F.count("*").alias("docs"), F.sum(F.col("has_medical_content").cast("long")).alias("with_entities"), F.sum((F.size("procedures") > 0).cast("long")).alias("with_procedures"))
 
 
+def _all_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, whatever their script, those without text as empty ones; and the fixture rows under negative ids."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("chunk"))
+    return docs.union(rows(spark, CHUNKS, "id", "c").select((-F.col("id")).cast("long"), "c"))
+
+
+@named()
+def entity_extract_whole(spark, d):
+    """Entities of every document. No SQL: engines fold the case of non-ASCII letters differently; checked by brute force."""
+    return enrich.entities(_all_texts(spark, d)).select("id", *[joined(n).alias(n) for n in ("drugs", "diseases", "procedures")])
+
+
+@named()
+def entity_stats_whole(spark, d):
+    e = enrich.entities(_all_texts(spark, d))
+    return e.agg(F.count("*").alias("docs"), F.sum(F.col("has_medical_content").cast("long")).alias("with_entities"), F.sum((F.size("procedures") > 0).cast("long")).alias("with_procedures"))
+
+
 @named(r"""WITH t AS (SELECT lang, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^\sA-Za-z0-9]')) AS n FROM documents)
 SELECT lang, count(*)::BIGINT AS docs, round(avg(n), 2) AS mean_tokens, max(n)::INTEGER AS most_tokens, sum(CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, ceil((n - 512) / 462.0)) END)::BIGINT AS windows FROM t GROUP BY lang""")
 def corpus_stats(spark, d):
@@ -420,6 +438,14 @@ def ner_process(spark, d):
     return e.select("e.text", "e.type", F.col("e.start").alias("s"), F.col("e.end").alias("e"), F.round("e.confidence", 4).alias("confidence"), F.coalesce("e.normalized", F.lit("")).alias("normalized"), meta("related_dosage"), meta("related_drug"))
 
 
+@named()
+def ner_process_whole(spark, d):
+    """The default model's entities of every document and of the fixture rows, after all steps."""
+    texts = _all_texts(spark, d).union(rows(spark, _NER, "id", "t").select((-100 - F.col("id")).cast("long"), "t"))
+    e = ner.processed(ner.lexicon(texts, "chunk"), "chunk").select("id", F.explode("entities").alias("e"))
+    return e.select("id", "e.text", "e.type", F.col("e.start").alias("s"), F.col("e.end").alias("e"), F.round("e.confidence", 4).alias("confidence"), "e.normalized")
+
+
 _ABBR = "VALUES (1,'HTN'),(2,'bid'),(3,'aspirin'),(4,'COPD')"
 
 

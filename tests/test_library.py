@@ -1,6 +1,7 @@
 """Golden values and properties of the retrieval operators."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry import catalog
 from sparkquarry.functions import text as tx
+from sparkquarry.functions import vocab
 from sparkquarry.operators import answer, chunking, embed, enrich, ner, query, rerank, search, sections
 from sparkquarry.plans import backfill, ingest, retrieve
 from sparkquarry.sources import documents as src
@@ -241,3 +243,26 @@ def test_searches_ask_every_hundredth_vector(spark):
     same(got("vector_topk_boosted_whole"), {q: [(i, s) for i, s, _ in sorted(w, key=lambda x: (-x[1], -x[2], x[0]))] for q, w in boosted.items()})
     both = {q: sorted([(i, c, k) for k in ("biobert", "pubmedbert") for i, c, _ in best(at, kind == k)], key=lambda x: (-x[1], x[2], x[0]))[:10] for q, at in places.items()}
     same(got("multi_collection_merge_whole", "position"), {q: [(i, c) for i, c, _ in w] for q, w in both.items()})
+
+
+def test_entities_of_all_documents(spark, tmp_path):
+    texts = ["Überdosis: Metformin 500 mg daily", "naïve café, no entity", None, "给予 aspirin 与 biopsy", "plain aspirin", "ſ İ K metformin\u00a0x"]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    real = {r.doc_id: r.text for r in catalog.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    fixtures = {-r.id: r.c for r in catalog.rows(spark, catalog.CHUNKS, "id", "c").collect()}
+    for d, docs in ((str(tmp_path), dict(enumerate(texts, 1))), ("/root/testdata/sf0.001", real)):
+        wanted = {}  # by Java's rules: letters of all scripts bound words, case folds in ASCII only
+        for i, t in (docs | fixtures).items():
+            seen, own = set(), []
+            for patterns in vocab.CHUNK_ENTITIES.values():
+                hits = dict.fromkeys(m.lower() for p in patterns for m in (x.group(0) for x in re.finditer(p.replace(r"\b", r"(?u:\b)"), t or "", re.I | re.A)))
+                own.append([h for h in hits if h not in seen])
+                seen |= {*hits}
+            wanted[i] = tuple("|".join(o) for o in own)
+        got = {r.id: (r.drugs, r.diseases, r.procedures) for r in catalog.QUERIES["entity_extract_whole"](spark, d).collect()}
+        assert got == wanted
+        assert catalog.QUERIES["entity_stats_whole"](spark, d).first()[:] == (len(wanted), sum(any(w) for w in wanted.values()), sum(bool(w[2]) for w in wanted.values()))
+    named = catalog.QUERIES["ner_process_whole"](spark, str(tmp_path)).collect()
+    assert {(r.id, r.text.lower()) for r in named if r.id > 0} >= {(1, "metformin"), (1, "500 mg"), (4, "aspirin"), (4, "biopsy"), (5, "aspirin"), (6, "metformin")}
+    whole = dict(enumerate(texts, 1)) | fixtures | {-101: "metformin 500 mg twice a day was prescribed"}
+    assert {r.id for r in named} >= {-101, -1} and all(whole[r.id][r.s : r.e] == r.text for r in named)

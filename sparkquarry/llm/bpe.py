@@ -3,7 +3,8 @@
 Each word's adjacent pairs are the leaves of a tree of minima, a leaf holding (rank, position).  The root yields the
 leftmost pair of the lowest rank; merging it changes three leaves, whose paths to the root are computed anew, in
 logarithmic time; a word is done when its root holds no pair.  Words of similar length are stacked and step together in
-numpy, so a step costs a few array operations for all of them.  Words longer than a stack get a tree of their own.
+numpy, so a step costs a few array operations for all of them.  Words of over LONG bytes are taken one by one, by the
+same tree in plain Python, since array operations pay only for many words.
 
 Splitting texts into words follows the tokenizer file's byte-level pattern; strings of its special tokens in a text
 become their ids.  Defined results: a null or empty text has no ids and decodes to an empty text; texts of any length
@@ -15,18 +16,21 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import columns_of
+from .common import bounded, columns_of
 from .pieces import PieceTable
 
 _NONE = np.int64(1) << 62
-#: Cells of a stack of words.
-_STACK = 1 << 19
+#: Cells of a stack of words; bytes of a word from which it is taken by itself.
+_STACK, LONG = 1 << 19, 4096
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,11 +64,15 @@ class ByteBPE:
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self._hash(keys, np.arange(len(keys)), made)
+        self._merges = keys, made
         self.pattern = regex.compile(PATTERN)
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.alphabet = alphabet
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = PieceTable(self._encode_pieces)
+        self.words = PieceTable()
+        # what decoding and digests look up by id
+        self.spelled = pa.array(self.token_bytes, pa.binary())
+        self.decimals = pa.array([str(i).encode() for i in range(size)], pa.binary())
 
     def _hash(self, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> None:
         """An open-addressed table from pair to rank and product."""
@@ -98,8 +106,8 @@ class ByteBPE:
             odd = odd[(found[odd] != keys[odd]) & (found[odd] >= 0)]
         return at, found == keys
 
-    def _stack(self, words: list[bytes], bits: int) -> list[np.ndarray]:
-        """The ids of words of at most 2**bits bytes."""
+    def _stack(self, words: list[bytes], bits: int) -> list[bytes]:
+        """The ids of words of at most 2**bits bytes, as 32-bit integers."""
         n, width = len(words), 1 << bits
         lengths = np.fromiter(map(len, words), np.int64, n)
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -150,15 +158,61 @@ class ByteBPE:
                 child = top3 + 2 * node
                 tops[top3 + node] = np.minimum(tops[child], tops[child + 1])
             row = row[tops[top + 1] < _NONE]
-        kept = ids[:, :width][alive]
-        return np.split(kept, np.cumsum(alive.sum(1))[:-1])
+        kept = ids[:, :width][alive].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(alive.sum(1))).tolist()
+        return [kept[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+    @cached_property
+    def _ranked(self) -> dict[int, tuple[int, int]]:
+        """Rank and product by pair."""
+        keys, made = self._merges
+        return {k: (r, m) for r, (k, m) in enumerate(zip(keys.tolist(), made.tolist(), strict=True))}
+
+    def _alone(self, word: bytes) -> bytes:
+        """The ids of one long word: the same tree, a path stopping where a minimum stays as it was."""
+        n, ranked, none = len(word), self._ranked, 1 << 62
+        width = 1 << (n - 1).bit_length()
+        ids, after, before = array("i", self.of_byte[np.frombuffer(word, np.uint8)].tolist()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        start = np.full(2 * width, none, np.int64)
+        slots, known = self.pairs(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))
+        start[width : width + n - 1] = np.where(known, self.slot_rank[slots] << 32 | np.arange(n - 1), none)
+        size = width
+        while size > 1:
+            start[size // 2 : size] = np.minimum(start[size : 2 * size : 2], start[size + 1 : 2 * size : 2])
+            size //= 2
+        tree = array("q", start.tobytes())
+
+        def put(place: int, left: int, right: int) -> None:
+            hit = ranked.get(left << 20 | right) if right >= 0 else None
+            node, low = width + place, hit[0] << 32 | place if hit else none
+            while node and tree[node] != low:
+                tree[node] = low
+                low = min(low, tree[node ^ 1])
+                node >>= 1
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, words being what the pattern splits off."""
+        while (top := tree[1]) < none:
+            at = top & 0xFFFFFFFF
+            gone = after[at]
+            made = ids[at] = ranked[ids[at] << 20 | ids[gone]][1]
+            following, prior = after[gone], before[at]
+            after[at], ids[gone] = following, -1
+            if following < n:
+                before[following] = at
+            put(gone, 0, -1)
+            put(at, made, ids[following] if following < n else -1)
+            if prior >= 0:
+                put(prior, ids[prior], made)
+        kept = np.array(ids, "<i4")
+        return kept[kept >= 0].tobytes()
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, words being what the pattern splits off, as 32-bit integers."""
         out: list = [None] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        bits = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
-        for b in np.unique(bits):
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            out[i] = self._alone(words[i])
+        bits = np.where(sizes > LONG, -1, np.ceil(np.log2(np.maximum(sizes, 1)))).astype(int)
+        for b in np.unique(bits[bits >= 0]):
             those = np.flatnonzero(bits == b)
             step = max(1, _STACK >> b)
             for k in range(0, len(those), step):
@@ -173,35 +227,47 @@ class ByteBPE:
             return [w.encode() for w in self.pattern.findall(piece)]
         return [bytes(self.alphabet[c] for c in w) for w, _ in self.library.pre_tokenize_str(piece)]
 
-    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes, int]]:
-        """Of each piece: its ids as decimals with commas, the bytes that they stand for, and their number."""
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of each piece, as 32-bit integers."""
         split = [self.split_piece(p) for p in pieces]
         ids = iter(self.encode_words([w for ws in split for w in ws]))
-        spelled = self.token_bytes
         for words in split:
-            row = [i for _ in words for i in next(ids).tolist()]
-            yield ",".join(map(str, row)), b"".join([spelled[i] for i in row]), len(row)
+            yield b"".join([next(ids) for _ in words])
 
-    def encoded(self, texts: Iterable[str | None]) -> Iterator[tuple[str, bytes, int]]:
-        """For each text: its ids as decimals with commas, the bytes that they decode to, and their number."""
+    def encoded(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """For each text its ids, as 32-bit integers."""
         parts, many = [], []
         for text in texts:
             cut = self.split.split(text or "") if self.split and any(s in (text or "") for s in self.special) else [text or ""]
             parts.extend(cut[::2])
             many.append(cut[1::2])
-        values = self.words.texts(parts)
+        values = self.words.texts(parts, self._encode_pieces)
         for specials in many:
-            got = next(values)
-            ids, raw, n = [v[0] for v in got], [v[1] for v in got], sum([v[2] for v in got])
+            got = [next(values)]
             for s in specials:
-                got = next(values)
-                ids += [str(self.special[s]), *[v[0] for v in got]]
-                raw += [self.token_bytes[self.special[s]], *[v[1] for v in got]]
-                n += 1 + sum([v[2] for v in got])
-            yield ",".join(ids), b"".join(raw), n
+                got += [np.array([self.special[s]], "<i4").tobytes(), next(values)]
+            yield b"".join(got) if specials else got[0]
+
+    def lists(self, texts: Iterable[str | None]) -> pa.ListArray:
+        """The ids of each text as a list array."""
+        got = list(self.encoded(texts))
+        ends = np.cumsum([0, *map(len, got)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
+
+    @staticmethod
+    def _joined(ids: pa.ListArray, table: pa.Array, by: bytes) -> pa.Array:
+        """For each list what the table has at its ids, joined."""
+        flat = ids.flatten()
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(flat)), pa.scalar(by, pa.binary()))
+
+    def listed(self, ids: pa.ListArray) -> list[bytes]:
+        """Each list as decimals with commas."""
+        return self._joined(ids, self.decimals, b",").to_pylist()
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join([self.token_bytes[i] for i in ids]).decode("utf-8", "replace")
+    def decoded(self, ids: pa.ListArray) -> list[str]:
+        """The texts that lists of ids stand for; a null list stands for an empty one."""
+        return [raw.decode("utf-8", "replace") for raw in self._joined(ids, self.spelled, b"").to_pylist()]
 
 
 _LOADED: dict[str, ByteBPE] = {}
@@ -226,9 +292,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         codec = loaded(path)
-        for b in batches:
-            ids = [list(map(int, s.split(","))) if s else [] for s, _, _ in codec.encoded(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for b in bounded(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), codec.lists(b.column("text").to_pylist())], ["doc_id", "ids"])
 
     return columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -240,27 +305,21 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         codec = loaded(path)
         for b in batches:
-            texts = [codec.decode(ids or []) for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codec.decoded(b.column("ids")), pa.string())], ["doc_id", "text"])
 
     return columns_of(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids (decimals with commas) and of the text decoded from them."""
+    """doc_id, n_tokens, and SHA-256 of the ids (decimals with commas) and of the text that is decoded from these ids."""
     path = path or default_path()
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches):
         codec = loaded(path)
-        for b in batches:
-            rows = [(n, sha(ids.encode()), sha(_text(raw))) for ids, raw, n in codec.encoded(b.column("text").to_pylist())]
-            n, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in bounded(batches):
+            ids = codec.lists(b.column("text").to_pylist())
+            digest = [pa.array([sha(x) for x in codec.listed(ids)], pa.string()), pa.array([sha(x.encode()) for x in codec.decoded(ids)], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), *digest], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _text(raw: bytes) -> bytes:
-    """The decoded text in UTF-8."""
-    return raw.decode("utf-8", "replace").encode()

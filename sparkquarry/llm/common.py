@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +108,29 @@ def _stars(edges: DataFrame) -> bool:
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: others, whatever they are called, take no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def bounded(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in slices that hold about ``size`` bytes of a column each, so that a task's memory does not depend on the batches."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = (np.flatnonzero(np.diff(ends // size)) + 1).tolist()
+        for begin, end in zip([0, *cuts], [*cuts, len(b)], strict=True):
+            yield b.slice(begin, end - begin)
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch for each run of rows with equal integer keys; the rows come sorted by them."""
+    rest = None
+    for b in batches:
+        if rest is not None:
+            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        if not len(b):
+            continue
+        marks = np.stack([b.column(c).to_numpy().astype(np.int64) for c in keys])
+        starts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist()]
+        for begin, end in zip(starts[:-1], starts[1:], strict=True):
+            yield b.slice(begin, end - begin)
+        rest = b.slice(starts[-1])
+    if rest is not None and len(rest):
+        yield rest

@@ -2,20 +2,23 @@
 
 In the byte-level pattern no match runs from a visible character into white space.  A text may therefore be cut before
 each run of white space that follows a visible character; the tokens of the cuts, one after another, are the tokens of
-the text.  Most words recur, so a bounded table per Python worker holds the tokens of those met first.
+the text.  Most words recur, so a table per Python worker, bounded in bytes, holds the ids of those met first.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CUTS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ODD = re.compile("[\t\x0b-\r\x85\xa0  -     　]")
 
-#: Pieces that a worker keeps; characters of text that are taken in at once; longest piece that is kept.
-KEPT, AT_ONCE, LONGEST = 1_000_000, 1 << 21, 64
+#: Bytes of pieces and ids that a worker keeps; characters of text that are taken in at once; longest piece that is kept.
+KEPT, AT_ONCE, LONGEST = 64 << 20, 1 << 20, 64
+#: Bytes of a table's slot.
+_SLOT = 60
 
 
 def keys_of(text: str) -> list[str]:
@@ -34,31 +37,31 @@ def piece_of(key: str) -> str:
 
 
 class PieceTable:
-    """value(piece) for all pieces of texts; ``encode`` makes the values of a list of pieces."""
+    """The ids of all pieces of texts; pieces met first are kept as long as they and their ids fit into ``kept`` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], kept: int = KEPT):
-        self.encode, self.kept, self.table = encode, kept, {}
+    def __init__(self, kept: int = KEPT):
+        self.room, self.table = kept, {}
 
-    def texts(self, texts: Iterable[str]) -> Iterator[list]:
-        """For each text the list of its pieces' values."""
+    def texts(self, texts: Iterable[str], encode: Callable[[list[str]], Iterable[bytes]]) -> Iterator[bytes]:
+        """For each text its ids, as 32-bit integers; ``encode`` makes those of a list of pieces."""
         waiting, size = [], 0
         for text in texts:
             waiting.append(keys_of(text))
             size += len(text)
             if size >= AT_ONCE:
-                yield from self._values(waiting)
+                yield from self._values(waiting, encode)
                 waiting, size = [], 0
-        yield from self._values(waiting)
+        yield from self._values(waiting, encode)
 
-    def _values(self, texts: list[list[str]]) -> Iterator[list]:
+    def _values(self, texts: list[list[str]], encode: Callable[[list[str]], Iterable[bytes]]) -> Iterator[bytes]:
         table = self.table
         new = list(set().union(*texts).difference(table))
-        table.update(zip(new, self.encode([piece_of(k) for k in new]), strict=True))
-        values = [[table[k] for k in keys] for keys in texts]
-        kept = max(0, self.kept - (len(table) - len(new)))
+        table.update(zip(new, encode([piece_of(k) for k in new]), strict=True))
+        values = [b"".join(map(table.__getitem__, keys)) for keys in texts]
         for k in new:
-            if kept and len(k) <= LONGEST:
-                kept -= 1
+            cost = getsizeof(k) + getsizeof(table[k]) + _SLOT
+            if cost <= self.room and len(k) <= LONGEST:
+                self.room -= cost
             else:
                 del table[k]
         yield from values

@@ -1,18 +1,21 @@
 """Token ids in binary shards: a wavelet matrix per shard, one compressed file each.
 
 Tokens are appended document by document in ascending doc_id order, each document's ids followed by an end id.  Range
-partitioning by doc_id orders the tasks, sorting orders the rows in a task, and each task cuts its stream of documents
-into shards of a bounded number of ids, so no task holds more than one shard.  A shard keeps, for each bit of the ids
-from the highest, one plane of bits: the plane's ids are then parted stably, zeros first.  With counts of ones at
-regular places, a plane answers rank in constant time, and from planes alone follow the id at a place, how often an id
-occurs before a place, and where it occurs (``Shard.access``, ``rank``, ``occurrences``).
-
-A shard file: the magic, a header (numbers of ids, documents and planes, the sizes of the parts below), then zlib
-streams of doc_ids, document ends, zeros per plane, and the planes with their counts.  A written manifest names the
-shards that belong to the output in order; files of tasks that were lost or repeated are in no manifest.
+partitioning by doc_id and a hash of the text orders the tasks, sorting orders the rows in a task, and each task cuts its
+stream of documents into shards of a bounded number of ids, so no task holds more than one shard.  A shard keeps, for each
+bit of the ids from the highest, one plane of bits: the plane's ids are then parted stably, zeros first.  Planes are
+compressed in blocks, and the numbers of ones before each block stand in a directory; so rank and select unpack a block a
+plane, and from planes alone follow the id at a place, how often an id occurs before a place, and where its j-th
+occurrence is (``Shard.access``, ``rank``, ``select``, ``occurrences``).
+
+A shard file: the magic, a header (numbers of ids, documents and planes, the sizes of the three parts below), then zlib
+streams of doc_ids, of document ends, and of the directory (zeros of each plane; sizes and ones of its blocks), then the
+blocks, plane by plane, a zlib stream each.  A written manifest names the shards that belong to the output in order; files
+of tasks that were lost or repeated are in no manifest.
 
 Defined results: a null or empty text has only the end id; rows with null doc_id come first; rows that share a doc_id
-stand side by side, ordered by text; an empty table has an empty manifest; other columns take no part.
+stand side by side, ordered by a hash of the text, then text (so one doc_id with very many rows is split over tasks); an
+empty table has an empty manifest; other columns take no part.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,65 +34,95 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path
-from .common import columns_of, shared_dir, shuffle_partitions, written
+from .common import bounded, columns_of, shared_dir, shuffle_partitions, written
 from .pieces import PieceTable
 
-MAGIC, HEAD = b"WVMX0001", struct.Struct("<8sQQIQQQ")
-#: Ids in a shard (a longer document is a shard of its own), bits between counts of ones, doc_id of null.
-SHARD_IDS, STEP, NO_ID = 1 << 21, 512, -(1 << 63)
-#: Pieces that a worker keeps.
-KEPT = 800_000
+MAGIC, HEAD = b"WVMX0002", struct.Struct("<8sQQIQQQ")
+#: Ids in a shard (a longer document is a shard of its own), bits of a plane's block, blocks that a reader keeps unpacked.
+SHARD_IDS, BLOCK, OPEN = 1 << 21, 1 << 17, 64
+#: What stands for a null doc_id; pieces that one call of the library encodes together.
+NO_ID, TOGETHER = -(1 << 63), 64
+
+
+def _deflated(block: np.ndarray) -> bytes:
+    """A zlib stream by entropy coding alone: bits of a plane repeat little but are uneven."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY)
+    return deflate.compress(block) + deflate.flush()
 
 
 class Shard:
-    """A wavelet matrix over ids, with the documents they belong to."""
+    """A wavelet matrix over ids, with the documents they belong to.
+
+    blocks: for each plane its compressed blocks.  ones: for each plane the ones before each block and in all.
+    """
 
-    def __init__(self, size: int, doc_ids: np.ndarray, ends: np.ndarray, zeros: np.ndarray, planes: list, counts: list):
-        self.size, self.doc_ids, self.ends, self.zeros, self.planes, self.counts = size, doc_ids, ends, zeros, planes, counts
+    def __init__(self, size: int, doc_ids: np.ndarray, ends: np.ndarray, zeros: np.ndarray, blocks: list[list], ones: np.ndarray):
+        self.size, self.doc_ids, self.ends, self.zeros, self.blocks, self.ones = size, doc_ids, ends, zeros, blocks, ones
+        self.open: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def of(cls, ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> Shard:
         depth = max(1, int(ids.max(initial=0)).bit_length())
         now = ids.astype(np.uint16 if depth <= 16 else np.uint32)
-        zeros, planes, counts = [], [], []
+        zeros, blocks, ones = [], [], []
         for level in range(depth - 1, -1, -1):
-            ones = (now >> level & 1).astype(bool)
-            planes.append(np.packbits(ones))
-            counts.append(cls._counts(planes[-1]))
-            low = now[~ones]
+            bits = (now & now.dtype.type(1 << level)) != 0
+            plane = np.packbits(bits)
+            parts = [plane[k : k + BLOCK // 8] for k in range(0, len(plane), BLOCK // 8)]
+            blocks.append([_deflated(p) for p in parts])
+            ones.append(np.cumsum([0, *(int(np.bitwise_count(p).sum(dtype=np.int64)) for p in parts)]))
+            low, high = np.flatnonzero(~bits), np.flatnonzero(bits)
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
-        return cls(len(ids), doc_ids, ends, np.array(zeros, np.int64), planes, counts)
-
-    @staticmethod
-    def _counts(plane: np.ndarray) -> np.ndarray:
-        """Ones before each STEP bits."""
-        some = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), STEP // 8), dtype=np.uint32) if len(plane) else np.zeros(0, np.uint32)
-        return np.concatenate([np.zeros(1, np.uint32), np.cumsum(some, dtype=np.uint32)])
-
-    def _ones(self, level: int, place: int) -> int:
+            now = np.concatenate([now.take(low), now.take(high)])
+        return cls(len(ids), doc_ids, ends, np.array(zeros, np.int64), blocks, np.array(ones, np.int64))
+
+    def _block(self, level: int, k: int) -> np.ndarray:
+        """A block's bytes."""
+        if (level, k) not in self.open:
+            if len(self.open) >= OPEN:
+                self.open.clear()
+            self.open[level, k] = np.frombuffer(zlib.decompress(self.blocks[level][k]), np.uint8)
+        return self.open[level, k]
+
+    def _before(self, level: int, place: int) -> int:
         """Ones of a plane before a place."""
-        block, plane = place // STEP, self.planes[level]
-        begin = block * STEP // 8
-        n = int(self.counts[level][block]) + int(np.bitwise_count(plane[begin : place // 8]).sum(dtype=np.int64))
-        return n + (int(plane[place // 8]) >> (8 - place % 8)).bit_count() if place % 8 else n
+        k, rest = divmod(place, BLOCK)
+        n = int(self.ones[level, k])
+        if rest:
+            block = self._block(level, k)
+            n += int(np.bitwise_count(block[: rest // 8]).sum(dtype=np.int64))
+            n += (int(block[rest // 8]) >> (8 - rest % 8)).bit_count() if rest % 8 else 0
+        return n
+
+    def _places(self, level: int, bit: int, js: np.ndarray) -> np.ndarray:
+        """Where a plane has its j-th bit of a value, for ascending j from 0."""
+        starts = np.minimum(np.arange(self.ones.shape[1]) * BLOCK, self.size)
+        before = self.ones[level] if bit else starts - self.ones[level]
+        of, out = np.searchsorted(before, js, "right") - 1, np.empty(len(js), np.int64)
+        for k in np.unique(of).tolist():
+            those = of == k
+            bits = np.unpackbits(self._block(level, k), count=int(starts[k + 1] - starts[k]))
+            out[those] = starts[k] + np.flatnonzero(bits == bit)[js[those] - before[k]]
+        return out
 
     def access(self, place: int) -> int:
         """The id at a place."""
         out = 0
-        for level in range(len(self.planes)):
-            bit = int(self.planes[level][place // 8]) >> (7 - place % 8) & 1
-            ones = self._ones(level, place)
+        for level in range(len(self.blocks)):
+            k, rest = divmod(place, BLOCK)
+            bit = int(self._block(level, k)[rest // 8]) >> (7 - rest % 8) & 1
+            ones = self._before(level, place)
             place = int(self.zeros[level]) + ones if bit else place - ones
             out = out << 1 | bit
         return out
 
     def _range(self, token: int, place: int) -> tuple[int, int]:
-        low, high, depth = 0, place, len(self.planes)
+        """Where the id's occurrences before a place stand below the last plane."""
+        low, high, depth = 0, place, len(self.blocks)
         if token >> depth:
             return 0, 0
         for level in range(depth):
-            a, b = self._ones(level, low), self._ones(level, high)
+            a, b = self._before(level, low), self._before(level, high)
             z = int(self.zeros[level])
             low, high = (z + a, z + b) if token >> (depth - 1 - level) & 1 else (low - a, high - b)
         return low, high
@@ -100,33 +132,42 @@ class Shard:
         low, high = self._range(token, self.size if place is None else place)
         return high - low
 
-    def occurrences(self, token: int) -> list[int]:
-        """All places of the id, ascending: its run below the last plane, taken up plane by plane."""
-        low, high = self._range(token, self.size)
-        at = np.arange(low, high)
-        for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.size).astype(bool)
-            bit = token >> (len(self.planes) - 1 - level) & 1
-            at = np.flatnonzero(ones)[at - int(self.zeros[level])] if bit else np.flatnonzero(~ones)[at]
+    def _up(self, token: int, at: np.ndarray) -> list[int]:
+        """The places of what stands at ``at``, ascending, below the last plane: a select in each plane, from the lowest."""
+        for level in range(len(self.blocks) - 1, -1, -1):
+            bit = token >> (len(self.blocks) - 1 - level) & 1
+            at = self._places(level, bit, at - int(self.zeros[level]) if bit else at)
         return at.tolist()
 
+    def select(self, token: int, j: int) -> int:
+        """The place of the id's j-th occurrence, from 0."""
+        low, high = self._range(token, self.size)
+        if not 0 <= j < high - low:
+            raise IndexError(f"id {token} occurs {high - low} times")
+        return self._up(token, np.array([low + j]))[0]
+
+    def occurrences(self, token: int) -> list[int]:
+        """All places of the id, ascending."""
+        return self._up(token, np.arange(*self._range(token, self.size)))
+
     def ids(self) -> np.ndarray:
         """All ids in order: the stable parting of each plane undone, from the lowest."""
-        depth = len(self.planes)
+        depth = len(self.blocks)
         now = np.zeros(self.size, np.uint16 if depth <= 16 else np.uint32)
         for level in range(depth - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.size).view(bool)
+            plane = np.frombuffer(b"".join(map(zlib.decompress, self.blocks[level])), np.uint8)
+            ones = np.unpackbits(plane, count=self.size).view(bool)
             z, out = int(self.zeros[level]), np.empty_like(now)
-            out[~ones] = now[:z]
-            out[ones] = now[z:] | now.dtype.type(1 << (depth - 1 - level))
+            out[np.flatnonzero(~ones)] = now[:z]
+            out[np.flatnonzero(ones)] = now[z:] | now.dtype.type(1 << (depth - 1 - level))
             now = out
         return now
 
     def to_bytes(self) -> bytes:
-        parts = [zlib.compress(x.tobytes(), 1) for x in (self.doc_ids.astype("<i8"), self.ends.astype("<i8"))]
-        body = b"".join(p.tobytes() + c.astype("<u4").tobytes() for p, c in zip(self.planes, self.counts, strict=True))
-        body = zlib.compress(self.zeros.astype("<i8").tobytes() + body, 0)
-        return HEAD.pack(MAGIC, self.size, len(self.doc_ids), len(self.planes), *map(len, [*parts, body])) + b"".join([*parts, body])
+        sizes = np.array([[len(b) for b in plane] for plane in self.blocks], "<i8")
+        directory = np.concatenate([self.zeros[:, None], sizes.reshape(len(self.blocks), -1), self.ones], axis=1).astype("<i8")
+        parts = [zlib.compress(x.tobytes(), 1) for x in (self.doc_ids.astype("<i8"), self.ends.astype("<i8"), directory)]
+        return HEAD.pack(MAGIC, self.size, len(self.doc_ids), len(self.blocks), *map(len, parts)) + b"".join([*parts, *(b for plane in self.blocks for b in plane)])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Shard:
@@ -137,13 +178,13 @@ class Shard:
         for n in sizes:
             parts.append(zlib.decompress(data[at : at + n]))
             at += n
-        zeros = np.frombuffer(parts[2], "<i8", depth)
-        at, wide, marks, planes, counts = depth * 8, -(-size // 8), -(-size // STEP) + 1, [], []
-        for _ in range(depth):
-            planes.append(np.frombuffer(parts[2], np.uint8, wide, at))
-            counts.append(np.frombuffer(parts[2], "<u4", marks, at + wide))
-            at += wide + 4 * marks
-        return cls(size, np.frombuffer(parts[0], "<i8", docs), np.frombuffer(parts[1], "<i8", docs), zeros, planes, counts)
+        n = -(-size // BLOCK)
+        directory, view, blocks = np.frombuffer(parts[2], "<i8").reshape(depth, 2 * n + 2), memoryview(data), []
+        for level in range(depth):
+            cuts = at + np.cumsum([0, *directory[level, 1 : n + 1].tolist()])
+            blocks.append([view[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+            at = int(cuts[-1])
+        return cls(size, np.frombuffer(parts[0], "<i8", docs), np.frombuffer(parts[1], "<i8", docs), directory[:, 0], blocks, directory[:, n + 1 :])
 
 
 class LibraryCodec:
@@ -157,25 +198,38 @@ class LibraryCodec:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = PieceTable(lambda new: self._new(new), KEPT)
+        self.pieces = PieceTable()
 
     def _new(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of each piece. A special token between pieces, which hold none, lets many share a call's cost."""
+        by, together = self.special[0] if self.special else "", TOGETHER if self.special else 1
+        end = self.library.token_to_id(by) if by else -1
         for k in range(0, len(pieces), 4096):
-            for e in self.library.encode_batch_fast(pieces[k : k + 4096], add_special_tokens=False):
-                yield array("I", e.ids).tobytes()
+            part = pieces[k : k + 4096]
+            for e in self.library.encode_batch_fast([by.join(part[j : j + together]) for j in range(0, len(part), together)], add_special_tokens=False):
+                ids = np.array(e.ids, "<u4")
+                raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == end)).tolist()
+                yield from [raw[x:y] for x, y in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         plain = [t or "" for t in texts]
         whole = {i for i, t in enumerate(plain) if any(s in t for s in self.special)}
-        values = self.pieces.texts([t for i, t in enumerate(plain) if i not in whole])
+        values = self.pieces.texts([t for i, t in enumerate(plain) if i not in whole], self._new)
         for i, t in enumerate(plain):
-            yield np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if i in whole else b"".join(next(values))
+            yield np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if i in whole else next(values)
 
 
 _LOADED: dict[str, LibraryCodec] = {}
 
 
+def loaded(path: str) -> LibraryCodec:
+    """One codec for each Python worker and file."""
+    if path not in _LOADED:
+        _LOADED[path] = LibraryCodec(path)
+    return _LOADED[path]
+
+
 def write(docs: DataFrame, path: str | None = None, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write docs' ids as shards into the shared folder; the manifest (file, task, part, docs, ids, before), a written table.
 
@@ -183,12 +237,9 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0, shard_ids:
     """
     spark, path = docs.sparkSession, path or default_path()
     folder = shared_dir(spark)
-    spark_parts = shuffle_partitions(spark)
 
     def run(batches):
-        if path not in _LOADED:
-            _LOADED[path] = LibraryCodec(path)
-        codec, end = _LOADED[path], np.array([end_id], "<u4").tobytes()
+        codec, end = loaded(path), np.array([end_id], "<u4").tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -202,7 +253,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0, shard_ids:
                 f.write(Shard.of(all_ids, np.array(held, np.int64), ends).to_bytes())
             return pa.RecordBatch.from_pydict({"file": [name], "task": [task], "part": [part], "docs": [len(held)], "ids": [len(all_ids)]}, schema)
 
-        for b in batches:
+        for b in bounded(batches):
             for doc_id, raw in zip(b.column("doc_id").to_pylist(), codec.ids(b.column("text").to_pylist()), strict=True):
                 raw += end
                 if held and size + len(raw) // 4 > shard_ids:
@@ -215,7 +266,9 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0, shard_ids:
             yield flush()
 
     schema = pa.schema([("file", pa.string()), ("task", pa.int64()), ("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
-    ordered = columns_of(docs, "doc_id", "text").repartitionByRange(4 * spark_parts, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # the range's bounds come from a sample of keys: no texts among them
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = columns_of(docs, "doc_id", "text").repartitionByRange(shuffle_partitions(spark), *by).sortWithinPartitions(*by, F.col("text").asc_nulls_first())
     made = written(ordered.mapInArrow(run, "file string, task long, part long, docs long, ids long"))
     # one row a shard of some million ids: first the tasks' totals, then the shards of a task
     tasks = made.groupBy(F.col("task").alias("_t")).agg(F.sum("ids").alias("_n"))
@@ -246,5 +299,5 @@ def read(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = manifest.select("folder", "file", "before").repartition(4 * shuffle_partitions(manifest.sparkSession), "file")
+    files = manifest.select("folder", "file", "before").repartition(shuffle_partitions(manifest.sparkSession), "file")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

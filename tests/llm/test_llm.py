@@ -96,20 +96,20 @@ def test_bpe_round_trip(spark):
 def test_random_text_by_pieces(library):
     r = random.Random(5)
     codec = bpe.ByteBPE(bpe.default_path())
-    codec.words.kept = 20
+    codec.words.room = 3000
     letters = list("abcXYZ  \n\t.,'é漢🙂0123_-") + ["'ll", " ", "<|endoftext|>"]
     texts = ["".join(r.choices(letters, k=r.randint(0, 50))) for _ in range(800)]
-    for t, (ids, raw, n) in zip(texts, codec.encoded(texts)):
-        want = library.encode(t, add_special_tokens=False).ids
-        assert ids == ",".join(map(str, want)) and n == len(want) and raw.decode() == t
-    assert len(codec.words.table) <= 20
+    for t, ids in zip(texts, codec.lists(texts), strict=True):
+        assert ids.as_py() == library.encode(t, add_special_tokens=False).ids
+    assert codec.decoded(codec.lists(texts)) == texts
+    assert 5 < len(codec.words.table) <= 25 and 0 <= codec.words.room < 200
     assert all("".join(map(pieces.piece_of, pieces.keys_of(t))) == t for t in texts)
 
 
 def test_token_shards(spark, library):
     texts = ODD + [(3, "again"), (None, "no id"), (7, prose(1, 300))]
     d = docs(spark, texts)
-    rows = d.toPandas().sort_values(["doc_id", "text"], na_position="first", kind="stable")
+    rows = d.withColumn("h", F.xxhash64("text")).toPandas().sort_values(["doc_id", "h"], na_position="first", kind="stable")
     manifest = tokenfile.write(d, shard_ids=500)
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.read(manifest).collect()), key=lambda r: r[0])
     at, want = 0, []
@@ -122,14 +122,29 @@ def test_token_shards(spark, library):
     assert tokenfile.read(tokenfile.write(d.limit(0))).count() == 0
 
 
-def test_wavelet_matrix():
-    ids = np.random.default_rng(1).integers(0, 50257, 3000).astype(np.uint32)
+def test_long_words_by_themselves(library):
+    codec = bpe.ByteBPE(bpe.default_path())
+    r = random.Random(6)
+    words = ["x" * 100_000, "".join(r.choices("abcdefgh", k=9000)), "ab" * 5000, "é" * 4000, "thethere" * 1000]
+    assert [x.as_py() for x in codec.lists(words)] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
+@pytest.mark.parametrize("n", [1, 9, 3000, tokenfile.BLOCK, 300_000])
+def test_wavelet_matrix(n):
+    ids = np.minimum(np.random.default_rng(1).zipf(1.3, n), 50256).astype(np.uint32)
     ids[5:2900:11] = 42
-    s = tokenfile.Shard.from_bytes(tokenfile.Shard.of(ids, np.array([9]), np.array([3000])).to_bytes())
-    assert (s.ids() == ids).all()
-    assert all(s.access(i) == ids[i] for i in range(0, 3000, 97))
-    assert s.rank(42) == (ids == 42).sum() and s.rank(42, 1234) == (ids[:1234] == 42).sum() and s.rank(10**6) == 0
-    assert s.occurrences(42) == np.flatnonzero(ids == 42).tolist() and s.occurrences(50256) == np.flatnonzero(ids == 50256).tolist()
+    data = tokenfile.Shard.of(ids, np.array([9]), np.array([n])).to_bytes()
+    s = tokenfile.Shard.from_bytes(data)
+    assert (s.ids() == ids).all() and s.doc_ids.tolist() == [9] and s.ends.tolist() == [n]
+    assert all(s.access(i) == ids[i] for i in {*range(0, n, max(1, n // 30)), n - 1})
+    assert s.rank(42) == (ids == 42).sum() and s.rank(42, n // 3) == (ids[: n // 3] == 42).sum() and s.rank(10**6) == 0
+    for token in (42, 1, int(ids[-1]), 50256):
+        places = np.flatnonzero(ids == token).tolist()
+        assert s.occurrences(token) == places
+        assert all(s.select(token, j) == places[j] for j in {0, len(places) // 2, len(places) - 1} if places)
+    with pytest.raises(IndexError):
+        s.select(42, n)
+    assert n < 9000 or len(data) < 2 * n  # less than 16 bits an id
 
 
 # ---- WARC

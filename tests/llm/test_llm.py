@@ -209,27 +209,49 @@ def edited(seed, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("large", [minhash.LARGE, 2])
-def test_near_duplicates(spark, monkeypatch, large):
-    monkeypatch.setattr(minhash, "LARGE", large)
+def near_pairs(found, texts):
+    """How many rows the comparison of pairs yields at each step is seen from what is written; here only results count."""
+    want = brute(dict(enumerate(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("block, rounds", [(minhash.BLOCK, minhash.ROUNDS), (3, 0)])
+def test_near_duplicates(spark, monkeypatch, block, rounds):
+    for name, value in (("BLOCK", block), ("TEXTS", min(block, minhash.TEXTS)), ("ROUNDS", rounds)):
+        monkeypatch.setattr(minhash, name, value)
     base = [prose(i, 200) for i in range(6)]
     shared = prose(99, 80)
     texts = [None, "", " ", "one two", "ONE two", "One Two three", *base]
     texts += [edited(i, base[i % 3], i % 9) for i in range(60)] + [base[1]] * 5
     texts += [prose(200 + i, 60) + " " + shared for i in range(30)]
-    want = brute(dict(enumerate(texts)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts)).collect()}
-    assert got == want
+    want = near_pairs(minhash.near_duplicates(docs(spark, texts)), texts)
     kept = minhash.kept_documents(docs(spark, texts)).select("doc_id").toPandas().doc_id
     assert sorted(kept) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def test_near_copies_without_their_original(spark):
+    """Copies of one text with other words changed: most pairs are just below the threshold, some just above."""
+    base = prose(7, 120)
+    texts = [edited(i, base, 3) for i in range(300)] + [prose(300, 30_000), prose(300, 30_000) + " more"]
+    near_pairs(minhash.near_duplicates(docs(spark, texts)), texts)
+
+
+def test_small_sets_at_the_threshold(spark):
+    """Three and four shingles, one more or less: exactly 0.75; seven at most."""
+    texts = [t for i in range(120) for t in (prose(i, 7), prose(i, 7) + f" end{i}")] + [prose(500, 11), prose(500, 10)]
+    near_pairs(minhash.near_duplicates(docs(spark, texts)), texts)
+
+
 def test_near_duplicates_odd_ids(spark):
     a, b = prose(1, 60), prose(2, 60)
-    d = docs(spark, [(4, a), (4, b), (7, b), (9, a), (None, a), (None, "")])
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in minhash.near_duplicates(d).collect())
-    assert got == [(False, 4, 4), (False, 4, 4), (False, 7, 4), (False, 9, 4), (True, 0, None), (True, 0, None)]
-    assert minhash.near_duplicates(d.limit(0)).count() == 0
+    d = docs(spark, [(4, a), (4, b), (7, b), (9, a), (None, a), (None, ""), (None, prose(3, 60)), (None, prose(3, 60)), (12, prose(4, 60)), (12, prose(4, 60))])
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles > 0, r.component_id) for r in minhash.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(False, 4, True, 4), (False, 4, True, 4), (False, 7, True, 4), (False, 9, True, 4), (True, 0, True, 4), (True, 0, False, None), (True, 0, True, None), (True, 0, True, None), (False, 12, True, 12), (False, 12, True, 12)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in minhash.kept_documents(d).collect()), key=str)
+    assert kept == sorted([(4, min((a, b), key=lambda t: [r.h for r in d.where(F.col("text") == t).select(F.xxhash64("text").alias("h")).limit(1).collect()])), (12, prose(4, 60)), (None, ""), (None, prose(3, 60))], key=str)
+    assert minhash.near_duplicates(d.limit(0)).count() == 0 and minhash.kept_documents(d.limit(0)).count() == 0
 
 
 def test_components(spark):

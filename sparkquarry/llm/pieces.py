@@ -54,14 +54,14 @@ class PieceTable:
         yield from self._values(waiting, encode)
 
     def _values(self, texts: list[list[str]], encode: Callable[[list[str]], Iterable[bytes]]) -> Iterator[bytes]:
-        table = self.table
-        new = list(set().union(*texts).difference(table))
-        table.update(zip(new, encode([piece_of(k) for k in new]), strict=True))
-        values = [b"".join(map(table.__getitem__, keys)) for keys in texts]
-        for k in new:
-            cost = getsizeof(k) + getsizeof(table[k]) + _SLOT
+        get = self.table.get
+        values = [list(map(get, keys)) for keys in texts]
+        new = list({k for keys, known in zip(texts, values, strict=True) if None in known for k, v in zip(keys, known, strict=True) if v is None})
+        made = dict(zip(new, encode([piece_of(k) for k in new]), strict=True))
+        for k, v in made.items():
+            cost = getsizeof(k) + getsizeof(v) + _SLOT
             if cost <= self.room and len(k) <= LONGEST:
                 self.room -= cost
-            else:
-                del table[k]
-        yield from values
+                self.table[k] = v
+        for keys, known in zip(texts, values, strict=True):
+            yield b"".join([made[k] if v is None else v for k, v in zip(keys, known, strict=True)] if None in known else known)

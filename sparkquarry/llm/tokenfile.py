@@ -42,6 +42,8 @@ MAGIC, HEAD = b"WVMX0002", struct.Struct("<8sQQIQQQ")
 SHARD_IDS, BLOCK, OPEN = 1 << 21, 1 << 17, 64
 #: What stands for a null doc_id; pieces that one call of the library encodes together.
 NO_ID, TOGETHER = -(1 << 63), 64
+#: Bytes of pieces that a worker keeps.
+KEPT = 128 << 20
 
 
 def _deflated(block: np.ndarray) -> bytes:
@@ -198,7 +200,7 @@ class LibraryCodec:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = PieceTable()
+        self.pieces = PieceTable(KEPT)
 
     def _new(self, pieces: list[str]) -> Iterator[bytes]:
         """The ids of each piece. A special token between pieces, which hold none, lets many share a call's cost."""

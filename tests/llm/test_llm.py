@@ -61,7 +61,38 @@ def test_mixed_documents_hold_what_was_taken(spark):
     assert m.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     words = m.groupBy("doc_id").agg(F.sum(F.size(F.split("text", " "))).alias("n")).toPandas().set_index("doc_id").n
     assert (words.reindex(t[t > 0].index) == t[t > 0]).all()
-    assert mixing.taken(d.limit(0)).count() == 0 and mixing.mixed_documents(d.limit(0)).count() == 0
+    assert mixing.taken(d.limit(0)).count() == 0 and mixing.mixed_documents(d.limit(0)).count() == 0 and mixing.shards(d.limit(0)).count() == 0
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    """Each row has words of its own, whatever ids it shares; a long text and white space of all kinds."""
+    texts = [(7, prose(1, 300)), (7, prose(2, 500)), (None, prose(3, 400)), (None, prose(4, 90)), (9, prose(5, 200)), (9, prose(5, 200)), (11, prose(6, 20_000).replace(" ", "\n\t ")), (12, None)]
+    d = docs(spark, texts, ["a", "b"])
+    t = mixing.taken(d).toPandas()
+    assert len(t) == 8 and (t.taken <= 3 * t["size"]).all()
+    m = mixing.mixed_documents(d).toPandas()
+    assert sum(len(x.split()) for x in m.text) == t.taken.sum()
+    took = t.assign(d=t.doc_id.fillna(-1)).groupby("d").taken.sum()
+    held = m.assign(d=m.doc_id.fillna(-1), n=[len(x.split()) for x in m.text]).groupby("d").n.sum()
+    assert (held.reindex(took[took > 0].index) == took[took > 0]).all()
+
+
+def test_shards_are_multinomial_draws(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 32)
+    d = docs(spark, [prose(i, 200 + i % 90) for i in range(300)], ["a", "b", "c"])
+    s = mixing.shards(d).toPandas()
+    t = mixing.taken(d).toPandas()
+    assert sum(len(x.split(" ")) for x in s.text) == t.taken.sum() and s.text.map(lambda x: len(x.split(" "))).max() == mixing.BLOCK
+    assert (s.groupby("shard").size().iloc[:-1] == 32).all() and not s.duplicated(["shard", "slot"]).any()
+    # counts per shard scatter as draws do: their variance is near n p (1 - p)
+    counts = s.groupby(["shard", "source"]).size().unstack(fill_value=0).iloc[:-1]
+    share = counts.sum() / counts.sum().sum()
+    assert (counts.std() > 0.7 * np.sqrt(32 * share * (1 - share))).all() and (counts.std() < 1.4 * np.sqrt(32 * share * (1 - share))).all()
+    # no block comes again before all blocks of its source came
+    for _, x in s.sort_values(["shard", "slot"]).groupby("source"):
+        n = x.block.nunique()
+        assert x.block.iloc[:n].is_unique and x.epoch.is_monotonic_increasing or len(x) >= n
+    assert s.groupby(["source", "block"]).size().max() <= 3
 
 
 # ---- BPE and token files

@@ -1,17 +1,20 @@
 r"""Chat formatting in budgeted windows, in SQL functions only, and reading it back.
 
-Prefix sums of the turns' tokens (words plus a turn's marks) choose turn-aligned spans: a turn that lies between two
-multiples of the stride goes with the others there, one that crosses a multiple is a span of its own.  So no span is
-longer than the stride but for a single longer turn, and no turn waits for another's choice.  Each span becomes a
-window: the conversation's system turn, at most HISTORY turns before the span within their own budget, then the span.
-What is repeated in a window carries no loss: under the loss mask lies each assistant text once.
+Prefix sums of the turns' tokens (words plus a turn's marks) choose turn-aligned spans.  What a window may hold is BUDGET
+less the conversation's system turn; part of that is for repeated history, the rest, the room, for the span.  Turns of at
+most half the room go by where they begin: all that begin in the same half of a room are a span, which is no longer than
+the room; a longer turn is a span of its own.  So no turn waits for another's choice.  Each span becomes a window: the
+conversation's system turn (the first there is) unless it is in the span, at most HISTORY turns before the span within
+their own budget, then the span.  A window exceeds BUDGET only where a single turn, with the system turn, does; then it
+repeats no history.  What is repeated in a window carries no loss: under the loss mask lies each assistant text once.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n`` for each turn.  In roles and texts ``&`` becomes ``&amp;`` and ``<|``
 becomes ``&lt;|`` (in roles a line feed becomes ``&#10;``), so no mark can come from a text and all is undone exactly.
 
 Defined results: a null text or role is empty; a null turn comes first, equal turns go by role, then text, and repeated
 rows are turns each; a null conv_id is a conversation; turns of any length are kept whole; an empty table gives no
-windows; other columns take no part.
+windows; other columns take no part.  A conversation's turns are ordered together, and read_back() gives a row for each
+conversation with all of its text, since digests of whole conversations ask for that; so a conversation has to fit a row.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, columns_of
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Tokens of a window, tokens of its repeated history, most turns of history, tokens that a turn's marks count.
+#: Tokens of a window, most tokens of its repeated history, most turns of history, tokens that a turn's marks count.
 BUDGET, HISTORY_BUDGET, HISTORY, MARKS = 1024, 256, 2, 4
 
 
@@ -42,23 +45,26 @@ def windows(turns: DataFrame) -> DataFrame:
     head = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
     t = t.withColumns({"tokens": F.regexp_count("text", F.lit(WORD)) + MARKS, "head": head, "body": escaped(F.col("text"))})
     t = t.withColumn("piece", F.concat("head", "body", F.lit(END)))
-    stride = BUDGET - HISTORY_BUDGET
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     t = t.withColumns({
         "seq": F.row_number().over(w),
-        "from": F.coalesce(F.sum("tokens").over(before), F.lit(0)),
+        "begin": F.coalesce(F.sum("tokens").over(before), F.lit(0)),
         "at": F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)),
-        "system": F.first(F.when(F.col("role") == "system", F.col("piece"))).over(w),
         **{f"back{i}": F.lag(F.struct("piece", "tokens"), i).over(w) for i in range(1, HISTORY + 1)},
     })
-    t = t.withColumn("window", F.expr(f"if(from div {stride} = (from + tokens - 1) div {stride}, 2 * (from div {stride}), 2 * (from div {stride}) + 1)"))
-    context, used = F.lit(""), F.lit(0)
-    repeated = (F.col("system").isNotNull() & (F.col("seq") > 1)).cast("int")
+    t = t.withColumn("system", F.first(F.when(F.col("role") == "system", F.struct("piece", "tokens", "seq", "begin")), ignorenulls=True).over(every))
+    left = F.greatest(BUDGET - F.coalesce("system.tokens", F.lit(0)), F.lit(2))
+    t = t.withColumn("left", left).withColumn("aside", F.expr(f"least({HISTORY_BUDGET}, left div 4)")).withColumn("half", F.expr("greatest((left - aside) div 2, 1)"))
+    window = "2 * ({0}begin div half) + if({0}tokens > half, 1, 0)"
+    t = t.withColumns({"window": F.expr(window.format("")), "home": F.expr(window.format("system.")), "may": F.expr("if(tokens > half, least(aside, greatest(left - tokens, 0)), aside)")})
+    prefixed = F.col("system").isNotNull() & (F.col("home") != F.col("window"))
+    context, used, repeated = F.lit(""), F.lit(0), prefixed.cast("int")
     for i in range(1, HISTORY + 1):
         used = used + F.col(f"back{i}.tokens")
         # the i-th turn before is there, is not the system turn, and all up to it fit
-        fits = F.coalesce((used <= HISTORY_BUDGET) & ((F.col("seq") - i > 1) | F.col("system").isNull()), F.lit(False))
+        fits = F.coalesce((used <= F.col("may")) & (F.col("system").isNull() | (F.col("seq") - i != F.col("system.seq"))), F.lit(False))
         context, repeated = F.concat(F.when(fits, F.col(f"back{i}.piece")).otherwise(""), context), repeated + fits.cast("int")
-    context = F.concat(F.when(F.col("seq") > 1, F.coalesce("system", F.lit(""))).otherwise(""), context)
+    context = F.concat(F.when(prefixed, F.col("system.piece")).otherwise(""), context)
     loss = F.when(F.col("role") == "assistant", F.struct((F.col("at") + F.length("head")).alias("start"), F.length("body").alias("length")))
     t = t.select("conv_id", "window", "seq", "at", "piece", loss.alias("loss"), F.struct("seq", "at", context.alias("context"), repeated.alias("repeated")).alias("opening"))
     g = t.groupBy("conv_id", "window").agg(F.min("opening").alias("o"), F.array_sort(F.collect_list(F.struct("seq", "piece", "loss"))).alias("t"))
@@ -96,15 +102,22 @@ WITH t AS (
     + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + length('{END.strip()}') + 1 AS chars
   FROM t
 ), q AS (
-  SELECT *, row_number() OVER w AS seq, sum(tokens) OVER w - tokens AS from_, first_value(CASE WHEN role = 'system' THEN chars END) OVER w AS system,
+  SELECT *, row_number() OVER w AS seq, sum(tokens) OVER w - tokens AS from_,
     lag(chars, 1) OVER w AS c1, lag(tokens, 1) OVER w AS t1, lag(chars, 2) OVER w AS c2, lag(tokens, 2) OVER w AS t2
   FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), y AS (
+  SELECT conv_id, min_by(chars, seq) AS sc, min_by(tokens, seq) AS st, min(seq) AS ss, min_by(from_, seq) AS sf FROM q WHERE role = 'system' GROUP BY conv_id
+), b AS (SELECT q.*, y.sc, y.st, y.ss, y.sf, greatest({BUDGET} - coalesce(y.st, 0), 2) AS left_ FROM q LEFT JOIN y ON q.conv_id IS NOT DISTINCT FROM y.conv_id
+), h AS (SELECT *, least({HISTORY_BUDGET}, left_ // 4) AS aside, greatest((left_ - least({HISTORY_BUDGET}, left_ // 4)) // 2, 1) AS half FROM b
+), k AS (
+  SELECT *, 2 * (from_ // half) + (CASE WHEN tokens > half THEN 1 ELSE 0 END) AS win, 2 * (sf // half) + (CASE WHEN st > half THEN 1 ELSE 0 END) AS home,
+    CASE WHEN tokens > half THEN least(aside, greatest(left_ - tokens, 0)) ELSE aside END AS may
+  FROM h
 ), r AS (
-  SELECT *, CASE WHEN from_ // {BUDGET - HISTORY_BUDGET} = (from_ + tokens - 1) // {BUDGET - HISTORY_BUDGET} THEN 2 * (from_ // {BUDGET - HISTORY_BUDGET}) ELSE 2 * (from_ // {BUDGET - HISTORY_BUDGET}) + 1 END AS win,
-    CASE WHEN seq > 1 THEN coalesce(system, 0) ELSE 0 END
-    + CASE WHEN t1 <= {HISTORY_BUDGET} AND (seq - 1 > 1 OR system IS NULL) THEN c1 ELSE 0 END
-    + CASE WHEN t1 + t2 <= {HISTORY_BUDGET} AND (seq - 2 > 1 OR system IS NULL) THEN c2 ELSE 0 END AS context
-  FROM q
+  SELECT *, CASE WHEN ss IS NOT NULL AND home <> win THEN sc ELSE 0 END
+    + CASE WHEN t1 <= may AND (ss IS NULL OR seq - 1 <> ss) THEN c1 ELSE 0 END
+    + CASE WHEN t1 + t2 <= may AND (ss IS NULL OR seq - 2 <> ss) THEN c2 ELSE 0 END AS context
+  FROM k
 ), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win ORDER BY seq) AS nth FROM r)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,

@@ -3,7 +3,8 @@ r"""WARC archives: writing, normalising monolithic gzip files, and reading back
 ``write`` puts pages into archives that are one gzip stream each, as some crawlers leave them: such a file can't be read
 from the middle or by several tasks.  ``normalise`` inflates a whole-file stream once, block by block, finds the records
 by their Content-Length, rewrites each as its own gzip member, and writes a sidecar index (offset and length of every
-member) beside the archive.  ``read`` takes runs of index entries, seeks, and inflates members.
+member) beside the archive.  ``indexed`` reads the sidecars; ``read`` takes runs of their entries, seeks, and inflates
+members.
 
 Of pages with equal payloads of at least 100 bytes the one with the smallest page_id is a response, the others are
 revisits of it (identical-payload-digest): they keep the HTTP head, with its Content-Length, and the digest, and drop
@@ -18,6 +19,7 @@ like others; an empty table gives no archives and no rows; other columns take no
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Smallest payload that is revisited; bytes taken from a stream at once; index entries that a task reads together.
 LEAST, BLOCK, RUN = 100, 1 << 20, 512
 DATE = "2024-01-01T00:00:00Z"
+#: An entry of a sidecar: where a member begins and its length.
+ENTRY = "<QQ"
 
 
 def planned(pages: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def write(pages: DataFrame) -> DataFrame:
 
 
 def normalise(manifest: DataFrame) -> DataFrame:
-    """Rewrite each archive with a gzip member per record and a sidecar index; the index (folder, file, at, size)."""
+    """Rewrite each archive with a gzip member per record, and a sidecar index; the manifest (folder, file, records), a written table."""
     folder = shared_dir(manifest.sparkSession)
 
     def run(batches):
@@ -134,25 +138,42 @@ def normalise(manifest: DataFrame) -> DataFrame:
                 fs, _ = pafs.FileSystem.from_uri(source)
                 to, root = pafs.FileSystem.from_uri(folder)
                 to.create_dir(root, recursive=True)
-                out, at, entries = f"{root}/{name.rpartition('/')[2].partition('-')[0]}-{uuid.uuid4().hex}.warc.gz", 0, []
-                with fs.open_input_stream(name, compression=None) as stream, to.open_output_stream(out, compression=None) as f:
+                out, at, n = f"{root}/{name.rpartition('/')[2].partition('-')[0]}-{uuid.uuid4().hex}.warc.gz", 0, 0
+                with fs.open_input_stream(name, compression=None) as stream, to.open_output_stream(out, compression=None) as f, to.open_output_stream(f"{out}.idx", compression=None) as sidecar:
                     for rec in records_of(stream):
                         deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
                         member = deflate.compress(rec) + deflate.flush()
                         f.write(member)
-                        entries.append((at, len(member)))
-                        at += len(member)
-                with to.open_output_stream(f"{out}.idx", compression=None) as f:
-                    f.write("".join(f"{a} {n}\n" for a, n in entries).encode())
-                starts, sizes = zip(*entries, strict=True)
-                yield pa.RecordBatch.from_pydict({"folder": [folder] * len(entries), "file": [out] * len(entries), "at": starts, "size": sizes, "run": [i // RUN for i in range(len(entries))]})
+                        sidecar.write(struct.pack(ENTRY, at, len(member)))
+                        at, n = at + len(member), n + 1
+                yield pa.RecordBatch.from_pydict({"folder": [folder], "file": [out], "records": [n]})
 
     files = manifest.select("folder", "file").repartition(4 * shuffle_partitions(manifest.sparkSession), "file")
-    return written(files.mapInArrow(run, "folder string, file string, at long, size long, run long"))
+    return written(files.mapInArrow(run, "folder string, file string, records long"))
 
 
-def read(index: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record that the index names.
+def indexed(manifest: DataFrame) -> DataFrame:
+    """folder, file, at, size and run of each record, from the archives' sidecars; each has to name as many as were written."""
+
+    def run(batches):
+        for b in batches:
+            for folder, file, records in zip(*(b.column(c).to_pylist() for c in ("folder", "file", "records")), strict=True):
+                with pafs.FileSystem.from_uri(folder)[0].open_input_stream(f"{file}.idx", compression=None) as f:
+                    n = 0
+                    while raw := f.read(struct.calcsize(ENTRY) * RUN):
+                        starts, sizes = zip(*struct.iter_unpack(ENTRY, raw), strict=True)
+                        yield pa.RecordBatch.from_pydict({"folder": [folder] * len(starts), "file": [file] * len(starts), "at": starts, "size": sizes, "run": [n] * len(starts)}, schema)
+                        n += 1
+                        records -= len(starts)
+                if records:
+                    raise ValueError(f"{file}.idx: {records} records are missing")
+
+    schema = pa.schema([("folder", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("run", pa.int64())])
+    return manifest.mapInArrow(run, "folder string, file string, at long, size long, run long")
+
+
+def read(manifest: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record that the sidecars of normalise() name.
 
     A response's payload is measured and hashed as it was read; it has to agree with the record's own digest.
     """
@@ -186,7 +207,7 @@ def read(index: DataFrame) -> DataFrame:
             f.close()
 
     out = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    spread = index.repartition(4 * shuffle_partitions(index.sparkSession), "file", "run").sortWithinPartitions("file", "at")
+    spread = indexed(manifest).repartition(4 * shuffle_partitions(manifest.sparkSession), "file", "run").sortWithinPartitions("file", "at")
     return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

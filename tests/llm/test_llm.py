@@ -193,6 +193,18 @@ def test_warc(spark):
     assert warc.read(warc.normalise(warc.write(p.limit(0)))).count() == 0
 
 
+def test_warc_of_repeated_ids_and_its_sidecars(spark):
+    big = "<p>" + "b" * 200
+    pages = [(1, "u", big), (1, "u", big), (2, "u", big), (None, "u", big), (None, None, "n" * 150), (None, None, "n" * 150), (3, "u", "t" * 2_000_000)]
+    m = warc.normalise(warc.write(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(m).collect()), key=str)
+    assert got == sorted([(1, "response", None, 203), (1, "response", None, 203), (2, "revisit", 1, 203), (None, "revisit", 1, 203), (None, "response", None, 150), (None, "response", None, 150), (3, "response", None, 2_000_000)], key=str)
+    entries = {(r.file, r.at): r.size for r in warc.indexed(m).collect()}
+    assert len(entries) == 7
+    with pytest.raises(Exception, match="1 records are missing"):
+        warc.indexed(m.withColumn("records", F.col("records") + 1)).count()
+
+
 def test_records_of_any_cut():
     import gzip
     import io
@@ -324,6 +336,38 @@ def test_top_k(spark):
     assert topk.top_k(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_top_k_in_strata(spark, monkeypatch):
+    """Lengths of many sizes, many of one, and blocks of few vectors; queries and candidates that share an id."""
+    r = np.random.default_rng(5)
+    x = (r.standard_normal((900, 6)) * np.where(np.arange(900) % 3 == 0, 1.0, r.uniform(0.01, 3, 900))[:, None]).round(2).astype(np.float32)
+    x[300:500] = x[300]
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [9.0] * 6)]
+    got = topk.top_k(vectors(spark, rows)).orderBy("query_id", "rank").collect()
+    y, want = np.floor(256 * x.astype(float)), []
+    for q in range(0, 900, 50):
+        s = y @ y[q]
+        s[q] = -np.inf
+        want += [(q, k + 1, int(j), int(s[j])) for k, j in enumerate(np.lexsort((np.arange(900), -s))[:5])]
+    assert [tuple(g) for g in got] == want
+    same = [(50, [1.0, 0.0]), (50, [0.0, 2.0]), (7, [1.0, 1.0]), (7, [1.0, 3.0]), (8, [-1.0, -1.0])]
+    got = topk.top_k(vectors(spark, same)).orderBy("query_id", "rank").collect()
+    # of rows that share a query's id the smallest vector asks; candidates are all rows of other ids
+    assert [tuple(g) for g in got] == [(50, 1, 7, 3 * 2 * 65536), (50, 2, 7, 2 * 65536), (50, 3, 8, -2 * 65536)]
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(i, [4e5 + i, -3e5 + 7 * i] * 32) for i in range(101)] + [(200, [3e38] * 64)]
+    got = [tuple(g) for g in topk.top_k(vectors(spark, rows)).orderBy("query_id", "rank").collect()]
+    v = {i: [int(np.floor(256 * float(np.float32(c)))) for c in x] for i, x in rows}
+    want = []
+    for q in (0, 50, 100, 200):
+        s = sorted(((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q))[:5]
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -p))) for k, (p, i) in enumerate(s)]
+    assert got == want
+
+
 def test_nn_descent(spark):
     r = np.random.default_rng(4)
     x = r.standard_normal((600, 32))
@@ -413,6 +457,24 @@ def test_chat_windows(spark):
     assert chat.digests(t.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_their_budget(spark):
+    say = lambda n, i: " ".join([f"w{i}"] * n)
+    rows = [(1, 0, "system", say(600, "s"))] + [(1, i, ["user", "assistant"][i % 2], say(40, i)) for i in range(1, 40)]
+    rows += [(2, i, ["user", "assistant"][i % 2], say(1 + 37 * i % 300, i)) for i in range(80)] + [(2, 30, "system", say(100, "s")), (2, 90, "user", say(3000, "long")), (2, 91, "assistant", "short")]
+    rows += [(3, 0, "system", say(5000, "s")), (3, 1, "user", "a"), (3, 2, "assistant", "b")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tokens = lambda text: [len(x.split("\n", 1)[1].split()) + chat.MARKS for x in text.split("<|im_end|>\n")[:-1]]
+    w = chat.windows(t).orderBy("conv_id", "window").collect()
+    for r in w:
+        n = tokens(r.text)
+        assert len(n) == r.repeated + r.turns and "<|im_start|>system\n" in r.text
+        assert sum(n) <= chat.BUDGET or r.turns == 1 and r.repeated <= 1, (r.conv_id, r.window, sum(n))
+    # windows are not of single turns where turns are short
+    assert sum(r.turns == 1 for r in w if r.conv_id == 1) <= 2 and len([r for r in w if r.conv_id == 1]) <= 15
+    got = {r.conv_id: r for r in chat.digests(t).collect()}
+    assert [got[c].n_turns for c in (1, 2, 3)] == [40, 83, 3]
+
+
 # ---- toxicity
 
 def test_toxicity(spark):

@@ -42,6 +42,11 @@ HEADINGS = "VALUES (1,'Medications'),(2,'Contraindications'),(3,'Adverse Reactio
 CHUNKS = "VALUES (1,'Metformin 500 mg twice daily refers to treatment of diabetes and hypertension'),(2,'Amoxicillin allergy: avoid, do not use. Test for pneumonia'),(3,'Colonoscopy procedure and biopsy steps'),(4,'No label here at all'),(5,'Compared to aspirin, ibuprofen shows a side effect risk'),(6,'Lisinopril and metformin, lisinopril again; arthritis and gastritis screening'),(7,'Prevention of influenza and asthma by prophylaxis'),(8,'')"
 QUESTIONS = "VALUES (1,'metformin dosage'),(2,'what is metformin'),(3,'metformin side effects'),(4,'lisinopril side effects'),(5,'when not to use metformin'),(6,'how to treat hypertension'),(7,'treatment for pneumonia'),(8,'how to diagnose diabetes'),(9,'what is the dosage of metformin?'),(10,'Can warfarin be used with aspirin?'),(11,'tx for dm2'),(12,'sx of mi'),(13,'metropolol side effects'),(14,'prevent influenza'),(15,'aspirin vs. ibuprofen'),(16,'colonoscopy procedure'),(17,'tell me about asthma ,please'),(18,'pt with htn ,sob and n/v'),(19,'metformine dose 2.5 mg for diabetis'),(20,'warnings for insulin use')"
 ITEMS = "VALUES ('a',1,'text','intro before any heading'),('a',2,'heading','Medications'),('a',3,'text','1. Metformin 500mg'),('a',4,'text','2. Lisinopril 10mg'),('a',5,'text','Plain paragraph'),('a',6,'text','- dash item'),('a',7,'heading','Lab Results'),('a',8,'text','- first'),('a',9,'text','a) second'),('a',10,'table','x'),('b',1,'text','only text'),('b',2,'text','1. one')"
+# rows of the tables beside the ones above: (SQL that DuckDB runs, what Spark reads)
+MORE_QUESTIONS = "SELECT 1000 + item_id AS qid, coalesce(text, '') AS query FROM benchmark UNION ALL SELECT 1000000 + 1000 * conv_id + turn, coalesce(text, '') FROM conversations WHERE role = 'user'"
+MORE_HEADINGS = "SELECT 101 + page_id AS id, regexp_extract(coalesce(html, ''), '<(title|h1|h2)>([^<]*)</', 2) AS h FROM pages"
+MORE_ITEMS = "SELECT 'c' || conv_id AS job_id, turn AS ord, CASE WHEN turn % 4 = 0 THEN 'heading' WHEN turn % 7 = 5 THEN 'table' ELSE 'text' END AS type, coalesce(text, '') AS content FROM conversations"
+MORE_TABLES = "SELECT 100 + 1000 * conv_id + turn AS id, replace(coalesce(text, ''), ' ', ',') AS h FROM conversations"
 TABLES = "VALUES (1,'Test,Result,Range'),(2,'Drug,Dose,Route'),(3,'BP,HR'),(4,'Name,Age'),(5,'')"
 
 
@@ -49,6 +54,31 @@ def rows(spark: SparkSession, values: str, *names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM ({values}) AS t({', '.join(names)})")
 
 
+def both(values: str, names: str, more: str) -> str:
+    """SQL of literal rows and a table's rows, in one table expression."""
+    return f"(SELECT * FROM ({values}) v({names}) UNION ALL {more})"
+
+
+ALL_QUESTIONS, ALL_HEADINGS = both(QUESTIONS, "qid, query", MORE_QUESTIONS), both(HEADINGS, "id, h", MORE_HEADINGS)
+ALL_ITEMS, ALL_TABLES = both(ITEMS, "job_id, ord, type, content", MORE_ITEMS), both(TABLES, "id, h", MORE_TABLES)
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    b, c = table(spark, d, "benchmark"), table(spark, d, "conversations").where("role = 'user'")
+    more = b.selectExpr("1000 + item_id", "coalesce(text, '')").union(c.selectExpr("1000000 + 1000 * conv_id + turn", "coalesce(text, '')"))
+    return rows(spark, QUESTIONS, "qid", "query").union(more)
+
+
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select(101 + F.col("page_id"), F.regexp_extract(F.coalesce("html", F.lit("")), "<(title|h1|h2)>([^<]*)</", 2))
+    return rows(spark, HEADINGS, "id", "h").union(p)
+
+
+def headers(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(100 + 1000 * F.col("conv_id") + F.col("turn"), F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(",")))
+    return rows(spark, TABLES, "id", "h").union(c)
+
+
 def _labels_sql(c: str, table_: dict[str, list[str]]) -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches(lower({c}), '{'|'.join(map(tx.quoted, v))}') THEN '{k}' END" for k, v in table_.items())
     return f"coalesce(nullif(array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), '|'), ''), 'general')"
@@ -71,17 +101,17 @@ def _types_sql(c: str, patterns: dict[str, list[str]]) -> str:
 
 _TOP = """
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-q AS (SELECT * FROM e WHERE vec_id IN (0, 1, 2)),
+q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
 s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, q.label AS ql, list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))) AS c FROM q, e)
 """
 
 
-def _points(spark: SparkSession, d: str, kind: Column | None = None, asked: str = "vec_id in (0, 1, 2)") -> tuple[DataFrame, DataFrame]:
+def _points(spark: SparkSession, d: str, kind: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector as a question, and all vectors as points."""
     e = table(spark, d, "embeddings")
     kind = F.lit("pubmedbert") if kind is None else kind
     p = e.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("type"), F.array(F.concat(F.lit("a"), (F.col("label") % 3).cast("string"))).alias("answer_types"), F.concat(F.lit("s"), (F.col("label") % 2).cast("string")).alias("boost_section"), kind.alias("embedding_type"))
-    # by default three stated question vectors, which the SQL above asks too; WHOLE is the set of the whole job
-    return e.where(asked).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("ql")), p
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("ql")), p
 
 
 def _topk(q: DataFrame, p: DataFrame) -> DataFrame:
@@ -132,33 +162,13 @@ def _merge(q: DataFrame, p: DataFrame) -> DataFrame:
     return search.merged(hits, 10).select("qid", "id", "embedding_type", F.round("score", 4).alias("score"), "position")
 
 
-#: The questions of the whole job.
-WHOLE = "vec_id % 100 = 0"
-
-
 def _kind() -> Column:
     return F.when(F.col("label") < 5, "pubmedbert").otherwise("biobert")
 
 
-@named()
-def vector_topk_whole(spark, d):
-    """Every hundredth vector against all; checked by brute force, as are the three below."""
-    return _topk(*_points(spark, d, asked=WHOLE))
-
-
-@named()
-def vector_topk_filtered_whole(spark, d):
-    return _topk_filtered(*_points(spark, d, asked=WHOLE))
-
-
-@named()
-def vector_topk_boosted_whole(spark, d):
-    return _topk_boosted(*_points(spark, d, asked=WHOLE))
-
-
-@named()
-def multi_collection_merge_whole(spark, d):
-    return _merge(*_points(spark, d, _kind(), WHOLE))
+# the same queries by the names that they had while the ones above asked less
+for _name in ("vector_topk", "vector_topk_filtered", "vector_topk_boosted", "multi_collection_merge"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
 
 
 @named("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (3 * x::DOUBLE) * (3 * x::DOUBLE)))), 3) AS length_before, 1.0::DOUBLE AS length_after FROM embeddings")
@@ -205,33 +215,34 @@ def embed_type_routing(spark, d):
     return search.routed(q).select("qid", "embedding_type")
 
 
-@named("SELECT id, CASE WHEN upper(trim(t)) IN ('GUIDELINE','POLICY','FAQ','DOCUMENT') THEN 'pdf' ELSE 'unknown' END AS parse_type FROM (VALUES (1,'guideline'),(2,' POLICY '),(3,'memo'),(4,'Faq')) v(id, t)")
+@named("SELECT id, CASE WHEN upper(trim(t)) IN ('GUIDELINE','POLICY','FAQ','DOCUMENT') THEN 'pdf' ELSE 'unknown' END AS parse_type FROM (SELECT * FROM (VALUES (1,'guideline'),(2,' POLICY '),(3,'memo'),(4,'Faq')) v(id, t) UNION ALL SELECT 10 + doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'policy' ELSE source END, '') FROM documents)")
 def parse_type_tag(spark, d):
-    return rows(spark, "VALUES (1,'guideline'),(2,' POLICY '),(3,'memo'),(4,'Faq')", "id", "t").select("id", src.parse_type(F.col("t")).alias("parse_type"))
+    return rows(spark, "VALUES (1,'guideline'),(2,' POLICY '),(3,'memo'),(4,'Faq')", "id", "t").union(table(spark, d, "documents").selectExpr("10 + doc_id", "coalesce(CASE WHEN doc_id % 3 = 0 THEN 'policy' ELSE source END, '')")).select("id", src.parse_type(F.col("t")).alias("parse_type"))
 
 
-@named("SELECT id, CASE WHEN t NOT IN ('GUIDELINE','POLICY','FAQ','DOCUMENT') THEN 'unknown document type' WHEN e NOT IN ('openai','pubmedbert','biobert','scibert','clinicalbert','biolinkbert') THEN 'unknown embedding type' ELSE 'accepted' END AS outcome FROM (VALUES (1,'GUIDELINE','biobert'),(2,'memo','biobert'),(3,'FAQ','word2vec'),(4,'POLICY','pubmedbert')) v(id, t, e)")
+@named("SELECT id, CASE WHEN t NOT IN ('GUIDELINE','POLICY','FAQ','DOCUMENT') THEN 'unknown document type' WHEN e NOT IN ('openai','pubmedbert','biobert','scibert','clinicalbert','biolinkbert') THEN 'unknown embedding type' ELSE 'accepted' END AS outcome FROM (SELECT * FROM (VALUES (1,'GUIDELINE','biobert'),(2,'memo','biobert'),(3,'FAQ','word2vec'),(4,'POLICY','pubmedbert')) v(id, t, e) UNION ALL SELECT 10 + doc_id, CASE WHEN doc_id % 3 = 0 THEN 'FAQ' ELSE coalesce(source, '') END, CASE WHEN doc_id % 2 = 0 THEN 'biobert' ELSE coalesce(lang, '') END FROM documents)")
 def upload_validation(spark, d):
-    u = rows(spark, "VALUES (1,'GUIDELINE','biobert'),(2,'memo','biobert'),(3,'FAQ','word2vec'),(4,'POLICY','pubmedbert')", "id", "type", "embedding_type").withColumn("chunker_type", F.lit(None).cast("string"))
+    u = rows(spark, "VALUES (1,'GUIDELINE','biobert'),(2,'memo','biobert'),(3,'FAQ','word2vec'),(4,'POLICY','pubmedbert')", "id", "type", "embedding_type")
+    u = u.union(table(spark, d, "documents").selectExpr("10 + doc_id", "CASE WHEN doc_id % 3 = 0 THEN 'FAQ' ELSE coalesce(source, '') END", "CASE WHEN doc_id % 2 = 0 THEN 'biobert' ELSE coalesce(lang, '') END")).withColumn("chunker_type", F.lit(None).cast("string"))
     good, bad = src.validated(u)
     return good.select("id", F.lit("accepted").alias("outcome")).union(bad.select("id", "reason"))
 
 
 # ---- sections, groups
 
-@named(f"SELECT id, {_first_sql('h', vocab.SECTIONS)} AS kind FROM ({HEADINGS}) t(id, h)")
+@named(f"SELECT id, {_first_sql('h', vocab.SECTIONS)} AS kind FROM {ALL_HEADINGS} t")
 def section_classify(spark, d):
-    return rows(spark, HEADINGS, "id", "h").select("id", sections.section_type(F.col("h")).alias("kind"))
+    return headings(spark, d).select("id", sections.section_type(F.col("h")).alias("kind"))
 
 
-@named(f"SELECT id, {_first_sql('h', vocab.NER_SECTIONS)} AS kind FROM ({HEADINGS}) t(id, h)")
+@named(f"SELECT id, {_first_sql('h', vocab.NER_SECTIONS)} AS kind FROM {ALL_HEADINGS} t")
 def section_classify_ner(spark, d):
-    return rows(spark, HEADINGS, "id", "h").select("id", sections.section_type(F.col("h"), ner=True).alias("kind"))
+    return headings(spark, d).select("id", sections.section_type(F.col("h"), ner=True).alias("kind"))
 
 
-@named(f"SELECT id, {_first_sql('h', tx.strict_patterns(vocab.SECTIONS))} AS kind FROM ({HEADINGS}) t(id, h)")
+@named(f"SELECT id, {_first_sql('h', tx.strict_patterns(vocab.SECTIONS))} AS kind FROM {ALL_HEADINGS} t")
 def section_classify_strict(spark, d):
-    return rows(spark, HEADINGS, "id", "h").select("id", sections.section_type(F.col("h"), strict=True).alias("kind"))
+    return headings(spark, d).select("id", sections.section_type(F.col("h"), strict=True).alias("kind"))
 
 
 @named("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in vocab.BOOST_SECTIONS.items()) + ", ('imaging', NULL)) t(kind, boost)")
@@ -240,16 +251,18 @@ def boost_section_map(spark, d):
     return rows(spark, f"VALUES {kinds}", "kind").select("kind", sections.boost_section(F.col("kind")).alias("boost"))
 
 
-def _items(spark: SparkSession) -> DataFrame:
-    r = rows(spark, ITEMS, "job_id", "ord", "type", "content")
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("turn") % 4 == 0, "heading").when(F.col("turn") % 7 == 5, "table").otherwise("text")
+    c = table(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")), "turn", kind, F.coalesce("text", F.lit("")))
+    r = rows(spark, ITEMS, "job_id", "ord", "type", "content").union(c)
     return r.withColumn("level", F.when(F.col("type") == "heading", 1))
 
 
 _SECTIONED = f"""
-WITH i AS (SELECT * FROM ({ITEMS}) t(job_id, ord, type, content)),
+WITH i AS (SELECT * FROM {ALL_ITEMS}),
 s AS (SELECT *, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER w AS section_id, last_value(CASE WHEN type = 'heading' THEN content END IGNORE NULLS) OVER w AS title
   FROM i WINDOW w AS (PARTITION BY job_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-b AS (SELECT *, coalesce(title, 'Document Content') AS section_title FROM s WHERE type <> 'heading'),
+b AS (SELECT *, coalesce(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), 'Document Content') AS section_title FROM s WHERE type <> 'heading'),
 k AS (SELECT *, CASE WHEN regexp_matches(content, '^\\s*(?:•|\\-|\\d+\\.|\\w\\))') THEN 'list' WHEN type = 'table' THEN 'table' ELSE 'text' END AS kind FROM b),
 n AS (SELECT *, CASE WHEN kind = 'list' AND lag(kind) OVER w = 'list' AND lag(section_id) OVER w = section_id THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY job_id ORDER BY ord))
 """
@@ -257,12 +270,12 @@ n AS (SELECT *, CASE WHEN kind = 'list' AND lag(kind) OVER w = 'list' AND lag(se
 
 @named(_SECTIONED + f"SELECT job_id, ord, section_id::BIGINT AS section_id, section_title, CASE WHEN section_id > 0 THEN {_first_sql('section_title', vocab.SECTIONS)} END AS section_type FROM b")
 def section_assign(spark, d):
-    return sections.with_sections(_items(spark)).select("job_id", "ord", "section_id", "section_title", "section_type")
+    return sections.with_sections(_items(spark, d)).select("job_id", "ord", "section_id", "section_title", "section_type")
 
 
 @named(_SECTIONED + "SELECT job_id, ord, kind AS group_kind, sum(new) OVER (PARTITION BY job_id ORDER BY ord)::BIGINT AS group_id FROM n")
 def list_grouping(spark, d):
-    return sections.with_groups(sections.with_sections(_items(spark))).select("job_id", "ord", "group_kind", "group_id")
+    return sections.with_groups(sections.with_sections(_items(spark, d))).select("job_id", "ord", "group_kind", "group_id")
 
 
 @named("WITH t AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, count(*)::BIGINT AS items, sum(CASE WHEN regexp_matches(text, '^\\s*(?:•|\\-|\\d+\\.|\\w\\))') THEN 1 ELSE 0 END)::BIGINT AS list_items FROM t GROUP BY conv_id")
@@ -303,9 +316,9 @@ def chunk_context_windows(spark, d):
     return c.select("doc_id", F.posexplode(chunking.split_in_section(context, F.col("text"))).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
-@named("SELECT id, CASE WHEN h = '' THEN 'text' " + " ".join(f"WHEN regexp_matches(lower(replace(h, ',', ' ')), '{'|'.join(v)}') THEN '{k}'" for k, v in vocab.TABLE_TYPES.items()) + f" ELSE 'generic' END AS kind FROM ({TABLES}) t(id, h)")
+@named("SELECT id, CASE WHEN h = '' THEN 'text' " + " ".join(f"WHEN regexp_matches(lower(replace(h, ',', ' ')), '{'|'.join(v)}') THEN '{k}'" for k, v in vocab.TABLE_TYPES.items()) + f" ELSE 'generic' END AS kind FROM {ALL_TABLES} t")
 def table_type(spark, d):
-    r = rows(spark, TABLES, "id", "h").withColumn("rows", F.when(F.col("h") == "", F.array().cast("array<array<string>>")).otherwise(F.array(F.split("h", ","))))
+    r = headers(spark, d).withColumn("rows", F.when(F.col("h") == "", F.array().cast("array<array<string>>")).otherwise(F.array(F.split("h", ","))))
     return r.select("id", chunking.table_type(F.col("rows")).alias("kind"))
 
 
@@ -326,9 +339,9 @@ def medication_rows(spark, d):
     return r.select(F.posexplode(chunking.table_chunks(F.lit("[Section: M]\n"), F.col("rows"), F.lit(""))).alias("part", "c")).select("part", "c.chunk", "c.chunk_type")
 
 
-@named("SELECT id, len(list_filter(regexp_split_to_array(trim(h), '\\s+'), lambda x: x <> '')) > 15 AS kept FROM (VALUES (1,'a b c d e f g h i j k l m n o'),(2,'a b c d e f g h i j k l m n o p'),(3,'')) t(id, h)")
+@named("SELECT id, len(list_filter(regexp_split_to_array(trim(h), '\\s+'), lambda x: x <> '')) > 15 AS kept FROM (SELECT * FROM (VALUES (1,'a b c d e f g h i j k l m n o'),(2,'a b c d e f g h i j k l m n o p'),(3,'')) v(id, h) UNION ALL " + MORE_HEADINGS + ") t")
 def heading_gate(spark, d):
-    return rows(spark, "VALUES (1,'a b c d e f g h i j k l m n o'),(2,'a b c d e f g h i j k l m n o p'),(3,'')", "id", "h").select("id", (F.size(tx.words(F.col("h"))) > chunking.HEADING_WORDS).alias("kept"))
+    return rows(spark, "VALUES (1,'a b c d e f g h i j k l m n o'),(2,'a b c d e f g h i j k l m n o p'),(3,'')", "id", "h").union(headings(spark, d).where("id > 100")).select("id", (F.size(tx.words(F.col("h"))) > chunking.HEADING_WORDS).alias("kept"))
 
 
 @named("SELECT 1 AS id, 'Patient ID: 12345 Date: 2025-01-15' AS ocr")
@@ -376,17 +389,11 @@ def _entities_sql(source: str, c: str, patterns: dict[str, list[str]], names: li
     return f"WITH {', '.join(ctes)} SELECT id, {', '.join(cols)} FROM h"
 
 
-@named(_entities_sql(f"({CHUNKS}) t(id, c)", "c", vocab.CHUNK_ENTITIES, ["drugs", "diseases", "procedures"]))
-def entity_extract(spark, d):
-    e = enrich.entities(rows(spark, CHUNKS, "id", "chunk"))
-    return e.select("id", *[joined(n).alias(n) for n in ("drugs", "diseases", "procedures")])
-
-
-@named(f"WITH r AS ({_entities_sql('(SELECT doc_id AS id, text AS c FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, $$[^\x01-\x7f]$$)) t', 'c', vocab.CHUNK_ENTITIES, ['drugs', 'diseases', 'procedures'])}) SELECT count(*)::BIGINT AS docs, sum(CASE WHEN drugs || diseases || procedures <> '' THEN 1 ELSE 0 END)::BIGINT AS with_entities, sum(CASE WHEN procedures <> '' THEN 1 ELSE 0 END)::BIGINT AS with_procedures FROM r")
-def entity_stats(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select(F.col("text").alias("chunk")).where(~F.col("chunk").rlike(r"[^\x01-\x7f]"))
-    e = enrich.entities(docs)
-    return e.agg(F.count("*").alias("docs"), F.sum(F.col("has_medical_content").cast("long")).alias("with_entities"), F.sum((F.size("procedures") > 0).cast("long")).alias("with_procedures"))
+# a word that holds a letter or digit beyond ASCII is no entity: patterns are words of ASCII letters, bounded by what is no
+# letter of any script; DuckDB bounds words by ASCII letters only, so such words go before it looks
+_BEYOND = "[^\\x00-\\x7F\\PL]|[^\\x00-\\x7F\\P{{Nd}}]|[^\\x00-\\x7F\\P{{Mn}}]".replace("{{", "{").replace("}}", "}")
+_ALL_TEXTS = f"(SELECT id, regexp_replace(c, '(?:[0-9A-Za-z_]|{_BEYOND})*(?:{_BEYOND})(?:[0-9A-Za-z_]|{_BEYOND})*', '·', 'g') AS c FROM (SELECT doc_id AS id, coalesce(text, '') AS c FROM documents UNION ALL SELECT -id, c FROM ({CHUNKS}) v(id, c)))"
+_EXTRACTED = _entities_sql(_ALL_TEXTS, "c", vocab.CHUNK_ENTITIES, ["drugs", "diseases", "procedures"])
 
 
 def _all_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -395,18 +402,22 @@ def _all_texts(spark: SparkSession, d: str) -> DataFrame:
     return docs.union(rows(spark, CHUNKS, "id", "c").select((-F.col("id")).cast("long"), "c"))
 
 
-@named()
-def entity_extract_whole(spark, d):
-    """Entities of every document. No SQL: engines fold the case of non-ASCII letters differently; checked by brute force."""
+@named(_EXTRACTED)
+def entity_extract(spark, d):
+    """Entities of every document."""
     return enrich.entities(_all_texts(spark, d)).select("id", *[joined(n).alias(n) for n in ("drugs", "diseases", "procedures")])
 
 
-@named()
-def entity_stats_whole(spark, d):
+@named(f"SELECT count(*)::BIGINT AS docs, sum(CASE WHEN drugs || diseases || procedures <> '' THEN 1 ELSE 0 END)::BIGINT AS with_entities, sum(CASE WHEN procedures <> '' THEN 1 ELSE 0 END)::BIGINT AS with_procedures FROM ({_EXTRACTED})")
+def entity_stats(spark, d):
     e = enrich.entities(_all_texts(spark, d))
     return e.agg(F.count("*").alias("docs"), F.sum(F.col("has_medical_content").cast("long")).alias("with_entities"), F.sum((F.size("procedures") > 0).cast("long")).alias("with_procedures"))
 
 
+for _name in ("entity_extract", "entity_stats"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
+
+
 @named(r"""WITH t AS (SELECT lang, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^\sA-Za-z0-9]')) AS n FROM documents)
 SELECT lang, count(*)::BIGINT AS docs, round(avg(n), 2) AS mean_tokens, max(n)::INTEGER AS most_tokens, sum(CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, ceil((n - 512) / 462.0)) END)::BIGINT AS windows FROM t GROUP BY lang""")
 def corpus_stats(spark, d):
@@ -475,46 +486,51 @@ def ner_answer_types(spark, d):
 
 # ---- questions
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return rows(spark, QUESTIONS, "qid", "query").withColumn("embedding_types", F.lit(None).cast("array<string>"))
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d).withColumn("embedding_types", F.lit(None).cast("array<string>"))
 
 
 _CLEAN = r"regexp_replace(regexp_replace(trim(regexp_replace(query, '\s+', ' ', 'g')), '\s+([,.])', '\1', 'g'), '([,.])(\w)', '\1 \2', 'g')"
 
 
+_LETTER = "(?:[^\\x00-\\x7F\\PL]|[^\\x00-\\x7F\\P{Nd}])"
+
+
 def _rewrite_sql(c: str, table_: dict[str, str]) -> str:
+    """Whole words replaced. DuckDB bounds words by ASCII letters only: a mark stands where these meet others meanwhile."""
+    c = f"regexp_replace(regexp_replace({c}, '([0-9A-Za-z_])({_LETTER})', '\\1__Q__\\2', 'g'), '({_LETTER})([0-9A-Za-z_])', '\\1__Q__\\2', 'g')"
     for k, v in table_.items():
         c = f"regexp_replace({c}, '(?i)\\b{tx.quoted(k)}\\b', '{v}', 'g')"
-    return c
+    return f"replace({c}, '__Q__', '')"
 
 
-@named(f"SELECT qid, {_CLEAN} AS cleaned FROM ({QUESTIONS}) t(qid, query)")
+@named(f"SELECT qid, {_CLEAN} AS cleaned FROM {ALL_QUESTIONS} t")
 def query_clean(spark, d):
-    return _questions(spark).select("qid", tx.cleaned(F.col("query")).alias("cleaned"))
+    return _questions(spark, d).select("qid", tx.cleaned(F.col("query")).alias("cleaned"))
 
 
-@named(f"SELECT qid, {_rewrite_sql(_CLEAN, tx.longest_first(vocab.ABBREVIATIONS))} AS expanded FROM ({QUESTIONS}) t(qid, query)")
+@named(f"SELECT qid, {_rewrite_sql(_CLEAN, tx.longest_first(vocab.ABBREVIATIONS))} AS expanded FROM {ALL_QUESTIONS} t")
 def abbrev_expand(spark, d):
-    return _questions(spark).select("qid", tx.rewritten(tx.cleaned(F.col("query")), tx.longest_first(vocab.ABBREVIATIONS))[0].alias("expanded"))
+    return _questions(spark, d).select("qid", tx.rewritten(tx.cleaned(F.col("query")), tx.longest_first(vocab.ABBREVIATIONS))[0].alias("expanded"))
 
 
-@named(f"SELECT qid, {_rewrite_sql('query', vocab.MISSPELLINGS)} AS corrected FROM ({QUESTIONS}) t(qid, query)")
+@named(f"SELECT qid, {_rewrite_sql('query', vocab.MISSPELLINGS)} AS corrected FROM {ALL_QUESTIONS} t")
 def misspell_fix(spark, d):
-    return _questions(spark).select("qid", tx.rewritten(F.col("query"), vocab.MISSPELLINGS)[0].alias("corrected"))
+    return _questions(spark, d).select("qid", tx.rewritten(F.col("query"), vocab.MISSPELLINGS)[0].alias("corrected"))
 
 
-_CLEANED = f"(SELECT qid AS id, {_rewrite_sql(_rewrite_sql(_CLEAN, tx.longest_first(vocab.ABBREVIATIONS)), vocab.MISSPELLINGS)} AS c FROM ({QUESTIONS}) t(qid, query))"
+_CLEANED = f"(SELECT qid AS id, {_rewrite_sql(_rewrite_sql(_CLEAN, tx.longest_first(vocab.ABBREVIATIONS)), vocab.MISSPELLINGS)} AS c FROM {ALL_QUESTIONS} t)"
 
 
 @named(_entities_sql(_CLEANED, "c", vocab.QUERY_ENTITIES, list(vocab.QUERY_ENTITIES)).replace("SELECT id, array_to_string", "SELECT id AS qid, array_to_string"))
 def query_entities(spark, d):
-    e = query.analysed(_questions(spark))
+    e = query.analysed(_questions(spark, d))
     return e.select("qid", *[joined(F.transform(F.filter("entities", query._is(k)), lambda x: x["text"])).alias(k) for k in vocab.QUERY_ENTITIES])
 
 
 @named(f"SELECT id AS qid, array_to_string(list_filter(list_distinct_(w), lambda x: regexp_matches(x, '^.{{3,}}({'|'.join(vocab.TERM_SUFFIXES)})$')), '|') AS terms FROM (SELECT id, regexp_split_to_array(lower(c), '\\s+') AS w FROM {_CLEANED})".replace("list_distinct_(w)", _UNIQ.format(h="w")))
 def medical_terms(spark, d):
-    return query.analysed(_questions(spark)).select("qid", joined("medical_terms").alias("terms"))
+    return query.analysed(_questions(spark, d)).select("qid", joined("medical_terms").alias("terms"))
 
 
 def _score_sql(intent: str) -> str:
@@ -523,12 +539,12 @@ def _score_sql(intent: str) -> str:
     return " + ".join(parts)
 
 
-_SCORES = "WITH s AS (" + " UNION ALL ".join(f"SELECT qid, query, '{i}' AS intent, {n} AS o, ({_score_sql(i)})::DOUBLE AS score FROM ({QUESTIONS}) t(qid, query)" for n, i in enumerate(vocab.INTENT_PATTERNS)) + "), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, o) AS r FROM s)"
+_SCORES = "WITH s AS (" + " UNION ALL ".join(f"SELECT qid, query, '{i}' AS intent, {n} AS o, ({_score_sql(i)})::DOUBLE AS score FROM {ALL_QUESTIONS} t" for n, i in enumerate(vocab.INTENT_PATTERNS)) + "), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, o) AS r FROM s)"
 
 
 @named(_SCORES + " SELECT qid, intent, score FROM s")
 def intent_scores(spark, d):
-    return _questions(spark).select("qid", F.explode(query.intent_scores(F.col("query"))).alias("s")).select("qid", "s.intent", "s.score")
+    return _questions(spark, d).select("qid", F.explode(query.intent_scores(F.col("query"))).alias("s")).select("qid", "s.intent", "s.score")
 
 
 _PRIMARY = _SCORES + ", p AS (SELECT a.qid, a.intent AS i1, a.score AS s1, b.score AS s2 FROM r a JOIN r b ON a.qid = b.qid AND a.r = 1 AND b.r = 2), f AS (SELECT qid, CASE WHEN s1 > 0 THEN i1 ELSE 'general' END AS intent, CASE WHEN s1 <= 0 THEN 0.5 WHEN s2 > 0 THEN least(0.95, s1 / (s1 + s2)) ELSE least(0.95, s1 / 3) END AS confidence FROM p)"
@@ -536,12 +552,12 @@ _PRIMARY = _SCORES + ", p AS (SELECT a.qid, a.intent AS i1, a.score AS s1, b.sco
 
 @named(_PRIMARY + f" SELECT qid, intent, round(confidence, 4)::DOUBLE AS confidence, intent IN ({', '.join(repr(i) for i in vocab.SPECIFIC_SOURCE_INTENTS)}) AS specific FROM f")
 def intent_primary(spark, d):
-    return query.with_intent(_questions(spark)).select("qid", "intent", F.round("confidence", 4).alias("confidence"), F.col("requires_specific_source").alias("specific"))
+    return query.with_intent(_questions(spark, d)).select("qid", "intent", F.round("confidence", 4).alias("confidence"), F.col("requires_specific_source").alias("specific"))
 
 
 @named(_SCORES + " SELECT r.qid, r.intent, round(r.score / greatest(a.score, 1.0), 4)::DOUBLE AS share FROM r JOIN r a ON a.qid = r.qid AND a.r = 1 WHERE r.r BETWEEN 2 AND 4 AND r.score > 0 AND a.score > 0")
 def intent_secondary(spark, d):
-    return query.with_intent(_questions(spark)).select("qid", F.explode("secondary").alias("s")).select("qid", "s.intent", F.round("s.share", 4).alias("share"))
+    return query.with_intent(_questions(spark, d)).select("qid", F.explode("secondary").alias("s")).select("qid", "s.intent", F.round("s.share", 4).alias("share"))
 
 
 @named("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{'|'.join(c)}', {str(p).lower()}, {m}::DOUBLE)" for i, (c, p, m) in vocab.STRATEGIES.items()) + ") t(intent, chunk_types, precision_required, min_confidence)")
@@ -555,23 +571,23 @@ def _config_sql(n: int) -> str:
 
 @named(_PRIMARY + f" SELECT qid, {_config_sql(0)} AS answer_filter, {_config_sql(1)} AS boost_sections FROM f")
 def boost_params(spark, d):
-    return query.enhanced(_questions(spark)).select("qid", joined("answer_filter").alias("answer_filter"), joined("boost_sections").alias("boost_sections"))
+    return query.enhanced(_questions(spark, d)).select("qid", joined("answer_filter").alias("answer_filter"), joined("boost_sections").alias("boost_sections"))
 
 
 @named("SELECT * FROM (VALUES (1,'metformin|glucophage|fortamet|glumetza'),(3,'metformin|glucophage|fortamet|glumetza'),(13,'metoprolol')) t(qid, drugs)")
 def entity_filters(spark, d):
     # stated questions of the report, whose filters are known
-    return query.enhanced(_questions(spark)).where("qid in (1, 3, 13)").select("qid", joined("drugs").alias("drugs"))
+    return query.enhanced(_questions(spark, d)).where("qid in (1, 3, 13)").select("qid", joined("drugs").alias("drugs"))
 
 
 @named("SELECT 1 AS qid, 'metformin dosage|glucophage dosage|fortamet dosage|glumetza dosage|metformin medication information|metformin drug|metformin dose|how much metformin' AS texts")
 def search_variants(spark, d):
-    return query.enhanced(_questions(spark)).where("qid = 1").select("qid", joined("search_texts").alias("texts"))
+    return query.enhanced(_questions(spark, d)).where("qid = 1").select("qid", joined("search_texts").alias("texts"))
 
 
 @named()
 def enhanced_queries(spark, d):
-    e = query.metadata_filters(query.rewrites(query.search_strategy(query.enhanced(_questions(spark)))))
+    e = query.metadata_filters(query.rewrites(query.search_strategy(query.enhanced(_questions(spark, d)))))
     return e.select("qid", "cleaned", "intent", joined("rewrites").alias("rewrites"), "use_entity_filtering", "metadata_filters.min_confidence", joined("metadata_filters.chunk_types").alias("chunk_types"))
 
 
@@ -667,7 +683,8 @@ def retrieve_answers(spark, d):
     c = docs.select(F.col("doc_id").cast("string").alias("job_id"), F.posexplode(chunking.split_plain(F.col("text"))).alias("chunk_no", "chunk")).withColumn("section_type", F.lit(None).cast("string"))
     c = enrich.enriched(c).withColumns({"embedding_type": F.lit("pubmedbert"), "id": F.concat_ws("-", "job_id", "chunk_no"), "text": F.col("chunk")})
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.array(F.lit("pubmedbert")).alias("embedding_types"))
-    out = retrieve(q, embedded(c), 10, "boost_only")
+    # points are stored before they are searched
+    out = retrieve(q, store.materialised(embedded(c)), 10, "boost_only")
     return out.select("qid", "answer", "intent", F.size("cited").alias("citations"), joined("searched").alias("searched"))
 
 
@@ -676,7 +693,9 @@ def event_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@named()
+@named(_TOKENS + f""", n AS (SELECT doc_id, len(t)::BIGINT AS n FROM t WHERE len(t) > 0),
+w AS (SELECT doc_id, n, CASE WHEN n <= {chunking.SIZE} THEN 1 ELSE 1 + ceil((n - {chunking.SIZE}) / {chunking.SIZE - chunking.OVERLAP}.0)::BIGINT END AS w FROM n)
+SELECT 'pubmedbert' AS embedding_type, sum(CASE WHEN w > 1 AND n - (w - 1) * {chunking.SIZE - chunking.OVERLAP} < {chunking.LEAST} THEN w - 1 ELSE w END)::BIGINT AS points, count(*)::BIGINT AS documents FROM w""")
 def stream_ingest(spark, d):
     """Documents through the streaming plan into a collections' table: points stored by embedding type."""
     from .streaming.replay import replayed

@@ -41,10 +41,12 @@ def quoted(word: str) -> str:
 
 def labels(c: Column, table: dict[str, list[str]], fallback: str = "general") -> Column:
     """Labels any of whose phrases is in the lower-cased text, in table order; the fallback alone if none is."""
-    low = F.lower(c)
-    found = F.array(*[F.when(low.rlike("|".join(map(quoted, phrases))), F.lit(label)) for label, phrases in table.items()])
-    found = F.filter(found, lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fallback)))
+
+    def found(low):
+        hit = lambda phrases: reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
+        return F.array_compact(F.array(*[F.when(hit(phrases), F.lit(label)) for label, phrases in table.items()]))
+
+    return let(let(F.lower(c), found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(fallback))))
 
 
 def first_match(c: Column, patterns: dict[str, str]) -> Column:

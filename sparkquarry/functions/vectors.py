@@ -30,20 +30,41 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def pooled(m: Column, how: str = "mean") -> Column:
-    """An array of vectors as one: its first ("cls"), the mean or the maximum of each component."""
+def unit(v: Column) -> Column:
+    """Of unit length; null for a vector without length."""
+    return let(v, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))))
+
+
+def pooled(m: Column, how: str = "mean", mask: Column | None = None) -> Column:
+    """An array of vectors as one: its first ("cls"), or the mean or the maximum of each component.
+
+    mask: an array of 0 and 1; vectors at 0 (padding) count in no mean and no maximum.  Where none is left a mean is zeros.
+    """
     if how == "cls":
         return F.element_at(m, 1)
+    if how not in ("mean", "max"):
+        raise ValueError(f"unknown pooling {how!r}: cls, mean or max")
+    kept = m if mask is None else F.filter(m, lambda v, i: F.get(mask, i) == 1)
+    first = F.element_at(m, 1)
     if how == "max":
-        return F.aggregate(F.slice(m, 2, F.size(m)), F.element_at(m, 1), lambda s, v: F.zip_with(s, v, lambda x, y: F.greatest(x, y)))
-    if how == "mean":
-        total = F.aggregate(F.slice(m, 2, F.size(m)), doubled(F.element_at(m, 1)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-        return F.transform(total, lambda x: x / F.size(m))
-    raise ValueError(f"unknown pooling {how!r}: cls, mean or max")
+        return let(kept, lambda k: F.when(F.size(k) > 0, F.aggregate(F.slice(k, 2, F.greatest(F.size(k), F.lit(1))), F.get(k, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: F.greatest(x, y)))))
+    total = lambda k: F.aggregate(k, F.transform(first, lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+    return let(kept, lambda k: F.transform(total(k), lambda x: x / F.greatest(F.size(k), F.lit(1))))
+
+
+#: A character for each bucket of the hashing embedder.
+_BUCKETS = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), 35, 36]))
 
 
 def hash_embedding(text: Column, dimensions: int = 64) -> Column:
-    """Feature hashing (Weinberger et al. 2009): counts of lower-cased tokens by md5 bucket, of unit length."""
-    buckets = F.transform(tokens(F.lower(text)), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int"))
-    counts = let(buckets, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(all_, lambda b: b == i)).cast("double")))
-    return normalised(counts)
+    """Feature hashing (Weinberger et al. 2009): counts of lower-cased tokens by md5 bucket, of unit length.
+
+    Buckets are spelled as one string, a character a token, so that a count is a length before and after a replacement:
+    a fast pass over bytes for each bucket instead of a lambda for each bucket and token.
+    """
+    if dimensions > len(_BUCKETS):
+        raise ValueError(f"at most {len(_BUCKETS)} dimensions")
+    bucket = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions
+    spelled = F.array_join(F.transform(tokens(F.lower(text)), lambda t: F.substring(F.lit(_BUCKETS), (bucket(t) + 1).cast("int"), F.lit(1))), "")
+    marks = F.array(*map(F.lit, _BUCKETS[:dimensions]))
+    return normalised(let(spelled, lambda s: F.transform(marks, lambda c: (F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))).cast("double"))))

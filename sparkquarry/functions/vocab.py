@@ -282,7 +282,7 @@ INTENT_KEYWORDS = {
 
 SPECIFIC_SOURCE_INTENTS = ["dosage", "contraindications", "procedure"]
 
-#: Intent -> (answer types, boosted sections, entity types, boost weight) that search uses; others as "general".
+#: Intent -> (answer types, boosted sections, entity types) that search uses; others as "general".
 INTENT_CONFIG = {
     "dosage": (["dosage", "definition"], ["dosage", "dosage_administration", "administration"], ["drug"]),
     "side_effects": (["side_effects"], ["adverse_reactions", "side_effects", "warnings"], ["drug"]),
@@ -294,6 +294,9 @@ INTENT_CONFIG = {
     "general": (["general"], [], []),
 }
 
+#: Intent -> boost weight; others as "general".
+BOOST_WEIGHTS = {"dosage": 1.3, "side_effects": 1.3, "contraindications": 1.3, "diagnosis": 1.2, "treatment": 1.2, "comparison": 1.2, "procedure": 1.2, "general": 1.0}
+
 #: Intent -> (chunk types, precision required, least confidence) of the retrieval strategy.
 STRATEGIES = {
     "definition": (["heading", "text"], False, 0.60),

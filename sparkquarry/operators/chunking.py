@@ -87,6 +87,20 @@ def table_chunks(context: Column, rows: Column, md: Column) -> Column:
     )
 
 
+def with_page_size(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks whose page has no size take the one that their document's metadata name (page_width, page_height), if they do."""
+    if not {"page_width", "page_height"} <= {*documents.columns}:
+        return chunks
+    d = documents.select(F.col("job_id").alias("_j"), *[F.expr(f"try_cast({c} as double)").alias(f"_{c}") for c in ("page_width", "page_height")])
+    c = chunks.join(d, F.col("job_id") == F.col("_j"), "left")
+    return c.withColumns({n: F.coalesce(n, f"_{n}") for n in ("page_width", "page_height")}).select(*chunks.columns)
+
+
+def size_text(size: Column) -> Column:
+    """A page's width or height as payloads show it: NA where it is not known."""
+    return F.coalesce(size.cast("string"), F.lit("NA"))
+
+
 def _numbered(chunks: DataFrame, order: list) -> DataFrame:
     w = Window.partitionBy("job_id").orderBy(*order)
     return chunks.where(strip(F.col("chunk")) != "").withColumn("chunk", strip(F.col("chunk"))).withColumn("chunk_no", F.row_number().over(w) - 1).select(*CHUNK)
@@ -99,19 +113,20 @@ def section_chunks(source: DataFrame, compat: bool = False, strict: bool = False
     if ner:
         grouped = grouped.where("type = 'text'").withColumn("group_kind", F.lit("text"))
     context = F.concat(F.lit("[Section: "), F.col("section_title"), F.lit("]\n"))
-    keep = ["job_id", "page", "page_width", "page_height", "bbox", "section_title", "section_type", "section_id", "group_id"]
-    lists = grouped.where("group_kind = 'list'").groupBy("job_id", "section_id", "group_id").agg(
-        F.min(F.struct("ord", "page", "page_width", "page_height", "section_title", "section_type")).alias("f"), F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("l"))
-    lists = lists.select("job_id", "f.page", "f.page_width", "f.page_height", F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("bbox"), "f.section_title", "f.section_type", "section_id", "group_id", F.array_join(F.col("l.content"), "\n").alias("body"))
-    text = F.concat(context, F.lit("\n"), F.col("body"))
-    fits = token_count(text) <= SECTION_SIZE
+    # every group is a row: items of a list together, all others alone
+    first = F.min(F.struct("ord", "group_kind", "page", "page_width", "page_height", "bbox", "section_title", "section_type", "rows", "content")).alias("f")
+    g = grouped.groupBy("job_id", "section_id", "group_id", *(["ord"] if ner else [])).agg(first, F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("l"))
+    none = F.lit(None).cast("struct<x:double,y:double,w:double,h:double>")
+    is_list = F.col("f.group_kind") == "list"
+    g = g.select("job_id", "f.ord", "f.group_kind", "f.page", "f.page_width", "f.page_height", F.when(is_list, none).otherwise(F.col("f.bbox")).alias("bbox"), "f.section_title", "f.section_type", "section_id", "group_id", "f.rows", F.when(is_list, F.array_join(F.col("l.content"), "\n")).otherwise(F.col("f.content")).alias("body"))
     typed = lambda c, kind: F.struct(c.alias("chunk"), F.lit(kind).alias("chunk_type"))
-    rest = F.array().cast("array<struct<chunk:string,chunk_type:string>>") if compat else F.transform(split_in_section(context, F.col("body")), lambda c: typed(c, "text"))
-    lists = lists.select(*keep, F.posexplode(F.when(fits, F.array(typed(text, "list"))).otherwise(rest)).alias("part", "c"))
-    tables = grouped.where("group_kind = 'table'").select(*keep, F.posexplode(table_chunks(context, F.col("rows"), F.col("content"))).alias("part", "c"))
-    texts = grouped.where("group_kind = 'text'").where(strip(F.col("content")) != "").select(*keep, F.posexplode(F.transform(split_in_section(context, F.col("content")), lambda c: typed(c, "text"))).alias("part", "c"))
-    out = lists.unionByName(tables).unionByName(texts).select(*keep, "part", "c.chunk", "c.chunk_type")
-    return _numbered(out, ["section_id", "group_id", "part"])
+    empty = F.array().cast("array<struct<chunk:string,chunk_type:string>>")
+    texts = F.transform(split_in_section(context, F.col("body")), lambda c: typed(c, "text"))
+    text = F.concat(context, F.lit("\n"), F.col("body"))
+    lists = F.when(token_count(text) <= SECTION_SIZE, F.array(typed(text, "list"))).otherwise(empty if compat else texts)
+    chunks = F.when(F.col("group_kind") == "list", lists).when(F.col("group_kind") == "table", table_chunks(context, F.col("rows"), F.col("body"))).when(strip(F.col("body")) != "", texts).otherwise(empty)
+    out = g.select("job_id", "ord", "page", "page_width", "page_height", "bbox", "section_title", "section_type", "section_id", "group_id", F.posexplode(chunks).alias("part", "c")).select("*", "c.chunk", "c.chunk_type").drop("c")
+    return _numbered(out, ["section_id", "group_id", "ord", "part"])
 
 
 def healthcare_chunks(parsed: DataFrame, compat: bool = False, strict: bool = False, ner: bool = False) -> DataFrame:

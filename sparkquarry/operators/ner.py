@@ -6,8 +6,10 @@ entities never leave their row.  A model is any function DataFrame -> DataFrame
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..functions.text import lookup
 
 ENTITY = "struct<text:string,type:string,start:int,end:int,confidence:double,normalized:string,synonyms:array<string>,metadata:map<string,string>>"
 THRESHOLD = 0.7
+#: Characters of a text from which a model gets it in parts, most characters of a part, texts that a model gets at once.
+LONG, PART, BATCH = 2048, 1536, 32
 
 
 def tag_type(tag: Column) -> Column:
@@ -58,6 +62,61 @@ def lexicon(df: DataFrame, text: str = "text", out: str = "entities") -> DataFra
     return df.withColumn(out, kept)
 
 
+def parts_of(text: str) -> list[tuple[int, str]]:
+    """(offset, part) of a text: whole if it is short, else sentences packed up to PART characters; a longer one stays whole.
+
+    Offsets are those in the text itself, whatever white space stands between sentences.
+    """
+    if len(text) <= LONG:
+        return [(0, text)]
+    out, begin, end = [], 0, 0
+    while end < len(text):
+        at = text.find(". ", end)
+        stop = len(text) if at < 0 else at + 2
+        if end > begin and stop - begin > PART:
+            out.append((begin, text[begin:end]))
+            begin = end
+        end = stop
+    return [*out, (begin, text[begin:end])]
+
+
+def batched(load: Callable[[], Callable[[list[str]], list[list[dict]]]]) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A model for enriched() and processed() from ``load``, which is called once in each Python worker.
+
+    It returns a function of a list of texts that gives a list of entities for each: dicts of word, entity_group (a tag,
+    see tag_type), start, end, score.  Texts come in Arrow batches and go to it BATCH at a time, long ones in parts, whose
+    offsets are put right.  A null text has no entities.
+    """
+
+    @F.pandas_udf("array<struct<word:string,tag:string,start:int,end:int,score:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            parts = [(i, offset, part) for i, t in enumerate(texts) if t for offset, part in parts_of(t)]
+            found = [[] for _ in range(len(texts))]
+            for k in range(0, len(parts), BATCH):
+                some = parts[k : k + BATCH]
+                for (i, offset, _), entities in zip(some, model([p for _, _, p in some]), strict=True):
+                    found[i] += [{"word": e["word"], "tag": e["entity_group"], "start": e["start"] + offset, "end": e["end"] + offset, "score": float(e["score"])} for e in entities]
+            yield pd.Series(found, index=texts.index)
+
+    def add(df: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
+        return df.withColumn(out, run(F.col(text))).withColumn(out, F.transform(out, lambda e: entity(e["word"], tag_type(e["tag"]), e["start"], e["end"], e["score"])))
+
+    return add
+
+
+def to_json(entities: Column) -> Column:
+    """Entities as a JSON array, fields without a value left out."""
+    return F.to_json(entities)
+
+
+def from_json(text: Column) -> Column:
+    """Entities of a JSON array; what it lacks is null, synonyms and metadata are empty."""
+    e = F.from_json(text, f"array<{ENTITY}>")
+    return F.transform(e, lambda x: _with(x, synonyms=F.coalesce(x["synonyms"], F.array().cast("array<string>")), metadata=F.coalesce(x["metadata"], F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"))))
+
+
 def confident(entities: Column, threshold: float = THRESHOLD) -> Column:
     return F.filter(entities, lambda e: e["confidence"] >= threshold)
 

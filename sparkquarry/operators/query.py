@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import cleaned, found_by_type, longest_first, rewritten, words
+from ..functions.text import cleaned, found_by_type, longest_first, lookup, rewritten, words
+from .ner import processed
 
 INTENTS = list(vocab.INTENT_PATTERNS)
 PLURAL = {"drug": "drugs", "disease": "diseases", "procedure": "procedures"}
@@ -89,9 +90,11 @@ def _is(kind: str):
 
 
 def with_filters(analysed_: DataFrame) -> DataFrame:
-    """Add search filters (answer_filter, and surface forms of the intent's entity types in drugs, diseases, procedures) and boost_sections."""
+    """Add search filters (answer_filter, and surface forms of the intent's entity types in drugs, diseases, procedures),
+    boost_sections and boost_weight."""
     config = lambda n: _by_intent({k: v[n] for k, v in vocab.INTENT_CONFIG.items()}, vocab.INTENT_CONFIG["general"][n])
-    q = analysed_.withColumns({"answer_filter": config(0), "boost_sections": config(1), "_kinds": config(2)})
+    weight = F.coalesce(lookup(F.col("intent"), vocab.BOOST_WEIGHTS), F.lit(vocab.BOOST_WEIGHTS["general"]))
+    q = analysed_.withColumns({"answer_filter": config(0), "boost_sections": config(1), "boost_weight": weight, "_kinds": config(2)})
     for kind, name in PLURAL.items():
         own = F.when(F.array_contains("_kinds", F.lit(kind)), F.filter("entities", _is(kind))).otherwise(F.filter("entities", lambda e: F.lit(False)))
         forms = F.flatten(F.transform(own, lambda e: F.concat(F.array(e["text"], e["normalized"]), e["synonyms"])))
@@ -108,9 +111,23 @@ def with_search_variants(q: DataFrame) -> DataFrame:
     return q.withColumn("search_texts", F.array_distinct(F.concat(F.array("query", "cleaned"), "variants", extra)))
 
 
-def enhanced(queries: DataFrame, strict: bool = False) -> DataFrame:
-    """What search needs of each question. The intent comes from the question as it was asked."""
-    return with_search_variants(with_filters(with_intent(analysed(queries, strict=strict))))
+def enhanced(queries: DataFrame, strict: bool = False, model=None) -> DataFrame:
+    """What search needs of each question. The intent comes from the question as it was asked.
+
+    model: a function of (DataFrame, text column, new column) that adds entities with offsets, as in operators.ner; what it
+    finds beside the patterns joins them.
+    """
+    q = analysed(queries, strict=strict)
+    if model is not None:
+        q = with_model_entities(processed(model(q, "cleaned", "_ner"), "cleaned", "_ner"), "_ner").drop("_ner")
+    return with_search_variants(with_filters(with_intent(q)))
+
+
+def entities_by_type(entities: Column) -> Column:
+    """Type -> distinct normal forms (or texts) of its entities, in order of appearance; types by name."""
+    kinds = F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["type"])))
+    own = lambda k: F.array_distinct(F.transform(F.filter(entities, lambda e: e["type"] == k), lambda e: F.coalesce(e["normalized"], e["text"])))
+    return F.map_from_arrays(kinds, F.transform(kinds, own))
 
 
 def rewrites(enhanced_: DataFrame) -> DataFrame:
@@ -144,5 +161,5 @@ def metadata_filters(enhanced_: DataFrame) -> DataFrame:
 
 
 def search_strategy(enhanced_: DataFrame) -> DataFrame:
-    """Add use_entity_filtering and use_hybrid_search, which tell a caller and change nothing by themselves."""
-    return enhanced_.withColumns({"use_entity_filtering": F.size("entities") > 0, "use_hybrid_search": F.lit(True)})
+    """Add entities_by_type, and use_entity_filtering and use_hybrid_search, which tell a caller and change nothing by themselves."""
+    return enhanced_.withColumns({"entities_by_type": entities_by_type(F.col("entities")), "use_entity_filtering": F.size("entities") > 0, "use_hybrid_search": F.lit(True)})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
+from ..sources.store import materialised
 
 K1, B = 1.2, 0.75
 
@@ -47,10 +48,13 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
     Terms meet in an equi-join of the questions' terms with the documents' term counts; counts are combined before the
     shuffle, and only terms that some question has leave the scan.
     """
-    d = docs.select("id", tokens(F.lower("text")).alias("w"))
-    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
+    size = F.regexp_count(F.lower("text"), F.lit(TOKEN))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
     q = queries.select("qid", F.explode(F.array_distinct(tokens(F.lower("query")))).alias("term"))
+    d = docs.select("id", tokens(F.lower("text")).alias("w"))
     tf = d.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    # scores and document frequencies both read the counts
+    tf = materialised(tf)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     x = q.join(tf, "term").join(df, "term").crossJoin(stats)  # stats is one row
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))

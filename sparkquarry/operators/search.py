@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, unit
 
 ENTITY_FIELDS = ("drugs", "diseases", "procedures")
-#: Candidates of a collection, questions that are sent to all executors at most, parts of a collection beyond that.
-TOP, SENT, PARTS = 50, 2000, 64
+#: Candidates of a collection, questions that are sent to all executors at most, points of a collection's part beyond that.
+TOP, SENT, PART = 50, 2000, 50_000
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -56,12 +56,14 @@ def _paired(queries: DataFrame, points: DataFrame, sent: int) -> DataFrame:
     """Each question with the points of its collection that it may get, p and q as structs' aliases.
 
     Few questions go to all executors (their number is checked), so a collection is not moved at all; more are copied
-    to PARTS parts of each collection, which a hash of the id spreads evenly, and met in an ordinary join.
+    to the parts of each collection, as many as its points ask for, which a hash of the id spreads evenly, and met in an
+    ordinary join.
     """
     if queries.count() <= sent:
         return F.broadcast(queries).alias("q").join(points.alias("p"), F.col("q.embedding_type") == F.col("p.embedding_type"))
-    q = queries.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("q")
-    p = points.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).alias("p")
+    parts = max(1, -(-points.count() // PART))
+    q = queries.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("q")
+    p = points.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).alias("p")
     return q.join(p, (F.col("q.embedding_type") == F.col("p.embedding_type")) & (F.col("q._part") == F.col("p._part")))
 
 
@@ -81,13 +83,15 @@ def search(queries: DataFrame, points: DataFrame, k: int = TOP, mode: str = "any
     for name in ("type", "chunk_type", "boost_section"):
         if name not in points.columns:
             points = points.withColumn(name, F.lit(None).cast("string"))
-    hit = _paired(queries, points, sent).where(matches(mode)).withColumn("original_score", cosine(F.col("q.vector"), F.col("p.embedding")))
+    # lengths are taken out once a row, not once a pair
+    queries, points = queries.withColumn("vector", unit(F.col("vector"))), points.withColumn("_unit", unit(F.col("embedding")))
+    hit = _paired(queries, points, sent).where(matches(mode)).withColumn("original_score", dot(F.col("q.vector"), F.col("p._unit")))
     top = Window.partitionBy("q.qid", "p.embedding_type").orderBy(F.desc("original_score"), "p.id")
     hit = hit.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
     factor = reduce(lambda a, b: a * b, [F.when(c, F.lit(f)).otherwise(1.0) for _, f, c in boosts()])
     applied = F.array_compact(F.array(*[F.when(c, n) for n, _, c in boosts()]))
     hit = hit.withColumns({"score": F.col("original_score") * factor, "boost_applied": applied})
-    payload = [F.col(f"p.{c}") for c in points.columns if c not in ("embedding", "_part")]
+    payload = [F.col(f"p.{c}") for c in points.columns if c not in ("embedding", "_unit", "_part")]
     out = hit.select(F.col("q.qid").alias("qid"), "original_score", "score", "boost_applied", *payload)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "embedding_type").orderBy(F.desc("score"), F.desc("original_score"), "id")))
 

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..operators.enrich import backfilled
 
 
-def backfill(spark: SparkSession, table: str, into: str) -> None:
-    """Write the completed points of a collections' table into another; vectors are read once and written as they are."""
+def backfill(spark: SparkSession, table: str, into: str) -> int:
+    """Write the completed points of a collections' table into another, and say how many were changed.
+
+    Vectors are read once and written as they are.
+    """
     out: DataFrame = backfilled(spark.read.table(table).drop("enrichment_version"))
     spark.sql(f"CREATE TABLE IF NOT EXISTS {into} LIKE {table}")
     out.select(*[F.col(c) for c in spark.read.table(into).columns]).write.mode("overwrite").insertInto(into)
+    return spark.read.table(into).where("enrichment_version is not null").count()

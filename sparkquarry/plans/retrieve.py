@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from ..operators import answer, query, rerank, search
 from ..operators.embed import embedded
+from ..sources.store import materialised
 
 
-def hits(questions: DataFrame, points: DataFrame, k: int = search.TOP, mode: str = "any") -> tuple[DataFrame, DataFrame]:
-    """(enhanced questions, merged hits). questions: qid, query, embedding_types (null: by confidence)."""
-    q = query.enhanced(questions)
+def hits(questions: DataFrame, points: DataFrame, k: int = search.TOP, mode: str = "any", model=None) -> tuple[DataFrame, DataFrame]:
+    """(enhanced questions, merged hits). questions: qid, query, embedding_types (null: by confidence); model: see query.enhanced."""
+    q = query.enhanced(questions, model=model)
     q = q.withColumn("rerank_query", rerank.rerank_text(F.col("search_texts")))
     routed = embedded(search.routed(q), "cleaned").withColumnRenamed("embedding", "vector")
     return q, search.merged(search.search(routed, points, k, mode), k)
 
 
-def retrieve(questions: DataFrame, points: DataFrame, k: int = search.TOP, mode: str = "any") -> DataFrame:
+def retrieve(questions: DataFrame, points: DataFrame, k: int = search.TOP, mode: str = "any", model=None) -> DataFrame:
     """qid, answer, cited, intent, confidence, entities and filters used, search_texts, embedding types searched."""
-    q, found = hits(questions, points, k, mode)
+    q, found = hits(questions, points, k, mode, model)
+    # ranking, its statistics and the list of what was searched all read the hits
+    q, found = materialised(q), materialised(found)
     ranked = rerank.reranked(found.join(q.select("qid", "rerank_query"), "qid"))
     searched = found.groupBy("qid").agg(F.array_sort(F.collect_set("embedding_type")).alias("searched"))
     out = answer.answered(q, ranked).join(searched, "qid", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ POINT = (
 )
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that the driver and the executors see: below spark.checkpoint.dir, else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows of df from a table in the shared folder, for plans that read them more than once."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def collection_name(base: Column, kind: Column) -> Column:
     return F.concat_ws("_", base, kind)
 
@@ -33,8 +48,14 @@ def create(spark: SparkSession, table: str) -> None:
 
 
 def collections(spark: SparkSession, table: str) -> DataFrame:
-    """The embedding types that hold points: partitions, no scan of the data."""
-    return spark.read.table(table).select("embedding_type").distinct()
+    """The embedding types that hold points, from the table's partitions."""
+    return spark.sql(f"SHOW PARTITIONS {table}").select(F.regexp_extract("partition", "embedding_type=([^/]+)", 1).alias("embedding_type")).distinct()
+
+
+def collection(spark: SparkSession, table: str, kind: str | None = None) -> DataFrame:
+    """The points of one embedding type, or of the whole base collection; a type that has none gives no rows."""
+    points = spark.read.table(table)
+    return points if kind is None else points.where(F.col("embedding_type") == kind)
 
 
 def new_documents(documents: DataFrame, stored: DataFrame) -> DataFrame:
@@ -65,6 +86,9 @@ def points(chunks: DataFrame) -> DataFrame:
 def upsert(batch: DataFrame, table: str) -> None:
     """Append the points whose ids are not stored; repeats inside the batch count once."""
     spark = batch.sparkSession
-    have = spark.read.table(table).select(F.col("id").alias("_id"), F.col("embedding_type").alias("_t"))
+    batch = materialised(batch)
+    # a handful of embedding types: only their partitions are read
+    kinds = [r[0] for r in batch.select("embedding_type").distinct().collect()]
+    have = spark.read.table(table).where(F.col("embedding_type").isin(kinds)).select(F.col("id").alias("_id"), F.col("embedding_type").alias("_t"))
     fresh = batch.dropDuplicates(["embedding_type", "id"]).join(have, (F.col("id") == F.col("_id")) & (F.col("embedding_type") == F.col("_t")), "left_anti")
     fresh.write.mode("append").insertInto(table)

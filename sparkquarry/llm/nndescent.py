@@ -6,9 +6,10 @@
    meets in none of them with probability MISS at most.  All that share a bucket are compared; large buckets in blocks.
 3. In each round every vector brings its neighbours and those that have it as a neighbour together: all that meet are
    compared in numpy, and pairs that beat the weakest entry of a list enter it.
-4. Lists are cut at LIST entries, links (cosine >= THRESHOLD) are not: whatever is compared in steps 2 and 3 gives, beside
-   list entries, a forest that spans its links.  So a saturated list, whose true list is longer than any fixed length,
-   loses no tie to another group.  Counts of links come from comparing whole components in blocks of bounded size.
+4. A list whose LIST entries are all links is saturated and is enlarged, to WIDE entries that are links.  Links are not cut
+   beyond that either: whatever is compared in steps 2 and 3 gives, beside list entries, a forest that spans its links.  So
+   a list whose true list is longer than any fixed length loses no tie to another group.  Counts of links come from
+   comparing whole components in blocks of bounded size.
 5. An audit takes vectors picked by a hash, compares them with all rows, and measures which share of their true links the
    components hold, over all that have links and over those with few; each vector weighs the same.  It takes more until
    SEEN vectors with few links were met, all rows taken, or VALUES reached.  Below GOAL more tables and rounds follow,
@@ -16,8 +17,8 @@
 Components come from links by grouped minima and joins (see common.components).
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept;
-vectors of different lengths never link; rows that share a vec_id count as one node; a null vec_id links with nothing; an
-empty table gives no rows; other columns take no part.
+vectors of different lengths never link; rows that share a vec_id count as one node, which has the least of their vectors;
+a null vec_id links with nothing; an empty table gives no rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, components, written
 
-#: Cosine of a link; entries of a list; tables that give list entries; entries from a bucket; vectors in a bucket.
-THRESHOLD, LIST, TABLES, BESIDE, BUCKET = 0.95, 10, 6, 4, 16
+#: Cosine of a link; entries of a list, and of a saturated one; tables that give list entries; entries from a bucket; vectors in a bucket.
+THRESHOLD, LIST, WIDE, TABLES, BESIDE, BUCKET = 0.95, 10, 16, 6, 4, 16
 #: Largest part of a bucket, rounds of refinement, vectors audited, recall to reach, most enlargements, vectors in a block.
 PART, ROUNDS, AUDITED, GOAL, ATTEMPTS, BLOCK = 1024, 2, 200, 0.98, 4, 1024
 #: Most that tables may miss at THRESHOLD; vectors with few links that an audit needs; most numbers in its sample.
@@ -42,13 +43,27 @@ ROUNDED, ENTRY, LINK, DOUBTFUL = 2e-7, 0, 1, 2
 
 def prepared(vectors: DataFrame) -> DataFrame:
     """vec_id and v, of unit length, for the vectors that can link."""
+
+    def run(batches):
+        for b in batches:
+            column = b.column("embedding")
+            widths, values = np.diff(column.offsets.to_numpy()), column.flatten()
+            x = values.to_numpy(zero_copy_only=False).astype(np.float64)
+            # nulls have become NaN; the first component of each vector tells where it is
+            first = column.offsets.to_numpy()[:-1] - column.offsets.to_numpy()[0]
+            for w in np.unique(widths):
+                rows = np.flatnonzero(widths == w)
+                m = x[first[rows][:, None] + np.arange(w)]
+                # the largest component first, so that neither squares overflow nor small vectors vanish
+                top = np.abs(m).max(1)
+                some = np.isfinite(m).all(1) & (top > 0)
+                m = m[some] / top[some, None]
+                m /= np.sqrt((m * m).sum(1))[:, None]
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * w, pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(rows[some])), v], ["vec_id", "v"])
+
     v = columns_of(vectors, "vec_id", "embedding").where("vec_id is not null and size(embedding) > 0")
-    v = v.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))))
-    v = v.withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
-    # the largest component first, so that neither squares overflow nor small vectors vanish
-    v = v.withColumn("_top", F.array_max(F.transform("v", lambda x: F.abs(x)))).where("_top > 0").withColumn("v", F.expr("transform(v, x -> x / _top)"))
-    v = v.withColumn("_norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    return v.select("vec_id", F.expr("transform(v, x -> x / _norm)").alias("v"))
+    return v.mapInArrow(run, "vec_id long, v array<double>")
 
 
 def _rows(column) -> np.ndarray:
@@ -179,15 +194,17 @@ def similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def lists(edges: DataFrame) -> DataFrame:
-    """The LIST best of both directions of (a, b, s) for each a."""
+    """The LIST best of both directions of (a, b, s) for each a, and if these are links, links up to the WIDE best."""
     both = edges.union(edges.select("b", "a", "s"))
     best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    return both.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= LIST).drop("r")
+    return both.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(best)).where((F.col("r") <= WIDE) & ((F.col("r") <= LIST) | (F.col("s") >= THRESHOLD))).drop("r")
 
 
 def refined(graph: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, s, kind) from one neighbours-of-neighbours join over lists (a, b, s): new entries, and links that lists may cut."""
-    weakest = graph.groupBy("a").agg(F.min("s").alias("low"), F.count("*").alias("n")).select(F.col("a").alias("id"), F.when(F.col("n") >= LIST, F.col("low")).otherwise(-2.0).alias("low"))
+    weakest = graph.groupBy("a").agg(F.min("s").alias("low"), F.count("*").alias("n"))
+    # an open list takes anything, a saturated one that has room takes links
+    weakest = weakest.select(F.col("a").alias("id"), F.when(F.col("n") < LIST, -2.0).when((F.col("n") < WIDE) & (F.col("low") >= THRESHOLD), THRESHOLD - ROUNDED).otherwise(F.col("low")).alias("low"))
     carried = classes.select("id", "v").join(weakest, "id")
     # a meets its own list and those that list it; the latter are parted where many do, so no meeting is unbounded
     meet = graph.select(F.col("a").alias("at"), F.col("b").alias("id"), F.lit(0).alias("part"))

@@ -7,13 +7,15 @@ prior is the share of toxic rows among the labels that may be learned from.
 
 Features are the distinct words of a text, lower-cased and without outer punctuation, and their beginnings of three to
 six letters, hashed; the few thousand that set positives apart most (by a two-proportion z) are used, as logarithms of
-counts.  Fitting takes at most POSITIVES and UNLABELLED documents, picked by a hash of doc_id; everything else covers all
-rows: each text is scored whole, by one pass in Arrow batches.  The model is a table of at most FEATURES numbers.
+counts.  Fitting takes at most POSITIVES and UNLABELLED documents, picked by a hash of doc_id, one text each; everything
+else covers all rows: each text is scored whole, by one pass in Arrow batches.  The model is a table of at most FEATURES
+numbers.
 
 Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0, and labels, lang, source and doc_id are no inputs
-of a score.  Defined results: null and empty texts get the score of a text without features; with no confirmed toxic
-document to learn from each score is 0; rows that share a doc_id are scored each by its own text; a null doc_id is not
-held out and not learned from; an empty table gives no rows; other columns take no part.
+of a score.  Defined results: null and empty texts get the score of a text without features; texts of any length are
+scored whole; with no confirmed toxic document to learn from each score is 0; rows that share a doc_id are scored each by
+its own text, and the least of their texts is learned from; of labels that share a doc_id one that says toxic counts; a
+null doc_id is not held out and not learned from; an empty table gives no rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import bounded, columns_of
 
 #: Bounds of the fitting sample and of the model; fold that is not learned from; words that a worker remembers.
-POSITIVES, UNLABELLED, FEATURES, FOLDS, REMEMBERED = 3000, 6000, 1024, 5, 500_000
+POSITIVES, UNLABELLED, FEATURES, FOLDS, REMEMBERED = 3000, 6000, 1024, 5, 200_000
 #: Bits of a feature hash; the z from which a feature is used: chance reaches it in few of some 100,000 features.
 BITS, SURE = 22, 4.5
 _OUTER = ".,;:!?\"'()[]{}<>*_-–—…«»„“”‘’"
@@ -52,10 +54,10 @@ def folds(df: DataFrame) -> DataFrame:
 
 
 def _bags(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and counts of each of a bounded number of documents, by doc_id."""
+    """Features and counts of each of a bounded number of documents (doc_id, text), by doc_id."""
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             bags = []
             for text in b.column("text").to_pylist():
                 ids, counts = np.unique(np.array([f for w in sorted(words_of(text)) for f in features_of(w)], np.int32), return_counts=True)
@@ -119,7 +121,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
     texts = d.where("doc_id is not null")
     pos_ids = known.where("toxic = 1").select("doc_id").distinct().orderBy(*by_hash).limit(POSITIVES)
     unl_ids = folds(texts.select("doc_id")).where("not held_out").select("doc_id").distinct().orderBy(*by_hash).limit(UNLABELLED)
-    pos, unl = (_bags(texts.join(F.broadcast(ids), "doc_id")) for ids in (pos_ids, unl_ids))
+    # one row an id, however often it comes
+    pos, unl = (_bags(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))) for ids in (pos_ids, unl_ids))
     if not pos or not unl:
         return {}
     chosen = _chosen(pos, unl)
@@ -135,7 +138,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _scores(docs: DataFrame, model: dict[int, float]) -> DataFrame:
     def run(batches):
         neutral, telling = set(), {}
-        for b in batches:
+        for b in bounded(batches):
             out = []
             for text in b.column("text").to_pylist():
                 counts: dict[int, int] = {}

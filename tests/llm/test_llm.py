@@ -387,6 +387,20 @@ def test_nn_descent(spark):
     assert nndescent.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_nn_descent_of_odd_rows(spark):
+    """Null, repeated and differently long rows, huge and tiny components, and equal vectors."""
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (9, [0.0, 3.0]), (None, [0.0, 1.0]), (7, [0.0, 2.0, 0.0]), (8, [1e-30, 1e-30]), (3, [3e38, 3e38]), (4, [1.0, None]), (6, [2.0, 2.0]), (6, [2.0, 2.0])]
+    got = sorted(((g.vec_id, g.n_links, g.component_id, g.kept) for g in nndescent.near_duplicates(vectors(spark, rows)).collect()), key=str)
+    # the least vector of id 5 is (0, 1): it links with 9; 3, 6 and 8 are one direction
+    assert got == sorted([(5, 1, 5, True), (5, 1, 5, True), (9, 1, 5, False), (None, 0, None, True), (7, 0, 7, True), (8, 2, 3, False), (3, 2, 3, True), (4, 0, 4, True), (6, 2, 3, False), (6, 2, 3, False)], key=str)
+
+
+def test_saturated_lists_are_enlarged(spark):
+    e = [(0, i, 0.99 - i / 1000) for i in range(1, 30)] + [(100, 100 + i, 0.96 - i / 100) for i in range(1, 30)]
+    n = {r.a: r.n for r in nndescent.lists(spark.createDataFrame(e, "a long, b long, s double")).groupBy("a").agg(F.count("*").alias("n")).collect()}
+    assert n[0] == nndescent.WIDE and n[100] == nndescent.LIST
+
+
 def at_cosine(r, x, c):
     """A unit vector at cosine c of the unit vector x."""
     y = r.standard_normal(len(x))
@@ -501,6 +515,46 @@ def test_toxicity(spark):
     assert (toxicity.scored(d, labels.limit(0)).toPandas().score == 0).all() and toxicity.scored(d.limit(0), labels).count() == 0
 
 
+def test_scores_by_brute_force(spark):
+    """Learning and scoring once more, in plain Python over all rows, from what the module says that it does."""
+    import math
+
+    texts = {i: prose(i, 5 + i % 50) + (" vilequ scornfa wretchx" if i % 6 == 0 else "") for i in range(700)}
+    labels = {i: int(i % 6 == 0) for i in range(0, 700, 2)}
+    rows = [*texts.items(), (3, "another text of three"), (None, "vilequ"), (800, None), (801, "Vilequ! " * 20_000)]
+    got = {}
+    for r in toxicity.scored(docs(spark, rows), spark.createDataFrame([*labels.items(), (6, 0)], "doc_id long, toxic int")).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+
+    def bag(t):
+        out = {}
+        for w in {*(t or "").lower().split()}:
+            w = w.strip(toxicity._OUTER)
+            for x in ([f"={w}"] + [w[:n] for n in range(3, 7) if len(w) >= n]) if w else []:
+                f = zlib.crc32(x.encode()) % 2**toxicity.BITS
+                out[f] = min(255, out.get(f, 0) + 1)
+        return out
+
+    learn = {i: min(t, "another text of three") if i == 3 else t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5} | ({800: None} if zlib.crc32(b"800") % 5 else {}) | ({801: rows[-1][1]} if zlib.crc32(b"801") % 5 else {})
+    pos, unl = [bag(learn[i]) for i in sorted(learn) if labels.get(i)], [bag(learn[i]) for i in sorted(learn)]
+    known = [1 for i, t in labels.items() if zlib.crc32(str(i).encode()) % 5 and t]
+    total = sum(1 for i in labels if zlib.crc32(str(i).encode()) % 5) + (zlib.crc32(b"6") % 5 > 0)
+    z = {}
+    for f in {f for b in unl for f in b} | {f for b in pos for f in b}:
+        p, u = sum(f in b for b in pos), sum(f in b for b in unl)
+        share = (p + u) / (len(pos) + len(unl))
+        if p + u >= 5:
+            z[f] = (p / len(pos) - u / len(unl)) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / len(pos) + 1 / len(unl)))
+    chosen = sorted(f for f in sorted(z, key=lambda f: (-abs(z[f]), f))[: toxicity.FEATURES] if abs(z[f]) > toxicity.SURE)
+    dense = lambda bags: np.array([[math.log1p(b.get(f, 0)) for f in chosen] + [1.0] for b in bags], np.float32)
+    w = toxicity.fit(dense(pos), dense(unl), len(known) / total)
+    for i, t in rows:
+        b = bag(t)
+        g = sum(x * math.log1p(b.get(f, 0)) for f, x in zip(chosen, w)) + w[-1]
+        assert min(abs(s - 1 / (1 + math.exp(-g))) for s in got[i]) < 1e-3, (i, got[i])
+    assert sum(map(len, got.values())) == len(rows)
+
+
 def test_risk_stays_non_negative():
     r = np.random.default_rng(0)
     pos = np.c_[r.standard_normal((50, 200)) + 0.3, np.ones(50)].astype(np.float32)

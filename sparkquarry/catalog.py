@@ -183,6 +183,19 @@ def pooled_by_label(spark, d):
     return x.groupBy("label", "i").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.max("x"), 4).alias("most"))
 
 
+@named("""
+WITH e AS (SELECT vec_id // 8 AS grp, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT grp, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+p AS (SELECT grp, i, min_by(x, vec_id) AS cls, coalesce(avg(x) FILTER (WHERE vec_id % 3 <> 0), 0) AS mean, max(x) FILTER (WHERE vec_id % 3 <> 0) AS most FROM u GROUP BY grp, i)
+SELECT grp, round(sum(cls), 4) AS cls, round(sum(mean), 4) AS mean, round(sum(most), 4) AS most FROM p GROUP BY grp""")
+def pooled_vectors(spark, d):
+    """Runs of eight vectors as one, those with an id divisible by three masked out of means and maxima."""
+    g = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 8").alias("grp")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("e"))
+    g = g.select("grp", F.transform("e.embedding", lambda v: vec.doubled(v)).alias("m"), F.transform("e.vec_id", lambda i: F.when(i % 3 != 0, 1).otherwise(0)).alias("mask"))
+    total = lambda how: F.round(F.aggregate(vec.pooled(F.col("m"), how, F.col("mask")), F.lit(0.0), lambda a, x: a + x), 4)
+    return g.select("grp", total("cls").alias("cls"), total("mean").alias("mean"), total("max").alias("most"))
+
+
 @named("VALUES (1, '1.0,2.0', '2.0,4.0', '3.0,6.0')".replace("VALUES (1, '1.0,2.0', '2.0,4.0', '3.0,6.0')", "SELECT 1 AS id, '1.0,2.0' AS cls, '2.0,4.0' AS mean, '3.0,6.0' AS most"))
 def pooling(spark, d):
     m = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(6.0)))
@@ -457,6 +470,29 @@ def ner_process_whole(spark, d):
     return e.select("id", "e.text", "e.type", F.col("e.start").alias("s"), F.col("e.end").alias("e"), F.round("e.confidence", 4).alias("confidence"), "e.normalized")
 
 
+def _numbers():
+    """A model that finds runs of digits."""
+    import re
+
+    return lambda texts: [[{"word": m[0], "entity_group": "B-DOSAGE", "start": m.start(), "end": m.end(), "score": 0.8} for m in re.finditer("[0-9]+", t)] for t in texts]
+
+
+@named("SELECT doc_id AS id, len(regexp_extract_all(coalesce(text, ''), '[0-9]+'))::BIGINT AS n, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda x: length(x))), 0)::BIGINT AS chars, true AS placed FROM documents")
+def ner_batched(spark, d):
+    """A batched model over every document, long ones in parts: whether all entities stand where their offsets say."""
+    e = ner.batched(_numbers)(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "text", "entities")
+    placed = F.forall("entities", lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]) == x["text"])
+    return e.select("id", F.size("entities").cast("long").alias("n"), F.aggregate("entities", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"])).alias("chars"), placed.alias("placed"))
+
+
+@named(f"SELECT id::BIGINT AS id, true AS same FROM {_ALL_TEXTS}")
+def entity_json(spark, d):
+    """Whether the default model's entities of every document come back from JSON as they were."""
+    e = ner.lexicon(_all_texts(spark, d), "chunk", "e").withColumn("back", ner.from_json(ner.to_json(F.col("e"))))
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["text"], x["type"], x["start"], x["end"], x["confidence"], x["normalized"], F.size(x["synonyms"]), F.size(x["metadata"])))
+    return e.select("id", plain("e").eqNullSafe(plain("back")).alias("same"))
+
+
 _ABBR = "VALUES (1,'HTN'),(2,'bid'),(3,'aspirin'),(4,'COPD')"
 
 
@@ -528,6 +564,15 @@ def query_entities(spark, d):
     return e.select("qid", *[joined(F.transform(F.filter("entities", query._is(k)), lambda x: x["text"])).alias(k) for k in vocab.QUERY_ENTITIES])
 
 
+_QUERY_ENTITIES = _entities_sql(_CLEANED, "c", vocab.QUERY_ENTITIES, list(vocab.QUERY_ENTITIES))
+
+
+@named(" UNION ALL ".join(f"SELECT id AS qid, '{k}' AS type, {k} AS texts FROM ({_QUERY_ENTITIES}) WHERE {k} <> ''" for k in vocab.QUERY_ENTITIES))
+def query_entities_by_type(spark, d):
+    e = query.search_strategy(query.enhanced(_questions(spark, d)))
+    return e.select("qid", F.explode("entities_by_type").alias("type", "texts")).select("qid", "type", joined("texts").alias("texts"))
+
+
 @named(f"SELECT id AS qid, array_to_string(list_filter(list_distinct_(w), lambda x: regexp_matches(x, '^.{{3,}}({'|'.join(vocab.TERM_SUFFIXES)})$')), '|') AS terms FROM (SELECT id, regexp_split_to_array(lower(c), '\\s+') AS w FROM {_CLEANED})".replace("list_distinct_(w)", _UNIQ.format(h="w")))
 def medical_terms(spark, d):
     return query.analysed(_questions(spark, d)).select("qid", joined("medical_terms").alias("terms"))
@@ -569,9 +614,16 @@ def _config_sql(n: int) -> str:
     return "CASE intent " + " ".join(f"WHEN '{i}' THEN '{'|'.join(v[n])}'" for i, v in vocab.INTENT_CONFIG.items()) + f" ELSE '{'|'.join(vocab.INTENT_CONFIG['general'][n])}' END"
 
 
-@named(_PRIMARY + f" SELECT qid, {_config_sql(0)} AS answer_filter, {_config_sql(1)} AS boost_sections FROM f")
+@named(_PRIMARY + f" SELECT qid, {_config_sql(0)} AS answer_filter, {_config_sql(1)} AS boost_sections, CASE intent {' '.join(f"WHEN '{i}' THEN {w}" for i, w in vocab.BOOST_WEIGHTS.items())} ELSE {vocab.BOOST_WEIGHTS['general']} END::DOUBLE AS boost_weight FROM f")
 def boost_params(spark, d):
-    return query.enhanced(_questions(spark, d)).select("qid", joined("answer_filter").alias("answer_filter"), joined("boost_sections").alias("boost_sections"))
+    return query.enhanced(_questions(spark, d)).select("qid", joined("answer_filter").alias("answer_filter"), joined("boost_sections").alias("boost_sections"), "boost_weight")
+
+
+@named(_PRIMARY + " SELECT qid, intent, coalesce(c.chunk_types, '') AS chunk_types, coalesce(c.min_confidence, 0.5)::DOUBLE AS min_confidence, intent IN (" + ", ".join(map(repr, vocab.SPECIFIC_SOURCE_INTENTS)) + ") AS authoritative FROM f LEFT JOIN (VALUES " + ", ".join(f"('{i}', '{'|'.join(c)}', {m})" for i, (c, _, m) in vocab.STRATEGIES.items()) + ") c(name, chunk_types, min_confidence) ON c.name = f.intent")
+def query_strategies(spark, d):
+    """What the library form of retrieval filters by, of each question."""
+    m = query.metadata_filters(query.enhanced(_questions(spark, d)))
+    return m.select("qid", "intent", F.coalesce(joined("metadata_filters.chunk_types"), F.lit("")).alias("chunk_types"), "metadata_filters.min_confidence", F.col("metadata_filters.require_authoritative_source").alias("authoritative"))
 
 
 @named("SELECT * FROM (VALUES (1,'metformin|glucophage|fortamet|glumetza'),(3,'metformin|glucophage|fortamet|glumetza'),(13,'metoprolol')) t(qid, drugs)")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import cleaned, found_by_type, longest_first, lookup, rewritten, words
+from ..functions.text import cleaned, found_by_type, let, longest_first, lookup, rewritten, words
 from .ner import processed
 
 INTENTS = list(vocab.INTENT_PATTERNS)
@@ -125,9 +125,13 @@ def enhanced(queries: DataFrame, strict: bool = False, model=None) -> DataFrame:
 
 def entities_by_type(entities: Column) -> Column:
     """Type -> distinct normal forms (or texts) of its entities, in order of appearance; types by name."""
-    kinds = F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["type"])))
-    own = lambda k: F.array_distinct(F.transform(F.filter(entities, lambda e: e["type"] == k), lambda e: F.coalesce(e["normalized"], e["text"])))
-    return F.map_from_arrays(kinds, F.transform(kinds, own))
+
+    def grouped(all_):
+        kinds = F.array_sort(F.array_distinct(F.transform(all_, lambda e: e["type"])))
+        own = lambda k: F.array_distinct(F.transform(F.filter(all_, lambda e: e["type"] == k), lambda e: F.coalesce(e["normalized"], e["text"])))
+        return let(kinds, lambda ks: F.map_from_arrays(ks, F.transform(ks, own)))
+
+    return let(entities, grouped)
 
 
 def rewrites(enhanced_: DataFrame) -> DataFrame:

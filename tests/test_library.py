@@ -160,7 +160,9 @@ def test_ingest_is_idempotent_and_searchable(spark):
     assert "^[1]" in got[1].answer and got[1].intent == "dosage" and got[1].searched == ["pubmedbert"]
     assert got[2].answer == answer.NO_HITS and got[2].searched == []
     spark.sql("DROP TABLE IF EXISTS pts2")
-    backfill.backfill(spark, "pts", "pts2")
+    changed = backfill.backfill(spark, "pts", "pts2")
+    assert changed == spark.read.table("pts2").where("enrichment_version is not null").count() > 0
+    assert store.collection(spark, "pts2").count() == store.collection(spark, "pts2", "pubmedbert").count() > store.collection(spark, "pts2", "scibert").count() == 0
     assert spark.read.table("pts2").count() == spark.read.table("pts").count()
     assert spark.read.table("pts2").where("answer_types is null or size(answer_types) = 0").count() == 0
 
@@ -193,6 +195,57 @@ def test_wrong_length_is_refused_and_models_register(spark):
         embed._MODELS.clear()
 
 
+def test_points_of_a_wrong_length_are_refused(spark):
+    c = spark.createDataFrame([("x", "openai", 0)], "chunk string, embedding_type string, chunk_no int").withColumns({k: F.lit("k") for k in store.KEY})
+    try:
+        embed.register("openai", embed.batched(lambda: lambda texts: [[1.0, 2.0] for _ in texts]))
+        with pytest.raises(Exception, match="wrong length"):
+            store.points(embed.embedded(c).withColumn("dimensions", embed.dimensions_of(F.col("embedding_type")))).collect()
+        embed.register("openai", embed.batched(lambda: lambda texts: [[1.0, 2.0] for _ in texts]), 2)
+        assert store.points(embed.embedded(c).withColumn("dimensions", embed.dimensions_of(F.col("embedding_type")))).first().embedding == [1.0, 2.0]
+    finally:
+        embed._MODELS.clear()
+        embed._DIMENSIONS.clear()
+
+
+def test_pooling_with_a_mask(spark):
+    m = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((1.0, 8.0), (3.0, 6.0), (100.0, 100.0))])
+    mask = lambda *x: F.array(*map(F.lit, x))
+    from sparkquarry.functions.vectors import pooled
+
+    r = spark.range(1).select(pooled(m, "mean", mask(1, 1, 0)).alias("a"), pooled(m, "max", mask(1, 1, 0)).alias("b"), pooled(m, "mean", mask(0, 0, 0)).alias("c"), pooled(m, "max", mask(0, 0, 0)).alias("d"), pooled(m).alias("e"), pooled(m, "cls", mask(0, 1, 1)).alias("f")).first()
+    assert tuple(r) == ([2.0, 7.0], [3.0, 8.0], [0.0, 0.0], None, [104 / 3, 38.0], [1.0, 8.0])
+
+
+def test_texts_in_parts():
+    long = "One sentence. " * 300 + "x" * 4000 + ". end"
+    parts = ner.parts_of(long)
+    assert "".join(p for _, p in parts) == long and all(long[o : o + len(p)] == p for o, p in parts)
+    assert max(len(p) for _, p in parts if "xx" not in p) <= ner.PART and len(parts) > 3
+    assert ner.parts_of("short. text") == [(0, "short. text")] and ner.parts_of("") == [(0, "")]
+
+
+def test_a_batched_model_serves_chunks_and_questions(spark):
+    def _finder():
+        return lambda texts: [[{"word": m[0], "entity_group": "I-Medication", "start": m.start(), "end": m.end(), "score": 0.99} for m in re.finditer("zolpidem", t, re.I)] for t in texts]
+
+    c = spark.createDataFrame([(1, "word " * 800 + ". Take Zolpidem now"), (2, None), (3, "")], "id long, chunk string").withColumn("section_type", F.lit(None).cast("string"))
+    got = {r.id: r for r in ner.enriched(c, ner.batched(_finder)).collect()}
+    assert [(e.text, e.start) for e in got[1].ner_entities] == [("Zolpidem", 4000 + 7)] and got[1].drugs == ["zolpidem"]
+    assert not got[2].has_medical_entities and not got[3].has_medical_entities
+    q = spark.createDataFrame([(1, "zolpidem dosage"), (2, "metformin dosage")], "qid long, query string")
+    e = {r.qid: r for r in query.search_strategy(query.enhanced(q, model=ner.batched(_finder))).collect()}
+    assert e[1].drugs == ["zolpidem"] and e[1].entities_by_type == {"drug": ["zolpidem"]} and e[1].boost_weight == 1.3
+    assert "zolpidem medication information" not in (e[2].search_texts or []) and e[2].entities_by_type["drug"] == ["metformin"]
+
+
+def test_page_sizes(spark):
+    d = spark.createDataFrame([("a", "612", None), ("b", "wide", "5.5")], "job_id string, page_width string, page_height string")
+    c = spark.createDataFrame([("a", None, None), ("a", 3.0, 4.0), ("b", None, None), ("z", None, None)], "job_id string, page_width double, page_height double")
+    got = sorted(map(tuple, chunking.with_page_size(c, d).select("job_id", chunking.size_text(F.col("page_width")), chunking.size_text(F.col("page_height"))).collect()))
+    assert got == [("a", "3.0", "4.0"), ("a", "612.0", "NA"), ("b", "NA", "5.5"), ("z", "NA", "NA")]
+
+
 def test_uploads_and_names(spark, tmp_path):
     (tmp_path / "a..b.pdf").write_bytes(b"%PDF")
     assert src.read_uploads(spark, str(tmp_path)).first().original_filename == "ab.pdf"

@@ -70,12 +70,17 @@ def _bags(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _chosen(pos: list, unl: list) -> np.ndarray:
     """The features that set positives apart most, in either direction, ascending."""
-    p, u = (np.bincount(np.concatenate([i for i, _ in x]), minlength=1 << BITS).astype(float) for x in (pos, unl))
+    counts = np.zeros((2, 1 << BITS), np.uint16)
+    for row, bags in zip(counts, (pos, unl), strict=True):
+        for ids, _ in bags:
+            row[ids] += 1
+    # few of all hashes occur often enough to tell: only these become floating-point numbers
+    often = np.flatnonzero(counts.sum(0, dtype=np.uint16) >= 5)
+    p, u = counts[:, often].astype(float)
     share = (p + u) / (len(pos) + len(unl))
     z = (p / len(pos) - u / len(unl)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(pos) + 1 / len(unl)))
-    z[p + u < 5] = 0
-    order = np.lexsort((np.arange(len(z)), -np.abs(z)))[:FEATURES]
-    return np.sort(order[np.abs(z[order]) > SURE])
+    order = np.lexsort((often, -np.abs(z)))[:FEATURES]
+    return np.sort(often[order[np.abs(z[order]) > SURE]])
 
 
 def _dense(bags: list, chosen: np.ndarray) -> np.ndarray:

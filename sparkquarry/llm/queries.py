@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, linededup, minhash, mixing, nndescent, tokenfile, topk, toxicity, warc
+from . import bpe, chat, fim, linededup, minhash, mixing, nndescent, tokenfile, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -72,4 +76,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op3_warc_round_trip": warc.SQL, "op6_line_dedup": linededup.SQL, "op7_top_inner_products": OP7_SQL, "op8_chat_windows": chat.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op3_warc_round_trip": warc.SQL, "op6_line_dedup": linededup.SQL, "op7_top_inner_products": OP7_SQL, "op8_chat_windows": chat.SQL, "op13_fill_in_middle": fim.SQL}

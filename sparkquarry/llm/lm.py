@@ -37,7 +37,7 @@ from .common import bounded, columns_of, groups, shuffle_partitions, written
 #: Words of an n-gram; folds and the one that is held out; one in how many training documents learns the weights.
 ORDER, FOLDS, HELD_OUT, DELETED = 2, 7, 2, 16
 #: Tokens of a block and of a bucket; rounds of expectation-maximisation, and the change of a weight that ends them.
-BLOCK, BUCKET, ROUNDS, SETTLED = 2 << 20, 4 << 20, 16, 1e-3
+BLOCK, BUCKET, ROUNDS, SETTLED = 1 << 20, 4 << 20, 16, 1e-3
 #: The end token: no word holds a space. What stands before a text.
 _END, _START = b" ", np.uint64(0x5851F42D4C957F2D)
 _BLOCK_COLUMNS = "block long, deleted boolean, doc_id array<long>, held_out array<boolean>, train array<boolean>, n array<int>, words binary, tokens binary"

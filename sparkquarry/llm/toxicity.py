@@ -8,8 +8,9 @@ prior is the share of toxic rows among the labels that may be learned from.
 Features are the distinct words of a text, lower-cased and without outer punctuation, and their beginnings of three to
 six letters, hashed; the few thousand that set positives apart most (by a two-proportion z) are used, as logarithms of
 counts.  Fitting takes at most POSITIVES and UNLABELLED documents, picked by a hash of doc_id, one text each; everything
-else covers all rows: each text is scored whole, by one pass in Arrow batches.  The model is a table of at most FEATURES
-numbers.
+else covers all rows: each text is scored whole, by one pass in Arrow batches.  The executors count the sample's features
+and choose the model's; what the driver fits is a row of at most FEATURES + 1 numbers for each text of the sample,
+whatever its length.  The model is a table of at most FEATURES numbers.
 
 Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0, and labels, lang, source and doc_id are no inputs
 of a score.  Defined results: null and empty texts get the score of a text without features; texts of any length are
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, columns_of
+from .common import bounded, columns_of, written
 
-#: Bounds of the fitting sample and of the model; fold that is not learned from; words that a worker remembers.
-POSITIVES, UNLABELLED, FEATURES, FOLDS, REMEMBERED = 3000, 6000, 1024, 5, 200_000
+#: Bounds of the fitting sample and of the model; fold that is not learned from; words that a worker remembers, their letters.
+POSITIVES, UNLABELLED, FEATURES, FOLDS, REMEMBERED, LONGEST = 3000, 6000, 1024, 5, 200_000, 64
 #: Bits of a feature hash; the z from which a feature is used: chance reaches it in few of some 100,000 features.
 BITS, SURE = 22, 4.5
 _OUTER = ".,;:!?\"'()[]{}<>*_-–—…«»„“”‘’"
@@ -53,45 +54,51 @@ def folds(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False)))
 
 
-def _bags(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and counts of each of a bounded number of documents (doc_id, text), by doc_id."""
+def _counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features, ascending, and how many of its distinct words have each."""
+    return np.unique(np.array([f for w in words_of(text) for f in features_of(w)], np.int32), return_counts=True)
+
+
+def _chosen(sample: DataFrame, pos: int, unl: int) -> np.ndarray:
+    """The features that set positives apart most, in either direction, ascending: at most FEATURES, found by the executors.
+
+    sample: toxic (whether the row stands for a positive) and text.
+    """
 
     def run(batches):
         for b in bounded(batches):
-            bags = []
-            for text in b.column("text").to_pylist():
-                ids, counts = np.unique(np.array([f for w in sorted(words_of(text)) for f in features_of(w)], np.int32), return_counts=True)
-                bags.append(ids.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary())], ["doc_id", "bag"])
-
-    rows = sorted(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bag binary").collect())
-    return [(np.frombuffer(r[1], np.int32, len(r[1]) // 5), np.frombuffer(r[1], np.uint8, len(r[1]) // 5, len(r[1]) // 5 * 4)) for r in rows]
-
-
-def _chosen(pos: list, unl: list) -> np.ndarray:
-    """The features that set positives apart most, in either direction, ascending."""
-    counts = np.zeros((2, 1 << BITS), np.uint16)
-    for row, bags in zip(counts, (pos, unl), strict=True):
-        for ids, _ in bags:
-            row[ids] += 1
-    # few of all hashes occur often enough to tell: only these become floating-point numbers
-    often = np.flatnonzero(counts.sum(0, dtype=np.uint16) >= 5)
-    p, u = counts[:, often].astype(float)
-    share = (p + u) / (len(pos) + len(unl))
-    z = (p / len(pos) - u / len(unl)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(pos) + 1 / len(unl)))
-    order = np.lexsort((often, -np.abs(z)))[:FEATURES]
-    return np.sort(often[order[np.abs(z[order]) > SURE]])
-
-
-def _dense(bags: list, chosen: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(bags), len(chosen) + 1), np.float32)
-    x[:, -1] = 1
-    for r, (ids, counts) in enumerate(bags):
-        at = np.searchsorted(chosen, ids)
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == ids if len(chosen) else np.zeros(len(ids), bool)
-        x[r, at[hit]] = np.log1p(counts[hit].astype(np.float32))
-    return x
+            toxic = b.column("toxic").to_numpy(zero_copy_only=False)
+            own = [_counted(t)[0] for t in b.column("text").to_pylist()]
+            ids, at = np.unique(np.concatenate([np.zeros(0, np.int32), *own]), return_inverse=True)
+            of = np.repeat(toxic, [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids)] + [pa.array(np.bincount(at, weights=w, minlength=len(ids)).astype(np.int64)) for w in (of, ~of)], ["feature", "p", "u"])
+
+    c = sample.mapInArrow(run, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
+    share = (F.col("p") + F.col("u")) / (pos + unl)
+    z = F.abs((F.col("p") / pos - F.col("u") / unl) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / pos + 1 / unl)))
+    best = c.withColumn("z", z).where(F.col("z") > SURE).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    return np.array(sorted(r[0] for r in best.select("feature").collect()), np.int32)
+
+
+def _dense(sample: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positives and unlabelled texts as rows of FEATURES + 1 numbers at most, whatever the texts' length."""
+    width = len(chosen) + 1
+
+    def run(batches):
+        for b in bounded(batches):
+            rows = np.zeros((len(b), width), np.float32)
+            rows[:, -1] = 1
+            for row, text in zip(rows, b.column("text").to_pylist(), strict=True):
+                ids, counts = _counted(text)
+                at = np.minimum(np.searchsorted(chosen, ids), max(width - 2, 0))
+                hit = chosen[at] == ids if len(chosen) else np.zeros(len(ids), bool)
+                row[at[hit]] = np.log1p(counts[hit])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["toxic", "doc_id", "row"])
+
+    # at most POSITIVES + UNLABELLED rows of a bounded width
+    rows = sorted(sample.mapInArrow(run, "toxic boolean, doc_id long, row binary").collect())
+    of = lambda toxic: np.stack([np.frombuffer(r[2], np.float32) for r in rows if r[0] == toxic])
+    return of(True), of(False)
 
 
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
@@ -127,11 +134,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
     pos_ids = known.where("toxic = 1").select("doc_id").distinct().orderBy(*by_hash).limit(POSITIVES)
     unl_ids = folds(texts.select("doc_id")).where("not held_out").select("doc_id").distinct().orderBy(*by_hash).limit(UNLABELLED)
     # one row an id, however often it comes
-    pos, unl = (_bags(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))) for ids in (pos_ids, unl_ids))
-    if not pos or not unl:
+    picked = lambda ids, toxic: texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("toxic", F.lit(toxic))
+    sample = written(picked(pos_ids, True).unionByName(picked(unl_ids, False)))
+    sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
         return {}
-    chosen = _chosen(pos, unl)
-    w = fit(_dense(pos, chosen), _dense(unl, chosen), prior)
+    chosen = _chosen(sample, sizes[True], sizes[False])
+    w = fit(*_dense(sample, chosen), prior)
     return {int(f): float(x) for f, x in zip(chosen, w, strict=False)} | {-1: float(w[-1])}
 
 
@@ -151,14 +160,14 @@ def _scores(docs: DataFrame, model: dict[int, float]) -> DataFrame:
                     hits = telling.get(w)
                     if hits is None:
                         hits = tuple(f for f in features_of(w) if f in model)
-                        if len(neutral) + len(telling) < REMEMBERED:
+                        if len(neutral) + len(telling) < REMEMBERED and len(w) <= LONGEST:
                             if hits:
                                 telling[w] = hits
                             else:
                                 neutral.add(w)
                     for f in hits:
                         counts[f] = counts.get(f, 0) + 1
-                g = sum(model[f] * np.log1p(min(n, 255)) for f, n in sorted(counts.items())) + model.get(-1, -np.inf)
+                g = sum(model[f] * np.log1p(n) for f, n in sorted(counts.items())) + model.get(-1, -np.inf)
                 out.append(float(1 / (1 + np.exp(-np.clip(g, -700, 700)))) if model else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "score"])
 

@@ -1,6 +1,7 @@
 """Edge cases and brute-force comparisons of the training-data operators."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -517,13 +518,26 @@ def test_toxicity(spark):
     assert (toxicity.scored(d, labels.limit(0)).toPandas().score == 0).all() and toxicity.scored(d.limit(0), labels).count() == 0
 
 
+def least_risk(pos, unl, prior):
+    """300 steps of Adam down the corrected risk, whose slope is taken from the losses one by one."""
+    w, m, v = np.append(np.zeros(pos.shape[1] - 1), math.log(prior / (1 - prior))), 0, 0
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+    mean = lambda x, slope: (x * slope[:, None]).mean(0)
+    for t in range(1, 301):
+        gp, gu = pos @ w, unl @ w
+        rest = np.log1p(np.exp(gu)).mean() - prior * np.log1p(np.exp(gp)).mean()
+        of_rest = mean(unl, sigma(gu)) - prior * mean(pos, sigma(gp))
+        slope = (prior * mean(pos, sigma(gp) - 1) + of_rest if rest >= 0 else -of_rest) + 1e-4 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope * slope
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
 def test_scores_by_brute_force(spark):
     """Learning and scoring once more, in plain Python over all rows, from what the module says that it does."""
-    import math
-
     texts = {i: prose(i, 5 + i % 50) + (" vilequ scornfa wretchx" if i % 6 == 0 else "") for i in range(700)}
     labels = {i: int(i % 6 == 0) for i in range(0, 700, 2)}
-    rows = [*texts.items(), (3, "another text of three"), (None, "vilequ"), (800, None), (801, "Vilequ! " * 20_000)]
+    rows = [*texts.items(), (3, "another text of three"), (None, "vilequ"), (800, None), (801, "Vilequ! " * 20_000), (802, " ".join(f"vilequ{i}" for i in range(1000)))]
     got = {}
     for r in toxicity.scored(docs(spark, rows), spark.createDataFrame([*labels.items(), (6, 0)], "doc_id long, toxic int")).collect():
         got.setdefault(r.doc_id, []).append(r.score)
@@ -534,10 +548,10 @@ def test_scores_by_brute_force(spark):
             w = w.strip(toxicity._OUTER)
             for x in ([f"={w}"] + [w[:n] for n in range(3, 7) if len(w) >= n]) if w else []:
                 f = zlib.crc32(x.encode()) % 2**toxicity.BITS
-                out[f] = min(255, out.get(f, 0) + 1)
+                out[f] = out.get(f, 0) + 1
         return out
 
-    learn = {i: min(t, "another text of three") if i == 3 else t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5} | ({800: None} if zlib.crc32(b"800") % 5 else {}) | ({801: rows[-1][1]} if zlib.crc32(b"801") % 5 else {})
+    learn = {i: min(t, "another text of three") if i == 3 else t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5} | ({800: None} if zlib.crc32(b"800") % 5 else {}) | ({i: t for i, t in rows[-2:] if zlib.crc32(str(i).encode()) % 5})
     pos, unl = [bag(learn[i]) for i in sorted(learn) if labels.get(i)], [bag(learn[i]) for i in sorted(learn)]
     known = [1 for i, t in labels.items() if zlib.crc32(str(i).encode()) % 5 and t]
     total = sum(1 for i in labels if zlib.crc32(str(i).encode()) % 5) + (zlib.crc32(b"6") % 5 > 0)
@@ -549,11 +563,11 @@ def test_scores_by_brute_force(spark):
             z[f] = (p / len(pos) - u / len(unl)) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / len(pos) + 1 / len(unl)))
     chosen = sorted(f for f in sorted(z, key=lambda f: (-abs(z[f]), f))[: toxicity.FEATURES] if abs(z[f]) > toxicity.SURE)
     dense = lambda bags: np.array([[math.log1p(b.get(f, 0)) for f in chosen] + [1.0] for b in bags], np.float32)
-    w = toxicity.fit(dense(pos), dense(unl), len(known) / total)
+    w = least_risk(dense(pos).astype(float), dense(unl).astype(float), len(known) / total)
     for i, t in rows:
         b = bag(t)
         g = sum(x * math.log1p(b.get(f, 0)) for f, x in zip(chosen, w)) + w[-1]
-        assert min(abs(s - 1 / (1 + math.exp(-g))) for s in got[i]) < 1e-3, (i, got[i])
+        assert min(abs(s - 1 / (1 + math.exp(-g))) for s in got[i]) < 2e-3, (i, got[i])
     assert sum(map(len, got.values())) == len(rows)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import vectors as vec
 from .functions import vocab
-from .operators import answer, chunking, enrich, ner, query, rerank, search, sections
+from .operators import answer, centroids, chunking, enrich, ner, query, rerank, search, sections
 from .sources import documents as src
 from .sources import store
 
@@ -166,9 +166,46 @@ def _kind() -> Column:
     return F.when(F.col("label") < 5, "pubmedbert").otherwise("biobert")
 
 
-# the same queries by the names that they had while the ones above asked less
-for _name in ("vector_topk", "vector_topk_filtered", "vector_topk_boosted", "multi_collection_merge"):
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
+# the same questions, asked of the centroid index; its exact mode answers as the plain search does
+def _indexed(spark: SparkSession, points: DataFrame) -> str:
+    path = store.folder(spark)
+    centroids.build(points, path)
+    return path
+
+
+@named(SQL["vector_topk"])
+def vector_topk_whole(spark, d):
+    q, p = _points(spark, d)
+    return centroids.search(q.withColumn("embedding_type", F.lit("pubmedbert")), _indexed(spark, p), 10).select("qid", "id", F.round("original_score", 4).alias("score"), "rank")
+
+
+@named(SQL["vector_topk_filtered"])
+def vector_topk_filtered_whole(spark, d):
+    q, p = _points(spark, d)
+    q = q.withColumns({"embedding_type": F.lit("pubmedbert"), "types": F.array(F.col("ql").cast("string"))})
+    return centroids.search(q, _indexed(spark, p), 10).select("qid", "id", F.round("original_score", 4).alias("score"), "rank")
+
+
+@named(SQL["vector_topk_boosted"])
+def vector_topk_boosted_whole(spark, d):
+    q, p = _points(spark, d)
+    q = q.withColumns({"embedding_type": F.lit("pubmedbert"), "answer_filter": F.array(F.lit("a1")), "boost_sections": F.array(F.lit("s1"))})
+    return centroids.search(q, _indexed(spark, p), 10).select("qid", "id", F.round("original_score", 4).alias("original_score"), F.round("score", 4).alias("score"), joined("boost_applied").alias("boosts"), "rank")
+
+
+@named(SQL["multi_collection_merge"])
+def multi_collection_merge_whole(spark, d):
+    q, p = _points(spark, d, _kind())
+    q = search.routed(q.withColumns({"confidence": F.lit(0.5), "embedding_types": F.lit(None).cast("array<string>")}))
+    return search.merged(centroids.search(q, _indexed(spark, p.withColumn("type", F.lit("x"))), 10), 10).select("qid", "id", "embedding_type", F.round("score", 4).alias("score"), "position")
+
+
+@named("SELECT (count(*) FILTER (WHERE vec_id % 100 = 0))::BIGINT AS questions, least(10, count(*))::BIGINT AS k, true AS recalled FROM embeddings")
+def centroid_recall(spark, d):
+    """Whether the index's first cells hold nine in ten of the ten nearest vectors of every hundredth one."""
+    q, p = _points(spark, d)
+    r = centroids.recall(q.withColumn("embedding_type", F.lit("pubmedbert")), _indexed(spark, p))
+    return r.agg(F.count("*").alias("questions"), F.max("k").alias("k"), (F.sum("found") >= 0.9 * F.sum("k")).alias("recalled"))
 
 
 @named("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (3 * x::DOUBLE) * (3 * x::DOUBLE)))), 3) AS length_before, 1.0::DOUBLE AS length_after FROM embeddings")

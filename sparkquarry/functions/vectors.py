@@ -31,8 +31,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Of unit length; null for a vector without length."""
-    return let(v, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))))
+    """Of unit length; null for a vector without length, or with a component that is missing or no finite number."""
+    return let(v, lambda v: let(norm(v), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(v, lambda x: x.cast("double") / n))))
 
 
 def pooled(m: Column, how: str = "mean", mask: Column | None = None) -> Column:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
+from ..sources.store import materialised
 
 ENTITY_FIELDS = ("drugs", "diseases", "procedures")
-#: Candidates of a collection, questions that are sent to all executors at most, points of a collection's part beyond that.
-TOP, SENT, PART = 50, 2000, 50_000
+ASKED = ("types", "chunk_types", *ENTITY_FIELDS, "answer_filter", "boost_sections")
+#: Candidates of a collection, questions that are sent to all executors at most and numbers in their vectors at most, points
+#: of a collection's part beyond that.
+TOP, SENT, SENT_NUMBERS, PART = 50, 500, 1 << 20, 50_000
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -52,19 +57,94 @@ def boosts() -> list[tuple[str, float, Column]]:
     ]
 
 
+def questions(queries: DataFrame) -> DataFrame:
+    """What search takes of each question, vectors of unit length; a question whose vector has none finds nothing and goes."""
+    for name in ASKED:
+        if name not in queries.columns:
+            queries = queries.withColumn(name, F.lit(None).cast("array<string>"))
+    return queries.select("qid", "embedding_type", unit(F.col("vector")).alias("vector"), *ASKED).where("vector is not null")
+
+
+def candidates(points: DataFrame) -> DataFrame:
+    """Points with all that filters and boosts look at."""
+    for name in ("answer_types", *ENTITY_FIELDS):
+        if name not in points.columns:
+            points = points.withColumn(name, F.lit(None).cast("array<string>"))
+    for name in ("type", "chunk_type", "boost_section"):
+        if name not in points.columns:
+            points = points.withColumn(name, F.lit(None).cast("string"))
+    return points
+
+
+def products(vectors: dict[str, np.ndarray]):
+    """A function of (embedding, embedding type) columns: cosines with all of the type's unit vectors, in their order.
+
+    It is null for a vector that is null, has no length, or is not as long as the type's.  A row's products are summed in
+    the same order wherever it stands, so equal vectors have equal cosines.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(embedding: pd.Series, kind: pd.Series) -> pd.Series:
+        out: list = [None] * len(embedding)
+        for name, own in vectors.items():
+            rows = [i for i, (e, k) in enumerate(zip(embedding, kind, strict=True)) if k == name and e is not None and len(e) == own.shape[1]]
+            if rows:
+                m = np.stack([embedding.iloc[i] for i in rows]).astype(float)
+                n = np.sqrt((m * m).sum(1))
+                with np.errstate(all="ignore"):
+                    m /= n[:, None]
+                cosines = np.stack([(m * q).sum(1) for q in own], 1)
+                for i, c in zip(np.array(rows)[np.isfinite(n) & (n > 0)], cosines[np.isfinite(n) & (n > 0)], strict=True):
+                    out[i] = c
+        return pd.Series(out, index=embedding.index, dtype=object)
+
+    return run
+
+
 def _paired(queries: DataFrame, points: DataFrame, sent: int) -> DataFrame:
-    """Each question with the points of its collection that it may get, p and q as structs' aliases.
+    """Each question with the points of its collection, aliases q and p, and original_score.
 
-    Few questions go to all executors (their number is checked), so a collection is not moved at all; more are copied
-    to the parts of each collection, as many as its points ask for, which a hash of the id spreads evenly, and met in an
-    ordinary join.
+    Few questions go to all executors as a matrix (their number and size are checked): a collection is not moved at all,
+    and products are made in Arrow batches.  More are copied to the parts of each collection, as many as its points ask
+    for, which a hash of the id spreads evenly, and met in an ordinary join.
     """
-    if queries.count() <= sent:
-        return F.broadcast(queries).alias("q").join(points.alias("p"), F.col("q.embedding_type") == F.col("p.embedding_type"))
+    asked = queries.limit(sent + 1).collect()
+    lengths = {(r["embedding_type"], len(r["vector"])) for r in asked}
+    alike = len(lengths) == len({k for k, _ in lengths})
+    if alike and len(asked) <= sent and sum(len(r["vector"]) for r in asked) <= SENT_NUMBERS:
+        vectors: dict[str, list] = {}
+        numbered = []
+        for no, r in enumerate(asked):
+            own = vectors.setdefault(r["embedding_type"], [])
+            numbered.append((*r, no, len(own)))
+            own.append(r["vector"])
+        spark = queries.sparkSession
+        q = spark.createDataFrame(numbered, spark.createDataFrame([], queries.schema).withColumns({"_no": F.lit(0), "_at": F.lit(0)}).schema)
+        scores = products({k: np.array(v) for k, v in vectors.items()})(F.col("embedding"), F.col("embedding_type"))
+        p = points.where(F.col("embedding_type").isin(list(vectors))).withColumn("_scores", scores)
+        p = p.where("_scores is not null").select(*points.columns, F.posexplode("_scores").alias("_at", "original_score")).alias("p")
+        return F.broadcast(q).alias("q").join(p, (F.col("q.embedding_type") == F.col("p.embedding_type")) & (F.col("q._at") == F.col("p._at")))
+    queries, points = materialised(queries.withColumn("_no", F.monotonically_increasing_id())), points.withColumn("_unit", unit(F.col("embedding")))
     parts = max(1, -(-points.count() // PART))
     q = queries.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("q")
-    p = points.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).alias("p")
-    return q.join(p, (F.col("q.embedding_type") == F.col("p.embedding_type")) & (F.col("q._part") == F.col("p._part")))
+    p = points.where("_unit is not null").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).alias("p")
+    pairs = q.join(p, (F.col("q.embedding_type") == F.col("p.embedding_type")) & (F.col("q._part") == F.col("p._part")) & (F.size("q.vector") == F.size("p._unit")))
+    return pairs.withColumn("original_score", dot(F.col("q.vector"), F.col("p._unit")))
+
+
+def first(pairs: DataFrame, mode: str, k: int) -> DataFrame:
+    """The first k points by cosine of each question that it may get."""
+    top = Window.partitionBy("q._no", "p.embedding_type").orderBy(F.desc("original_score"), "p.id")
+    return pairs.where(matches(mode)).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
+
+
+def boosted(hit: DataFrame, payload: list[str]) -> DataFrame:
+    """Scores times the boosts that apply, and the rank that they give in the collection."""
+    factor = reduce(lambda a, b: a * b, [F.when(c, F.lit(f)).otherwise(1.0) for _, f, c in boosts()])
+    applied = F.array_compact(F.array(*[F.when(c, n) for n, _, c in boosts()]))
+    hit = hit.withColumns({"score": F.col("original_score") * factor, "boost_applied": applied})
+    out = hit.select(F.col("q.qid").alias("qid"), F.col("q._no").alias("_no"), "original_score", "score", "boost_applied", *[F.col(f"p.{c}") for c in payload])
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("_no", "embedding_type").orderBy(F.desc("score"), F.desc("original_score"), "id"))).drop("_no")
 
 
 def search(queries: DataFrame, points: DataFrame, k: int = TOP, mode: str = "any", sent: int = SENT) -> DataFrame:
@@ -73,27 +153,13 @@ def search(queries: DataFrame, points: DataFrame, k: int = TOP, mode: str = "any
     The first k by cosine are taken before boosts: boosts change the order among them and bring nothing in.
     ``queries``: qid, embedding_type, vector, and whichever filters are set (types, chunk_types, drugs, diseases,
     procedures, answer_filter, boost_sections).
+
+    Vectors that are null, have no length or not the question's length are no hits; a question with such a vector gets
+    none.  Each row of queries is a question of its own, also where a qid comes again.
     """
-    for name in ("types", "chunk_types", *ENTITY_FIELDS, "answer_filter", "boost_sections"):
-        if name not in queries.columns:
-            queries = queries.withColumn(name, F.lit(None).cast("array<string>"))
-    for name in ("answer_types", *ENTITY_FIELDS):
-        if name not in points.columns:
-            points = points.withColumn(name, F.lit(None).cast("array<string>"))
-    for name in ("type", "chunk_type", "boost_section"):
-        if name not in points.columns:
-            points = points.withColumn(name, F.lit(None).cast("string"))
-    # lengths are taken out once a row, not once a pair
-    queries, points = queries.withColumn("vector", unit(F.col("vector"))), points.withColumn("_unit", unit(F.col("embedding")))
-    hit = _paired(queries, points, sent).where(matches(mode)).withColumn("original_score", dot(F.col("q.vector"), F.col("p._unit")))
-    top = Window.partitionBy("q.qid", "p.embedding_type").orderBy(F.desc("original_score"), "p.id")
-    hit = hit.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
-    factor = reduce(lambda a, b: a * b, [F.when(c, F.lit(f)).otherwise(1.0) for _, f, c in boosts()])
-    applied = F.array_compact(F.array(*[F.when(c, n) for n, _, c in boosts()]))
-    hit = hit.withColumns({"score": F.col("original_score") * factor, "boost_applied": applied})
-    payload = [F.col(f"p.{c}") for c in points.columns if c not in ("embedding", "_unit", "_part")]
-    out = hit.select(F.col("q.qid").alias("qid"), "original_score", "score", "boost_applied", *payload)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "embedding_type").orderBy(F.desc("score"), F.desc("original_score"), "id")))
+    points = candidates(points)
+    payload = [c for c in points.columns if c != "embedding"]
+    return boosted(first(_paired(questions(queries), points, sent), mode, k), payload)
 
 
 def merged(hits: DataFrame, k: int = TOP) -> DataFrame:

@@ -42,10 +42,10 @@ def fitted(points: DataFrame, kind: str, k: int | None = None) -> np.ndarray:
     if not lengths:
         return np.zeros((0, 0))
     own = own.where(F.size("unit") == lengths[0][0])
-    k = k or min(CENTROIDS, max(1, round(lengths[0][1] ** 0.5)))
+    k = k or min(CENTROIDS, max(2, round(lengths[0][1] ** 0.5)))
     # a bounded number of rows
     sample = materialised(own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * k).select("unit"))
-    if sample.select("unit").distinct().limit(2).count() < 2:
+    if k < 2 or sample.select("unit").distinct().limit(2).count() < 2:
         return np.array([r[0] for r in sample.limit(1).collect()])
     model = KMeans(k=k, seed=1, maxIter=ROUNDS, distanceMeasure="cosine", featuresCol="v", initMode="random").fit(sample.select(array_to_vector("unit").alias("v")))
     c = np.array([np.asarray(x) for x in model.clusterCenters()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import vectors as vec
 from .functions import vocab
-from .operators import answer, centroids, chunking, enrich, ner, query, rerank, search, sections
+from .operators import answer, centroids, chunking, enrich, inverted, ner, query, rerank, search, sections
 from .sources import documents as src
 from .sources import store
 
@@ -722,7 +722,7 @@ SELECT item_id AS qid, doc_id AS id, round(sc, 3) AS score, r::INTEGER AS rank F
 def bm25_search(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    return rerank.bm25_search(q, docs, 5).select("qid", "id", F.round("score", 3).alias("score"), "rank")
+    return inverted.bm25_search(q, docs, 5).select("qid", "id", F.round("score", 3).alias("score"), "rank")
 
 
 _CANDIDATES = "VALUES (1,'a','metformin dosage for adults',1),(1,'b','side effects of insulin',2),(1,'c','metformin metformin dosage',3),(2,'a','nothing at all',1),(2,'d','nothing else',2)"

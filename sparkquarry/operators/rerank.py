@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, tokens
-from ..sources.store import materialised
+from ..functions.text import tokens
 
 K1, B = 1.2, 0.75
 
@@ -19,17 +18,19 @@ def rerank_text(texts: Column) -> Column:
 def bm25(candidates: DataFrame, query: str = "rerank_query", text: str = "text") -> DataFrame:
     """Add rerank_score: BM25 (Robertson and Zaragoza 2009) with statistics of the question's own candidates.
 
-    candidates: qid, id, and the two texts. Term and length statistics are window aggregates over a question's rows.
+    candidates: qid, id (one row each), and the two texts. Words are counted once; term and length statistics are window
+    aggregates over the counts of a question's candidates.
     """
-    c = candidates.withColumns({"_terms": F.array_distinct(tokens(F.lower(query))), "_words": tokens(F.lower(text))})
+    words = candidates.select("qid", "id", tokens(F.lower(text)).alias("w"), F.array_distinct(tokens(F.lower(query))).alias("q"))
+    # a row for each word that the question has; one more, the empty word, keeps a candidate without any
+    each = words.select("qid", "id", F.size("w").alias("len"), F.explode(F.concat(F.filter("w", lambda x: F.array_contains("q", x)), F.array(F.lit("")))).alias("term"))
+    tf = each.groupBy("qid", "id", "len", "term").agg(F.count("*").alias("tf"))
     mine = Window.partitionBy("qid")
-    c = c.withColumns({"_n": F.count("*").over(mine), "_mean": F.avg(F.size("_words")).over(mine)})
-    t = c.select("qid", "id", "_n", "_mean", F.size("_words").alias("_len"), "_words", F.explode("_terms").alias("term"))
-    t = t.withColumn("tf", F.size(F.filter("_words", lambda w: w == F.col("term"))))
-    t = t.withColumn("df", F.sum((F.col("tf") > 0).cast("int")).over(Window.partitionBy("qid", "term")))
-    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.greatest("_mean", F.lit(1e-9))))
-    s = t.groupBy("qid", "id").agg(F.sum(part).alias("rerank_score"))
+    own = F.col("term") == ""
+    tf = tf.withColumns({"n": F.sum(own.cast("int")).over(mine), "mean": F.avg(F.when(own, F.col("len"))).over(mine), "df": F.count("*").over(Window.partitionBy("qid", "term"))}).where(~own)
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest("mean", F.lit(1e-9))))
+    s = tf.groupBy("qid", "id").agg(F.sum(part).alias("rerank_score"))
     return candidates.join(s, ["qid", "id"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
 
 
@@ -40,24 +41,3 @@ def reranked(candidates: DataFrame, scorer=bm25, k: int | None = 50) -> DataFram
     w = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "position")
     out = scorer(candidates).withColumn("rerank_position", F.row_number().over(w))
     return out if k is None else out.where(F.col("rerank_position") <= k)
-
-
-def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
-    """qid, id, score, rank: the k best documents of each question by BM25 over the whole corpus.
-
-    Terms meet in an equi-join of the questions' terms with the documents' term counts; counts are combined before the
-    shuffle, and only terms that some question has leave the scan.
-    """
-    size = F.regexp_count(F.lower("text"), F.lit(TOKEN))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
-    q = queries.select("qid", F.explode(F.array_distinct(tokens(F.lower("query")))).alias("term"))
-    d = docs.select("id", tokens(F.lower("text")).alias("w"))
-    tf = d.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    # scores and document frequencies both read the counts
-    tf = materialised(tf)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    x = q.join(tf, "term").join(df, "term").crossJoin(stats)  # stats is one row
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    s = x.groupBy("qid", "id").agg(F.sum(part).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

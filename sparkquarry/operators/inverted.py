@@ -4,12 +4,13 @@ A posting's impact is what its term adds to its document's score, so a score is
 stored in LEVELS blocks by impact, relative to the term's largest; each block's and each term's largest impact and size are
 tables of their own, no more than LEVELS rows a term.
 
-A question is answered in two rounds.  The first takes blocks of large impact of each of its terms, scores the documents
-that come up best, and so gets a score that k documents reach.  In the second, terms are put aside, smallest largest
-impact first, as long as all of those together do not reach that score: a document that has no other term cannot be among
-the first k.  Of the remaining terms only blocks are met whose largest impact, with the largest of all other terms, reaches
-it; documents whose impacts from these blocks, with the largest impacts of what was not met, fall short go before
-anything else of theirs is looked up.  All that is left is scored in full, so hits and scores are those of summing every posting.
+A question is answered in turns.  First, blocks of large impact of each of its terms bring up a few documents, whose full
+scores give one that k documents reach.  Then its terms are taken in TURNS turns, those with few postings for their
+largest impact first.  A document that has had no term so far is only let in from blocks whose largest impact, with the
+largest of all terms still to come, reaches that score; documents that are in the running are looked up.  After each turn
+the score that k documents reach is raised by the sums so far, and documents that the terms still to come cannot lift to
+it go.  So common terms, which have most postings, meet few documents.  What is left has been summed in full: hits and
+scores are those of summing every posting.
 
 Documents without a text are no part of the collection; empty ones count for its mean length.  A question's repeated words
 count once.
@@ -24,9 +25,9 @@ from ..functions.text import tokens
 from ..sources.store import folder, materialised
 
 K1, B = 1.2, 0.75
-#: Blocks of a term; postings that the first round takes of a term (blocks that end beyond FURTHEST times as many are left
-#: out), and documents that it scores, for each hit that is asked for.
-LEVELS, FIRST, FURTHEST, SCORED = 32, 8, 64, 4
+#: Blocks of a term; postings that the beginning takes of a term (blocks that end beyond FURTHEST times as many are left
+#: out), and documents that it scores, for each hit that is asked for; turns.
+LEVELS, FIRST, FURTHEST, SCORED, TURNS = 32, 4, 8, 4, 6
 #: What scores are rounded to when they are ranked, and how far a bound gives way for it.
 DIGITS, SLACK = 6, 1e-5
 
@@ -61,8 +62,8 @@ def _full(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def rounds(queries: DataFrame, path: str, k: int) -> dict[str, DataFrame]:
-    """The tables that a search goes through: asked (terms of questions), seeds and met (postings that questions meet),
-    bounds (score that k documents reach), candidates and scored."""
+    """The tables that a search goes through: asked (terms of questions), the postings that they meet (seeds, met_ and looked_up_
+    by turn), bounds (what k documents reach) and scored (the documents left)."""
     spark = queries.sparkSession
     postings, terms, blocks = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "blocks"))
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.lower("query")))).alias("term"))
@@ -77,17 +78,33 @@ def rounds(queries: DataFrame, path: str, k: int) -> dict[str, DataFrame]:
     kth = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     bounds = materialised(_full(some, asked, postings).withColumn("_r", F.row_number().over(kth)).where(F.col("_r") == k).select("qid", (F.col("score") - SLACK).alias("bound")))
 
-    up = Window.partitionBy("qid").orderBy("largest", "term")
-    a = asked.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
-    a = a.withColumns({"below": F.sum("largest").over(up), "all": F.sum("largest").over(Window.partitionBy("qid"))})
-    # where nothing bounds a question, none of its terms is put aside
-    essential = a.where((F.col("below") >= F.col("bound")) | (F.col("bound") <= 0))
-    wanted = essential.join(b.select("term", "level", "block_largest"), "term").where(F.col("block_largest") + F.col("all") - F.col("largest") >= F.col("bound"))
-    wanted = materialised(wanted.select("qid", "term", "level", "largest", "all", "bound"))
-    met = wanted.join(postings, ["term", "level"])
-    met = met.groupBy("qid", "id").agg(F.sum("impact").alias("sum"), F.sum("largest").alias("met_largest"), F.first("all").alias("all"), F.first("bound").alias("bound"))
-    candidates = materialised(met.where(F.col("sum") + F.col("all") - F.col("met_largest") >= F.col("bound")).select("qid", "id"))
-    return {"asked": asked, "seeds": seeds, "bounds": bounds, "met": wanted.join(postings, ["term", "level"]), "candidates": candidates, "scored": _full(candidates, asked, postings)}
+    # each turn takes half of the largest impacts that are left, of the terms that have fewest postings for theirs
+    order = Window.partitionBy("qid").orderBy(F.desc(F.col("largest") / F.col("df")), "term")
+    every = F.sum("largest").over(Window.partitionBy("qid"))
+    a = asked.withColumn("share", (F.sum("largest").over(order.rowsBetween(Window.unboundedPreceding, -1)) / every))
+    a = a.withColumn("turn", F.least(F.lit(TURNS - 1), F.floor(-F.log2(1 - F.least(F.coalesce("share", F.lit(0.0)), F.lit(1 - 1e-12)))).cast("int")))
+    rest = Window.partitionBy("qid").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    settled = a.groupBy("qid", "turn").agg(F.sum("largest").alias("now")).withColumn("later", F.coalesce(F.sum("now").over(rest), F.lit(0.0)))
+    a = materialised(a.join(settled, ["qid", "turn"]).select("qid", "term", "turn", "largest", "now", "later"))
+    bounds = a.select("qid").distinct().join(bounds, "qid", "left").select("qid", F.coalesce("bound", F.lit(0.0)).alias("bound"))
+    left, tables = None, {"asked": asked, "seeds": seeds}
+    for n in range(TURNS):
+        own = a.where(F.col("turn") == n).join(bounds, "qid")
+        # blocks in which a document that has had no term so far may still reach the bound
+        admitted = materialised(own.join(b.select("term", "level", "block_largest"), "term").where(F.col("block_largest") + F.col("now") + F.col("later") - F.col("largest") >= F.col("bound")).select("qid", "term", "level"))
+        tables[f"met_{n}"] = met = admitted.join(postings, ["term", "level"]).select("qid", "id", "impact")
+        if left is not None:
+            # documents that are in the running get their other postings as well
+            looked = left.select("qid", "id").join(own.select("qid", "term"), "qid").join(postings, ["term", "id"]).join(admitted, ["qid", "term", "level"], "left_anti")
+            tables[f"looked_up_{n}"] = looked
+            met = met.unionByName(looked.select("qid", "id", "impact")).unionByName(left.select("qid", "id", F.col("sum").alias("impact")))
+        sums = materialised(met.groupBy("qid", "id").agg(F.sum("impact").alias("sum")))
+        kth = Window.partitionBy("qid").orderBy(F.desc("sum"), "id")
+        reached = sums.withColumn("_r", F.row_number().over(kth)).where(F.col("_r") <= k).groupBy("qid").agg(F.when(F.count("*") == k, F.min("sum") - SLACK).alias("reached"))
+        bounds = materialised(bounds.join(reached, "qid", "left").select("qid", F.greatest("bound", "reached").alias("bound")))
+        later = a.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("turn") > n, F.col("largest"))), F.lit(0.0)).alias("later"))
+        left = materialised(sums.join(bounds, "qid").join(later, "qid").where(F.col("sum") + F.col("later") >= F.col("bound")).select("qid", "id", "sum"))
+    return tables | {"bounds": bounds, "scored": left.select("qid", "id", F.col("sum").alias("score"))}
 
 
 def search(queries: DataFrame, path: str, k: int = 50) -> DataFrame:

@@ -21,7 +21,8 @@ def bm25(candidates: DataFrame, query: str = "rerank_query", text: str = "text")
     candidates: qid, id (one row each), and the two texts. Words are counted once; term and length statistics are window
     aggregates over the counts of a question's candidates.
     """
-    words = candidates.select("qid", "id", tokens(F.lower(text)).alias("w"), F.array_distinct(tokens(F.lower(query))).alias("q"))
+    of = lambda c: tokens(F.lower(F.coalesce(c, F.lit(""))))
+    words = candidates.select("qid", "id", of(text).alias("w"), F.array_distinct(of(query)).alias("q"))
     # a row for each word that the question has; one more, the empty word, keeps a candidate without any
     each = words.select("qid", "id", F.size("w").alias("len"), F.explode(F.concat(F.filter("w", lambda x: F.array_contains("q", x)), F.array(F.lit("")))).alias("term"))
     tf = each.groupBy("qid", "id", "len", "term").agg(F.count("*").alias("tf"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import subwords
 from .functions import text as tx
 from .functions import vectors as vec
 from .functions import vocab
@@ -366,6 +367,29 @@ def chunk_context_windows(spark, d):
     return c.select("doc_id", F.posexplode(chunking.split_in_section(context, F.col("text"))).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
+def _pieces() -> tuple[str, ...]:
+    """The vocabulary of a public model, from its file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return subwords.vocabulary_of(f.read())
+
+
+@named()
+def subword_chunks(spark, d):
+    """Every document in windows of 512 of a model's own tokens: how many, and the chunk that they make."""
+    c = table(spark, d, "documents").select("doc_id", F.posexplode(subwords.split(F.col("text"), _pieces(), chunking.SIZE, chunking.OVERLAP, chunking.LEAST)).alias("chunk_no", "c"))
+    return c.select("doc_id", "chunk_no", F.col("c.tokens").alias("n"), F.md5(F.col("c.chunk").cast("binary")).alias("digest"))
+
+
+@named()
+def subword_context_windows(spark, d):
+    """Every document in windows of what its language's name, as a section's context, leaves of 384 model tokens."""
+    context = F.concat(F.lit("[Section: "), F.coalesce("lang", F.lit("")), F.lit("]\n"))
+    c = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.split_in_section(context, F.coalesce("text", F.lit("")), _pieces())).alias("chunk_no", "c"))
+    return c.select("doc_id", "chunk_no", F.md5(F.col("c").cast("binary")).alias("digest"))
+
+
 @named("SELECT id, CASE WHEN h = '' THEN 'text' " + " ".join(f"WHEN regexp_matches(lower(replace(h, ',', ' ')), '{'|'.join(v)}') THEN '{k}'" for k, v in vocab.TABLE_TYPES.items()) + f" ELSE 'generic' END AS kind FROM {ALL_TABLES} t")
 def table_type(spark, d):
     r = headers(spark, d).withColumn("rows", F.when(F.col("h") == "", F.array().cast("array<array<string>>")).otherwise(F.array(F.split("h", ","))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import subwords, vocab
 from ..functions.text import let, strip, token_count, tokens, windows, words
 from ..sources.documents import items, ocr_text
 from .sections import with_groups, with_sections
@@ -29,13 +29,25 @@ def merged_windows(c: Column, size: int = SIZE, overlap: int = OVERLAP, least: i
     return let(windows(c, size, overlap), merge)
 
 
-def split_plain(text: Column) -> Column:
-    """A text's plain chunks: itself if it fits, else merged windows of its tokens."""
+def split_plain(text: Column, pieces: tuple[str, ...] | None = None) -> Column:
+    """A text's plain chunks: itself if it fits, else merged windows of its tokens.
+
+    pieces: a model's vocabulary (see functions.subwords); windows are of its tokens then, cut out of the text as it stands.
+    """
+    if pieces is not None:
+        return F.transform(subwords.split(text, pieces, SIZE, OVERLAP, LEAST), lambda c: c["chunk"])
     return let(tokens(text), lambda t: F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(t) <= SIZE, F.array(strip(text))).otherwise(F.transform(merged_windows(t), lambda w: F.array_join(w, " "))))
 
 
-def split_in_section(context: Column, text: Column) -> Column:
-    """A text's chunks with the section's context before each: whole if it fits, else windows of what the context leaves."""
+def split_in_section(context: Column, text: Column, pieces: tuple[str, ...] | None = None) -> Column:
+    """A text's chunks with the section's context before each: whole if it fits, else windows of what the context leaves.
+
+    pieces: a model's vocabulary; budgets are of its tokens then.
+    """
+    if pieces is not None:
+        size = F.greatest(F.lit(SECTION_SIZE) - subwords.token_count(context, pieces), F.lit(1))
+        whole = subwords.token_count(F.concat(context, text), pieces) <= SECTION_SIZE
+        return F.when(whole, F.array(F.concat(context, text))).otherwise(F.transform(subwords.split(text, pieces, size, SECTION_OVERLAP), lambda c: F.concat(context, c["chunk"])))
     t = tokens(text)
     left = F.greatest(F.lit(SECTION_SIZE) - token_count(context), F.lit(1))
     whole = token_count(F.concat(context, text)) <= SECTION_SIZE
@@ -106,9 +118,9 @@ def _numbered(chunks: DataFrame, order: list) -> DataFrame:
     return chunks.where(strip(F.col("chunk")) != "").withColumn("chunk", strip(F.col("chunk"))).withColumn("chunk_no", F.row_number().over(w) - 1).select(*CHUNK)
 
 
-def section_chunks(source: DataFrame, compat: bool = False, strict: bool = False, ner: bool = False) -> DataFrame:
+def section_chunks(source: DataFrame, compat: bool = False, strict: bool = False, ner: bool = False, pieces: tuple[str, ...] | None = None) -> DataFrame:
     """Chunks of items() below their sections.  compat drops lists over the limit and content before the first heading; ner
-    takes text items only and its own section table."""
+    takes text items only and its own section table.  pieces: a model's vocabulary, in whose tokens texts are windowed."""
     grouped = with_groups(with_sections(source, compat, strict, ner))
     if ner:
         grouped = grouped.where("type = 'text'").withColumn("group_kind", F.lit("text"))
@@ -121,7 +133,7 @@ def section_chunks(source: DataFrame, compat: bool = False, strict: bool = False
     g = g.select("job_id", "f.ord", "f.group_kind", "f.page", "f.page_width", "f.page_height", F.when(is_list, none).otherwise(F.col("f.bbox")).alias("bbox"), "f.section_title", "f.section_type", "section_id", "group_id", "f.rows", F.when(is_list, F.array_join(F.col("l.content"), "\n")).otherwise(F.col("f.content")).alias("body"))
     typed = lambda c, kind: F.struct(c.alias("chunk"), F.lit(kind).alias("chunk_type"))
     empty = F.array().cast("array<struct<chunk:string,chunk_type:string>>")
-    texts = F.transform(split_in_section(context, F.col("body")), lambda c: typed(c, "text"))
+    texts = F.transform(split_in_section(context, F.col("body"), pieces), lambda c: typed(c, "text"))
     text = F.concat(context, F.lit("\n"), F.col("body"))
     lists = F.when(token_count(text) <= SECTION_SIZE, F.array(typed(text, "list"))).otherwise(empty if compat else texts)
     chunks = F.when(F.col("group_kind") == "list", lists).when(F.col("group_kind") == "table", table_chunks(context, F.col("rows"), F.col("body"))).when(strip(F.col("body")) != "", texts).otherwise(empty)
@@ -129,11 +141,11 @@ def section_chunks(source: DataFrame, compat: bool = False, strict: bool = False
     return _numbered(out, ["section_id", "group_id", "ord", "part"])
 
 
-def healthcare_chunks(parsed: DataFrame, compat: bool = False, strict: bool = False, ner: bool = False) -> DataFrame:
-    return section_chunks(items(parsed, images=not ner), compat, strict, ner)
+def healthcare_chunks(parsed: DataFrame, compat: bool = False, strict: bool = False, ner: bool = False, pieces: tuple[str, ...] | None = None) -> DataFrame:
+    return section_chunks(items(parsed, images=not ner), compat, strict, ner, pieces)
 
 
-def generic_chunks(parsed: DataFrame) -> DataFrame:
+def generic_chunks(parsed: DataFrame, pieces: tuple[str, ...] | None = None) -> DataFrame:
     """Plain chunks page by page: images, then items with a box (headings of over 15 words, tables as tabs, texts), or the page's own text."""
     p = parsed.select("job_id", F.posexplode("pages").alias("p", "g")).where("g.page is not null")
     head = ["job_id", F.col("g.page").alias("page"), F.col("g.width").alias("page_width"), F.col("g.height").alias("page_height"), "p"]
@@ -151,6 +163,6 @@ def generic_chunks(parsed: DataFrame) -> DataFrame:
     every = image.unionByName(item).unionByName(page).where(whole(F.col("bbox")))
     every = every.where((F.col("type") != "heading") | (F.size(words(F.col("text"))) > HEADING_WORDS))
     single = F.col("type").isin("image", "table", "heading")
-    parts = F.when(single, F.array(strip(F.col("text")))).otherwise(split_plain(F.col("text")))
+    parts = F.when(single, F.array(strip(F.col("text")))).otherwise(split_plain(F.col("text"), pieces))
     out = every.select(*names, "k", "i", "bbox", F.col("type").alias("chunk_type"), F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("string").alias("section_type"), F.posexplode(parts).alias("part", "chunk"))
     return _numbered(out, ["p", "k", "i", "part"])

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import found, reachable
+
 #: The default tokenizer: runs of letters and digits, single other characters.
 TOKEN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
 
@@ -41,12 +43,8 @@ def quoted(word: str) -> str:
 
 def labels(c: Column, table: dict[str, list[str]], fallback: str = "general") -> Column:
     """Labels any of whose phrases is in the lower-cased text, in table order; the fallback alone if none is."""
-
-    def found(low):
-        hit = lambda phrases: reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
-        return F.array_compact(F.array(*[F.when(hit(phrases), F.lit(label)) for label, phrases in table.items()]))
-
-    return let(let(F.lower(c), found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(fallback))))
+    names = F.array(*map(F.lit, table))
+    return let(found(c, tuple(map(tuple, table.values()))), lambda x: F.when(F.size(x) > 0, F.transform(x, lambda i: F.get(names, i))).otherwise(F.array(F.lit(fallback))))
 
 
 def first_match(c: Column, patterns: dict[str, str]) -> Column:
@@ -69,9 +67,11 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
 def rewritten(c: Column, table: dict[str, str]) -> tuple[Column, Column]:
     """Whole words replaced one after another in table order, and the map of the entries that were found when their turn came.
 
-    The fold runs over an array of the entries, so the plan stays small however long the table is.
+    One pass finds the entries that the text holds, or that one of these can bring up; only they are tried, so the time does
+    not grow with the table.  A null text stays null.
     """
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(rf"(?i)\b{quoted(k)}\b").alias("p")) for k, v in table.items()])
+    every = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(rf"(?i)\b{quoted(k)}\b").alias("p")) for k, v in table.items()])
+    entries = F.transform(found(c, reachable(table)), lambda i: F.get(every, i))
     start = F.struct(c.alias("text"), F.array().cast("array<struct<key:string,value:string>>").alias("used"))
     step = lambda acc, e: F.struct(
         F.regexp_replace(acc["text"], e["p"], e["v"]).alias("text"),

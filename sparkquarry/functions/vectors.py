@@ -52,19 +52,20 @@ def pooled(m: Column, how: str = "mean", mask: Column | None = None) -> Column:
     return let(kept, lambda k: F.transform(total(k), lambda x: x / F.greatest(F.size(k), F.lit(1))))
 
 
-#: A character for each bucket of the hashing embedder.
-_BUCKETS = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), 35, 36]))
+#: A character for each bucket of the hashing embedder: one-byte ones first, as far as they go.
+_BUCKETS = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), 35, 36, *range(0x4E00, 0x9F00)]))
 
 
 def hash_embedding(text: Column, dimensions: int = 64) -> Column:
-    """Feature hashing (Weinberger et al. 2009): counts of lower-cased tokens by md5 bucket, of unit length.
+    """Feature hashing (Weinberger et al. 2009): counts of lower-cased tokens by md5 bucket, of unit length, at any width.
 
     Buckets are spelled as one string, a character a token, so that a count is a length before and after a replacement:
     a fast pass over bytes for each bucket instead of a lambda for each bucket and token.
     """
-    if dimensions > len(_BUCKETS):
-        raise ValueError(f"at most {len(_BUCKETS)} dimensions")
-    bucket = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions
-    spelled = F.array_join(F.transform(tokens(F.lower(text)), lambda t: F.substring(F.lit(_BUCKETS), (bucket(t) + 1).cast("int"), F.lit(1))), "")
+    if not 0 < dimensions <= len(_BUCKETS):
+        raise ValueError(f"1 to {len(_BUCKETS)} dimensions")
     marks = F.array(*map(F.lit, _BUCKETS[:dimensions]))
-    return normalised(let(spelled, lambda s: F.transform(marks, lambda c: (F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))).cast("double"))))
+    bucket = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions
+    spelled = F.array_join(F.transform(tokens(F.lower(text)), lambda t: F.get(marks, bucket(t).cast("int"))), "")
+    count = lambda s, c: ((F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))) / F.octet_length(c)).cast("double")
+    return normalised(let(spelled, lambda s: F.transform(marks, lambda c: count(s, c))))

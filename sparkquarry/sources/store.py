@@ -19,8 +19,15 @@ POINT = (
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors see: below spark.checkpoint.dir, else below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that the driver and the executors see: below spark.checkpoint.dir, else below the warehouse.
+
+    Only a local master, where one machine holds everything, may do with a warehouse that is a folder of that machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local[") and base.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry import catalog
 from sparkquarry.functions import text as tx
+from sparkquarry.functions import vectors as vec
 from sparkquarry.functions import vocab
 from sparkquarry.operators import answer, chunking, embed, enrich, ner, query, rerank, search, sections
 from sparkquarry.plans import backfill, ingest, retrieve
@@ -319,3 +320,26 @@ def test_entities_of_all_documents(spark, tmp_path):
     assert {(r.id, r.text.lower()) for r in named if r.id > 0} >= {(1, "metformin"), (1, "500 mg"), (4, "aspirin"), (4, "biopsy"), (5, "aspirin"), (6, "metformin")}
     whole = dict(enumerate(texts, 1)) | fixtures | {-101: "metformin 500 mg twice a day was prescribed"}
     assert {r.id for r in named} >= {-101, -1} and all(whole[r.id][r.s : r.e] == r.text for r in named)
+
+
+def test_backfill_completes_each_row_from_itself(spark):
+    rows = [("a", "Metformin for diabetes", [], [], []), ("a", "biopsy steps", ["kept"], [], []), (None, "aspirin", None, None, None), ("b", None, [], [], []), ("c", "insulin", ["x"], ["y"], ["z"])]
+    p = spark.createDataFrame(rows, "id string, text string, answer_types array<string>, medical_entities array<string>, entity_types array<string>").withColumns({"boost_section": F.lit(None).cast("string"), "section_type": F.lit("dosage")})
+    out = enrich.backfilled(p)
+    got = [(r.id, r.text, r.answer_types, r.medical_entities, r.enrichment_version) for r in out.collect()]
+    assert len(got) == 5 and got[0][3] == ["metformin", "diabetes"] and got[1][2] == ["kept"] and got[2][3] == ["aspirin"] and got[3][2:4] == (["general"], []) and got[4][2:] == (["x"], ["y"], None)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    e = enrich.entities(spark.createDataFrame([(None,)], "chunk string")).first()
+    assert e.drugs == [] and e.entity_types == [] and e.has_medical_content is False
+
+
+@pytest.mark.parametrize("n", [1, 64, 65, 768, 1536])
+def test_hashing_embedder_at_any_width(spark, n):
+    import hashlib
+
+    text = "One two, two; THREE 4 four-five"
+    want = np.zeros(n)
+    for t in re.findall(r"[a-z0-9]+|[^\sa-z0-9]", text.lower()):
+        want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % n] += 1
+    got = spark.createDataFrame([(text,)], "t string").select(vec.hash_embedding(F.col("t"), n)).first()[0]
+    assert np.allclose(got, want / np.linalg.norm(want))

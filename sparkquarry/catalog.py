@@ -13,7 +13,7 @@ from .functions import vectors as vec
 from .functions import vocab
 from .operators import answer, centroids, chunking, enrich, inverted, ner, query, rerank, search, sections
 from .sources import documents as src
-from .sources import store
+from .sources import parsed, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -252,20 +252,18 @@ def hash_embed(spark, d):
 
 # ---- names, routes
 
-@named("SELECT id, b || '_' || k AS name, b AS base, k AS embedding_type FROM (VALUES (1,'medical','pubmedbert'),(2,'a_b','openai'),(3,'x','biolinkbert')) t(id, b, k)")
+_NAMES = "VALUES (1,'medical','pubmedbert'),(2,'a_b','openai'),(3,'x','biolinkbert')"
+_MORE_NAMES = "SELECT 10 + doc_id, coalesce(source, ''), CASE doc_id % 3 WHEN 0 THEN 'biobert' WHEN 1 THEN 'openai' ELSE 'other' END FROM documents"
+
+
+@named(f"SELECT id, b || '_' || k AS name, CASE WHEN k = 'other' THEN b || '_' || k ELSE b END AS base, nullif(k, 'other') AS embedding_type FROM (SELECT * FROM ({_NAMES}) t(id, b, k) UNION ALL {_MORE_NAMES})")
 def collection_naming(spark, d):
-    r = rows(spark, "VALUES (1,'medical','pubmedbert'),(2,'a_b','openai'),(3,'x','biolinkbert')", "id", "b", "k")
+    more = table(spark, d, "documents").selectExpr("10 + doc_id", "coalesce(source, '')", "CASE doc_id % 3 WHEN 0 THEN 'biobert' WHEN 1 THEN 'openai' ELSE 'other' END")
+    r = rows(spark, _NAMES, "id", "b", "k").union(more)
     r = r.withColumn("name", store.collection_name(F.col("b"), F.col("k"))).withColumn("p", store.parsed_name(F.col("name")))
     return r.select("id", "name", "p.base", "p.embedding_type")
 
 
-@named("SELECT * FROM (VALUES (1,'pubmedbert'),(2,'biobert'),(2,'pubmedbert'),(3,'scibert')) t(qid, embedding_type)")
-def embed_type_routing(spark, d):
-    q = rows(spark, "VALUES (1,0.9,''),(2,0.7,''),(3,0.1,'scibert')", "qid", "confidence", "asked")
-    q = q.withColumn("embedding_types", F.when(F.col("asked") != "", F.array("asked")))
-    return search.routed(q).select("qid", "embedding_type")
-
-
 @named("SELECT id, CASE WHEN upper(trim(t)) IN ('GUIDELINE','POLICY','FAQ','DOCUMENT') THEN 'pdf' ELSE 'unknown' END AS parse_type FROM (SELECT * FROM (VALUES (1,'guideline'),(2,' POLICY '),(3,'memo'),(4,'Faq')) v(id, t) UNION ALL SELECT 10 + doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'policy' ELSE source END, '') FROM documents)")
 def parse_type_tag(spark, d):
     return rows(spark, "VALUES (1,'guideline'),(2,' POLICY '),(3,'memo'),(4,'Faq')", "id", "t").union(table(spark, d, "documents").selectExpr("10 + doc_id", "coalesce(CASE WHEN doc_id % 3 = 0 THEN 'policy' ELSE source END, '')")).select("id", src.parse_type(F.col("t")).alias("parse_type"))
@@ -296,10 +294,16 @@ def section_classify_strict(spark, d):
     return headings(spark, d).select("id", sections.section_type(F.col("h"), strict=True).alias("kind"))
 
 
-@named("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in vocab.BOOST_SECTIONS.items()) + ", ('imaging', NULL)) t(kind, boost)")
+def _value_sql(c: str, table_: dict[str, str]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + " END"
+
+
+@named(f"SELECT id, kind, {_value_sql('kind', vocab.BOOST_SECTIONS)} AS boost, {_value_sql('kind', vocab.BACKFILL_BOOST_SECTIONS)} AS backfill FROM (SELECT id, {_first_sql('h', vocab.SECTIONS)} AS kind FROM {ALL_HEADINGS} t UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, '{k}')" for i, k in enumerate([*vocab.BOOST_SECTIONS, "imaging"])) + ") k(id, kind))")
 def boost_section_map(spark, d):
-    kinds = ", ".join(f"('{k}')" for k in [*vocab.BOOST_SECTIONS, "imaging"])
-    return rows(spark, f"VALUES {kinds}", "kind").select("kind", sections.boost_section(F.col("kind")).alias("boost"))
+    """The boost sections of all headings' types, and of the types by name."""
+    kinds = ", ".join(f"({-i - 1}, '{k}')" for i, k in enumerate([*vocab.BOOST_SECTIONS, "imaging"]))
+    k = headings(spark, d).select("id", sections.section_type(F.col("h")).alias("kind")).union(rows(spark, f"VALUES {kinds}", "id", "kind"))
+    return k.select("id", "kind", sections.boost_section(F.col("kind")).alias("boost"), sections.boost_section(F.col("kind"), backfill=True).alias("backfill"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -396,21 +400,42 @@ def table_type(spark, d):
     return r.select("id", chunking.table_type(F.col("rows")).alias("kind"))
 
 
-def _lab(spark: SparkSession, sizes: list[int], head: str) -> DataFrame:
-    body = ", ".join("array('" + " ".join(["x"] * n) + "')" for n in sizes)
-    return spark.sql(f"SELECT 1 AS id, array(array('{head}')" + (f", {body}" if sizes else "") + ") AS rows")
+_TURNS = r"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations"
+
 
+def _tables(spark: SparkSession, d: str, *head: str) -> DataFrame:
+    """Conversations as tables, a turn a row: conv_id, rows."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    cells = {"Test": lambda t: F.array(t["text"])}.get(head[0], lambda t: F.array(t["role"], t["text"]))
+    return c.select("conv_id", F.concat(F.array(F.array(*map(F.lit, head))), F.transform("t", cells)).alias("rows"))
 
-@named("SELECT * FROM (VALUES (0, 2), (1, 1), (2, 2)) t(part, n)")
+
+@named(rf"""WITH RECURSIVE t AS (SELECT conv_id, i, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\sA-Za-z0-9]')) AS n FROM ({_TURNS})),
+r AS (SELECT conv_id, i, 0 AS part, n AS used FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.i, CASE WHEN r.used + t.n > 120 THEN r.part + 1 ELSE r.part END, CASE WHEN r.used + t.n > 120 THEN t.n ELSE r.used + t.n END FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
+SELECT conv_id, part, count(*)::INTEGER AS n, max(used)::INTEGER AS tokens FROM r GROUP BY conv_id, part""")
 def lab_table_pack(spark, d):
-    r = _lab(spark, [4, 5, 3, 9, 1], "test")
-    return r.select(F.posexplode(chunking.packed_rows(F.col("rows"), F.lit(""), budget=10)).alias("part", "p")).select("part", F.size("p").alias("n"))
+    """Every conversation's turns as rows of a table, packed into parts of 120 tokens."""
+    p = _tables(spark, d, "Test").select("conv_id", F.posexplode(chunking.packed_rows(F.col("rows"), F.lit(""), budget=120)).alias("part", "p"))
+    tokens = F.aggregate("p", F.lit(0), lambda a, r: a + tx.token_count(chunking.row_text(r)))
+    return p.select("conv_id", "part", F.size("p").alias("n"), tokens.alias("tokens"))
 
 
-@named("SELECT * FROM (VALUES (0,'[Section: M]\n' || 'Drug | Dose' || chr(10) || 'a | 1','medication'),(1,'[Section: M]\n' || 'Drug | Dose' || chr(10) || 'b | 2','medication')) t(part, chunk, chunk_type)".replace("\\n", "' || chr(10) || '").replace("]\n'", "]' || chr(10)"))
+@named(f"SELECT conv_id, (i - 1)::INTEGER AS part, regexp_replace('[Section: M]' || chr(10) || 'Drug | Dose' || chr(10) || role || ' | ' || text, '^\\s+|\\s+$', '', 'g') AS chunk, 'medication' AS chunk_type FROM ({_TURNS})")
 def medication_rows(spark, d):
-    r = spark.sql("SELECT array(array('Drug','Dose'),array('a','1'),array('b','2')) AS rows")
-    return r.select(F.posexplode(chunking.table_chunks(F.lit("[Section: M]\n"), F.col("rows"), F.lit(""))).alias("part", "c")).select("part", "c.chunk", "c.chunk_type")
+    """Every conversation's turns as rows of a table of medications, a chunk a row."""
+    c = _tables(spark, d, "Drug", "Dose").select("conv_id", F.posexplode(chunking.table_chunks(F.lit("[Section: M]\n"), F.col("rows"), F.lit(""))).alias("part", "c"))
+    return c.select("conv_id", "part", tx.strip(F.col("c.chunk")).alias("chunk"), "c.chunk_type")
+
+
+@named(rf"""WITH t AS (SELECT * FROM ({_TURNS})), c AS (SELECT conv_id, '| ' || string_agg(role || ' | ' || text, chr(10) ORDER BY i) AS md FROM t GROUP BY conv_id),
+w AS (SELECT conv_id, md, '[Section: V]' || chr(10) || chr(10) || md AS whole FROM c)
+SELECT conv_id, 0 AS part, md5(whole) AS digest, 'table' AS chunk_type FROM w WHERE len(regexp_extract_all(whole, '[A-Za-z0-9]+|[^\sA-Za-z0-9]')) <= {chunking.TABLE_SIZE}""")
+def vital_tables(spark, d):
+    """Every conversation as a table of vital signs, a chunk of its own where it fits."""
+    t = _tables(spark, d, "BP", "HR").withColumn("md", F.concat(F.lit("| "), F.array_join(F.transform(F.slice("rows", 2, F.size("rows")), chunking.row_text), "\n")))
+    c = t.select("conv_id", F.posexplode(chunking.table_chunks(F.lit("[Section: V]\n"), F.col("rows"), F.col("md"))).alias("part", "c")).where("c.chunk_type = 'table'")
+    return c.select("conv_id", "part", F.md5(F.col("c.chunk").cast("binary")).alias("digest"), "c.chunk_type")
 
 
 @named("SELECT id, len(list_filter(regexp_split_to_array(trim(h), '\\s+'), lambda x: x <> '')) > 15 AS kept FROM (SELECT * FROM (VALUES (1,'a b c d e f g h i j k l m n o'),(2,'a b c d e f g h i j k l m n o p'),(3,'')) v(id, h) UNION ALL " + MORE_HEADINGS + ") t")
@@ -418,10 +443,11 @@ def heading_gate(spark, d):
     return rows(spark, "VALUES (1,'a b c d e f g h i j k l m n o'),(2,'a b c d e f g h i j k l m n o p'),(3,'')", "id", "h").union(headings(spark, d).where("id > 100")).select("id", (F.size(tx.words(F.col("h"))) > chunking.HEADING_WORDS).alias("kept"))
 
 
-@named("SELECT 1 AS id, 'Patient ID: 12345 Date: 2025-01-15' AS ocr")
+@named(rf"SELECT conv_id AS id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE x <> ''), '') AS ocr FROM (SELECT conv_id, i, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM ({_TURNS})) GROUP BY conv_id")
 def ocr_concat(spark, d):
-    r = spark.sql("SELECT 1 AS id, from_json('[{\"text\":\" Patient ID: 12345 \"},{\"text\":\"  \"},{\"text\":\"Date: 2025-01-15\"}]', 'array<struct<text:string>>') AS o")
-    return r.select("id", src.ocr_text(F.col("o")).alias("ocr"))
+    """Every conversation's turns as the texts that were recognised in an image."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("o"))
+    return c.select(F.col("conv_id").alias("id"), src.ocr_text(F.col("o")).alias("ocr"))
 
 
 @named()
@@ -510,10 +536,16 @@ def _ner(spark: SparkSession) -> DataFrame:
     return r.withColumn("entities", F.array(e("twice a day", "frequency", 17, 28, 0.85), e("metformin", "drug", 0, 9, 0.9), e("500", "strength", 10, 13, 0.8), e("mg", "dosage", 14, 16, 0.75), e("day", "duration", 25, 28, 0.2)).cast(f"array<{ner.ENTITY}>"))
 
 
-@named("SELECT tag, kind FROM (VALUES " + ", ".join(f"('B-{k.upper()}', '{v}')" for k, v in vocab.TAG_TYPES.items() if k not in ("body_part",)) + ", ('O', 'other')) t(tag, kind)")
+_TAGS = "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'B-' ELSE 'I-' END || upper(regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0)) AS tag FROM documents"
+_NAMED_TAGS = ", ".join(f"({-i - 1}, 'B-{k.upper()}')" for i, k in enumerate([*vocab.TAG_TYPES, "nothing"]))
+
+
+@named(f"SELECT id, tag, CASE " + " ".join(f"WHEN contains(lower(tag), '{k}') THEN '{v}'" for k, v in vocab.TAG_TYPES.items()) + f" ELSE 'other' END AS kind FROM (SELECT * FROM (VALUES {_NAMED_TAGS}) t(id, tag) UNION ALL {_TAGS})")
 def ner_tag_map(spark, d):
-    tags = ", ".join(f"('B-{k.upper()}')" for k in vocab.TAG_TYPES if k != "body_part")
-    return rows(spark, f"VALUES {tags}, ('O')", "tag").select("tag", ner.tag_type(F.col("tag")).alias("kind"))
+    """The types of all tags by name, and of tags made of the documents' first words."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "B-").otherwise("I-"), F.upper(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0))).alias("tag"))
+    t = rows(spark, f"VALUES {_NAMED_TAGS}", "id", "tag").union(t)
+    return t.select("id", "tag", ner.tag_type(F.col("tag")).alias("kind"))
 
 
 @named("SELECT * FROM (VALUES ('metformin','drug',0,9,0.99,'','500 mg',''),('500 mg','dosage',10,16,0.75,'500mg','','metformin'),('twice a day','frequency',17,28,0.85,'twice daily','','')) t(text, type, s, e, confidence, normalized, related_dosage, related_drug)".replace("0.99", "0.99::DOUBLE").replace("0.75", "0.75::DOUBLE").replace("0.85", "0.85::DOUBLE"))
@@ -554,13 +586,12 @@ def entity_json(spark, d):
     return e.select("id", plain("e").eqNullSafe(plain("back")).alias("same"))
 
 
-_ABBR = "VALUES (1,'HTN'),(2,'bid'),(3,'aspirin'),(4,'COPD')"
-
-
-@named("SELECT id, CASE lower(t) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.ENTITY_ABBREVIATIONS.items()) + f" END AS normalized FROM ({_ABBR}) x(id, t)")
+@named(rf"SELECT qid, (i - 1)::INTEGER AS i, CASE lower(w) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.ENTITY_ABBREVIATIONS.items()) + rf" END AS normalized FROM (SELECT qid, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT qid, list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '') AS w FROM {ALL_QUESTIONS} t))")
 def ner_abbrev(spark, d):
-    r = rows(spark, _ABBR, "id", "t").withColumn("e", F.array(ner.entity(F.col("t"), F.lit("drug"), F.lit(0), F.lit(3), F.lit(0.9))))
-    return r.select("id", ner.abbreviations(F.col("e"))[0]["normalized"].alias("normalized"))
+    """Every word of every question as an entity, spelled out where it is an abbreviation."""
+    w = asked(spark, d).select("qid", F.posexplode(tx.words(F.col("query"))).alias("i", "t"))
+    w = w.withColumn("e", F.array(ner.entity(F.col("t"), F.lit("drug"), F.lit(0), F.lit(3), F.lit(0.9))))
+    return w.select("qid", "i", ner.abbreviations(F.col("e"))[0]["normalized"].alias("normalized"))
 
 
 @named("SELECT * FROM (VALUES ('dosage','500 mg'),('drug','metformin'),('frequency','twice a day')) t(type, texts)")
@@ -666,9 +697,19 @@ def intent_secondary(spark, d):
     return query.with_intent(_questions(spark, d)).select("qid", F.explode("secondary").alias("s")).select("qid", "s.intent", F.round("s.share", 4).alias("share"))
 
 
-@named("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{'|'.join(c)}', {str(p).lower()}, {m}::DOUBLE)" for i, (c, p, m) in vocab.STRATEGIES.items()) + ") t(intent, chunk_types, precision_required, min_confidence)")
+@named(_PRIMARY + " SELECT s.*, count(qid)::BIGINT AS questions FROM (VALUES " + ", ".join(f"('{i}', '{'|'.join(c)}', {str(p).lower()}, {m}::DOUBLE)" for i, (c, p, m) in vocab.STRATEGIES.items()) + ") s(intent, chunk_types, precision_required, min_confidence) LEFT JOIN f ON f.intent = s.intent GROUP BY ALL")
 def retrieval_strategy(spark, d):
-    return query.strategies(spark).select("intent", joined("chunk_types").alias("chunk_types"), "precision_required", "min_confidence")
+    """The strategies, and how many of all questions each is for."""
+    q = query.with_intent(_questions(spark, d)).groupBy("intent").agg(F.count("*").alias("questions"))
+    s = query.strategies(spark).select("intent", joined("chunk_types").alias("chunk_types"), "precision_required", "min_confidence")
+    return s.join(q, "intent", "left").withColumn("questions", F.coalesce("questions", F.lit(0).cast("long")))
+
+
+@named(_PRIMARY + " SELECT qid, unnest(CASE WHEN qid % 5 = 0 THEN ['scibert'] WHEN confidence > 0.7 THEN ['pubmedbert'] ELSE ['pubmedbert', 'biobert'] END) AS embedding_type FROM f")
+def embed_type_routing(spark, d):
+    """The embedding types that each question goes to; every fifth one names its own."""
+    q = query.with_intent(_questions(spark, d)).withColumn("embedding_types", F.when(F.col("qid") % 5 == 0, F.array(F.lit("scibert"))))
+    return search.routed(q).select("qid", "embedding_type")
 
 
 def _config_sql(n: int) -> str:
@@ -687,10 +728,21 @@ def query_strategies(spark, d):
     return m.select("qid", "intent", F.coalesce(joined("metadata_filters.chunk_types"), F.lit("")).alias("chunk_types"), "metadata_filters.min_confidence", F.col("metadata_filters.require_authoritative_source").alias("authoritative"))
 
 
-@named("SELECT * FROM (VALUES (1,'metformin|glucophage|fortamet|glumetza'),(3,'metformin|glucophage|fortamet|glumetza'),(13,'metoprolol')) t(qid, drugs)")
+_SYNONYMS = "CASE x " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in vocab.SYNONYMS.items()) + " ELSE []::VARCHAR[] END"
+
+
+def _forms_sql(kind: str) -> str:
+    """Surface forms of a type's entities, in order, each once, for intents that filter by the type."""
+    wanted = ", ".join(f"'{i}'" for i, v in vocab.INTENT_CONFIG.items() if kind in v[2])
+    forms = f"flatten(list_transform(list_filter(string_split({kind}, '|'), lambda x: x <> ''), lambda x: [x] || {_SYNONYMS}))"
+    low = f"list_transform({forms}, lambda x: lower(x))"
+    return f"CASE WHEN intent IN ({wanted}) THEN array_to_string({_UNIQ.format(h=low)}, '|') ELSE '' END AS {query.PLURAL[kind]}"
+
+
+@named(f"SELECT f.qid, {', '.join(map(_forms_sql, query.PLURAL))} FROM ({_PRIMARY} SELECT qid, intent FROM f) f JOIN ({_QUERY_ENTITIES}) e ON e.id = f.qid")
 def entity_filters(spark, d):
-    # stated questions of the report, whose filters are known
-    return query.enhanced(_questions(spark, d)).where("qid in (1, 3, 13)").select("qid", joined("drugs").alias("drugs"))
+    """What each question filters by: all forms of its entities of the intent's types."""
+    return query.enhanced(_questions(spark, d)).select("qid", *[joined(n).alias(n) for n in query.PLURAL.values()])
 
 
 @named("SELECT 1 AS qid, 'metformin dosage|glucophage dosage|fortamet dosage|glumetza dosage|metformin medication information|metformin drug|metformin dose|how much metformin' AS texts")
@@ -749,18 +801,49 @@ def bm25_search(spark, d):
     return inverted.bm25_search(q, docs, 5).select("qid", "id", F.round("score", 3).alias("score"), "rank")
 
 
-_CANDIDATES = "VALUES (1,'a','metformin dosage for adults',1),(1,'b','side effects of insulin',2),(1,'c','metformin metformin dosage',3),(2,'a','nothing at all',1),(2,'d','nothing else',2)"
+_CONV = rf"""WITH t AS (SELECT conv_id, i, regexp_extract_all(lower(text), '[A-Za-z0-9]+|[^\sA-Za-z0-9]') AS w FROM ({_TURNS})),
+q AS (SELECT DISTINCT conv_id, unnest(w) AS term FROM t WHERE i = 1),
+s AS (SELECT conv_id, count(*) AS n, greatest(avg(len(w)), 1e-9) AS mean FROM t GROUP BY conv_id),
+tf AS (SELECT conv_id, i, l, term, count(*) AS tf FROM (SELECT conv_id, i, len(w) AS l, unnest(w) AS term FROM t) GROUP BY ALL),
+m AS (SELECT tf.*, count(*) OVER (PARTITION BY tf.conv_id, tf.term) AS df FROM tf JOIN q USING (conv_id, term)),
+x AS (SELECT conv_id, i, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS sc FROM m JOIN s USING (conv_id) GROUP BY conv_id, i)
+SELECT t.conv_id AS qid, t.i AS id, round(coalesce(sc, 0), 4) AS score, row_number() OVER (PARTITION BY t.conv_id ORDER BY round(coalesce(sc, 0), 9) DESC, t.i)::INTEGER AS position FROM t LEFT JOIN x USING (conv_id, i)"""
 
 
-@named("SELECT * FROM (VALUES (1,'c',1),(1,'a',2),(1,'b',3),(2,'a',1),(2,'d',2)) t(qid, id, position)")
+@named(_CONV)
 def bm25_rerank(spark, d):
-    c = rows(spark, _CANDIDATES, "qid", "id", "text", "position").withColumn("rerank_query", F.lit("metformin dosage"))
-    return rerank.reranked(c).select("qid", "id", F.col("rerank_position").alias("position"))
+    """Every conversation's turns, reranked by what its first turn says."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.row_number().over(w).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.first(F.coalesce("text", F.lit(""))).over(w).alias("rerank_query")).withColumn("position", F.col("id"))
+    score = lambda x: rerank.bm25(x).withColumn("rerank_score", F.round("rerank_score", 9))
+    return rerank.reranked(c, score, None).select("qid", "id", F.round("rerank_score", 4).alias("score"), F.col("rerank_position").alias("position"))
 
 
-@named("SELECT 1 AS qid, 'a b c' AS query")
+@named(f"SELECT conv_id AS qid, string_agg(text, ' ' ORDER BY i) FILTER (WHERE i <= 3) AS query FROM ({_TURNS}) GROUP BY conv_id")
 def rerank_query_text(spark, d):
-    return spark.sql("SELECT 1 AS qid, array('a','b','c','d') AS t").select("qid", rerank.rerank_text(F.col("t")).alias("query"))
+    """What candidates are reranked by, of every conversation's turns as one question's texts."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    return c.select(F.col("conv_id").alias("qid"), rerank.rerank_text(F.col("t.text")).alias("query"))
+
+
+_OVERLAP = _BM25.replace("AS sc FROM q", "AS sc, count(*) AS shared FROM q").split("SELECT item_id AS qid")[0]
+
+
+@named(_OVERLAP + ", p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, r) AS p FROM r WHERE r <= 10) SELECT item_id AS qid, doc_id AS id, shared::DOUBLE AS score, p::INTEGER AS position FROM p WHERE p <= 5")
+def pair_rerank(spark, d):
+    """The ten best documents for each benchmark item, reranked by a model of pairs that counts shared words."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    c = inverted.bm25_search(q, docs, 10).join(docs, "id").join(q, "qid").select("qid", "id", "text", F.col("rank").alias("position"), F.col("query").alias("rerank_query"))
+    return rerank.reranked(c, rerank.pairwise(_shared_words), 5).select("qid", "id", F.col("rerank_score").alias("score"), F.col("rerank_position").alias("position"))
+
+
+def _shared_words():
+    """A model of pairs that counts the words that both have."""
+    import re
+
+    words = lambda t: {*re.findall(tx.TOKEN, t.lower())}
+    return lambda pairs: [len(words(a) & words(b)) for a, b in pairs]
 
 
 @named("SELECT conv_id AS qid, string_agg('<Context_' || n || '>' || chr(10) || text || chr(10) || '</Context_' || n || '>', chr(10) || chr(10) ORDER BY n) AS contexts FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
@@ -769,20 +852,28 @@ def context_assembly(spark, d):
     return answer.contexts(c).select("qid", F.col("context_text").alias("contexts"))
 
 
-_RAW = "VALUES (1,'A ^[Context_2]. B ^[Context_2] ^[Context_9]'),(2,'no citation'),(3,' NA '),(4,'na ^[Context_1]')"
+_CITED_SQL = rf"""WITH t AS (SELECT conv_id, i, text, (i * 7) % 5 + 1 AS cites FROM ({_TURNS}) WHERE NOT contains(text, '^[')), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k FROM t)
+SELECT conv_id AS qid, string_agg(text || '^[' || k || ']', ' ' ORDER BY k) AS answer, string_agg('Context_' || cites, '|' ORDER BY k) AS refs,
+  string_agg(CASE WHEN cites <= 3 THEN 'source ' || cites ELSE 'Original context Context_' || cites || ' not found' END, '|' ORDER BY k) AS sources FROM o GROUP BY conv_id"""
 
 
-@named("SELECT * FROM (VALUES (1,'A ^[1]. B ^[2] ^[3]','Context_2|Context_2|Context_9','two|two|Original context Context_9 not found'),(2,'no citation','',''),(3,'na','',''),(4,'na ^[1]','Context_1','one')) t(qid, answer, refs, sources)")
+@named(_CITED_SQL)
 def citation_renumber(spark, d):
-    c = F.array(*[F.struct(F.lit(n).alias("no"), F.lit(t).alias("text"), F.lit(str(n)).alias("id")) for n, t in ((1, "one"), (2, "two"), (3, "three"))])
-    a = answer.cited(rows(spark, _RAW, "qid", "raw_answer").withColumn("contexts", c))
+    """Every conversation's turns as an answer, each followed by a citation of one of five contexts, of which three are there."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, d, "conversations").select("conv_id", F.row_number().over(w).alias("i"), F.coalesce("text", F.lit("")).alias("text")).where(~F.col("text").contains("^["))
+    t = t.groupBy(F.col("conv_id").alias("qid")).agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("t"))
+    raw = F.array_join(F.transform("t", lambda x: F.concat(x["text"], F.lit("^[Context_"), ((x["i"] * 7) % 5 + 1).cast("string"), F.lit("]"))), " ")
+    c = F.array(*[F.struct(F.lit(n).alias("no"), F.lit(f"source {n}").alias("text"), F.lit(str(n)).alias("id")) for n in (1, 2, 3)])
+    a = answer.cited(t.select("qid", raw.alias("raw_answer")).withColumn("contexts", c))
     return a.select("qid", "answer", joined(F.transform("cited", lambda x: x["references_original_context"])).alias("refs"), joined(F.transform("cited", lambda x: F.coalesce(x["source"]["text"], x["error"]))).alias("sources"))
 
 
-@named(f"SELECT * FROM (VALUES (1,'- Metformin is used. ^[1]'),(2,'{answer.NO_HITS}')) t(qid, answer)")
+@named(f"SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN '- Item ' || item_id || ' is used. ^[1]' ELSE '{answer.NO_HITS}' END AS answer FROM benchmark")
 def no_hit_response(spark, d):
-    q = rows(spark, "VALUES (1,'x'),(2,'y')", "qid", "query")
-    ranked = rows(spark, "VALUES (1,'p','Metformin is used. Twice.',1)", "qid", "id", "text", "rerank_position")
+    """Every benchmark item as a question; for every second one nothing was found."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    ranked = q.where("qid % 2 = 0").select("qid", F.lit("p").alias("id"), F.concat(F.lit("Item "), F.col("qid").cast("string"), F.lit(" is used. "), F.coalesce("query", F.lit(""))).alias("text"), F.lit(1).alias("rerank_position"))
     return answer.answered(q, ranked).select("qid", "answer")
 
 
@@ -816,6 +907,27 @@ def stream_ingest(spark, d):
     return replayed(spark, table(spark, d, "documents"))
 
 
+@named("SELECT doc_id::VARCHAR AS job_id, (CASE WHEN doc_id % 10 = 3 THEN 0 ELSE 1 END)::INTEGER AS n_pages, CASE WHEN doc_id % 10 = 3 THEN 'no JSON' ELSE md5(coalesce(text, '')) END AS digest FROM documents")
+def parsed_source(spark, d):
+    """Documents through files, every tenth one spoilt, and the data source that reads them."""
+    from .streaming.replay import as_parsed
+
+    path = store.folder(spark)
+    p = as_parsed(table(spark, d, "documents"))
+    p.select(F.when(F.col("job_id").endswith("3"), F.concat(F.lit('{"job_id": "'), "job_id")).otherwise(F.to_json(F.struct("job_id", "pages"))).alias("value")).write.text(path)
+    good, bad = parsed.documents(parsed.read(spark, path), src.PARSED)
+    good = good.select("job_id", F.size("pages").alias("n_pages"), F.md5(F.col("pages")[0]["text"].cast("binary")).alias("digest"))
+    return good.union(bad.select(F.substring("document", 13, 20), F.lit(0), "rejected"))
+
+
+@named(SQL["stream_ingest"].replace("count(*)::BIGINT AS documents FROM w", "count(*)::BIGINT AS documents, (SELECT count(*) FROM documents)::BIGINT AS passed FROM w"))
+def stream_distinct(spark, d):
+    """The streaming plan with every file there twice: points and documents as with each once."""
+    from .streaming.replay import replayed_twice
+
+    return replayed_twice(spark, table(spark, d, "documents"))
+
+
 @named("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_discount), 6) AS avg_disc, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
 def pricing_summary(spark, d):
     li = table(spark, d, "lineitem")

@@ -14,6 +14,7 @@ from __future__ import annotations
 import importlib
 import io
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,7 +61,7 @@ class _Files:
     """What batches and streams share."""
 
     def __init__(self, options: dict):
-        self.path, self.size = options["path"], int(options.get("range_bytes", RANGE))
+        self.path, self.size = re.sub("^file:/+", "/", options["path"]), int(options.get("range_bytes", RANGE))
         module, _, name = options.get("parser", f"{__name__}:as_it_is").partition(":")
         self.module, self.name = module, name
 

@@ -11,7 +11,7 @@ from .functions import subwords
 from .functions import text as tx
 from .functions import vectors as vec
 from .functions import vocab
-from .operators import answer, centroids, chunking, enrich, inverted, ner, query, rerank, search, sections
+from .operators import answer, centroids, chunkers, chunking, enrich, inverted, ner, query, rerank, search, sections
 from .sources import documents as src
 from .sources import parsed, store
 
@@ -456,6 +456,12 @@ def page_chunks(spark, d):
     return enrich.enriched(chunking.section_chunks(src.page_items(table(spark, d, "pages")))).select("job_id", "chunk_no", "chunk_type", "section_title", "section_type", joined("answer_types").alias("answer_types"), "chunk")
 
 
+@named()
+def udtf_chunks(spark, d):
+    """The same by a chunker in Python, as a table function."""
+    return enrich.enriched(chunkers.chunked(src.page_items(table(spark, d, "pages")))).select("job_id", "chunk_no", "chunk_type", "section_title", "section_type", joined("answer_types").alias("answer_types"), "chunk")
+
+
 # ---- enrichment
 
 _DOC_AND_ROWS = f"(SELECT doc_id AS id, text AS c FROM documents WHERE text IS NOT NULL UNION ALL SELECT -id, c FROM ({CHUNKS}) t(id, c))"

@@ -167,6 +167,18 @@ def _kind() -> Column:
     return F.when(F.col("label") < 5, "pubmedbert").otherwise("biobert")
 
 
+@named(_TOP + """, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) AS r FROM s WHERE label % 4 IN (ql % 4, 1))
+SELECT qid, id, round(c, 4) AS original_score, round(c * 1.2, 4) AS score, 'chunk_type' AS boosts, r::INTEGER AS rank FROM t WHERE r <= 10""")
+def vector_topk_chunk_types(spark, d):
+    """Points of two chunk types, one of them the question's own."""
+    q, p = _points(spark, d)
+    kind = lambda c: F.concat(F.lit("c"), (F.col(c) % 4).cast("string"))
+    q = q.withColumns({"embedding_type": F.lit("pubmedbert"), "chunk_types": F.array(kind("ql"), F.lit("c1"))})
+    p = p.withColumn("chunk_type", F.concat(F.lit("c"), (F.col("type").cast("int") % 4).cast("string")))
+    h = search.search(q, p, 10)
+    return h.select("qid", "id", F.round("original_score", 4).alias("original_score"), F.round("score", 4).alias("score"), joined("boost_applied").alias("boosts"), "rank")
+
+
 # the same questions, asked of the centroid index; its exact mode answers as the plain search does
 def _indexed(spark: SparkSession, points: DataFrame) -> str:
     path = store.folder(spark)

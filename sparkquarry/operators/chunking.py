@@ -100,11 +100,14 @@ def table_chunks(context: Column, rows: Column, md: Column) -> Column:
 
 
 def with_page_size(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks whose page has no size take the one that their document's metadata name (page_width, page_height), if they do."""
+    """Chunks whose page has no size take the one that their document's metadata name (page_width, page_height), if they do.
+
+    Documents that share a job_id count as one, with the smallest width and height that they name; null ids equal each other.
+    """
     if not {"page_width", "page_height"} <= {*documents.columns}:
         return chunks
-    d = documents.select(F.col("job_id").alias("_j"), *[F.expr(f"try_cast({c} as double)").alias(f"_{c}") for c in ("page_width", "page_height")])
-    c = chunks.join(d, F.col("job_id") == F.col("_j"), "left")
+    d = documents.groupBy(F.col("job_id").alias("_j")).agg(*[F.min(F.expr(f"try_cast({c} as double)")).alias(f"_{c}") for c in ("page_width", "page_height")])
+    c = chunks.join(d, F.col("job_id").eqNullSafe(F.col("_j")), "left")
     return c.withColumns({n: F.coalesce(n, f"_{n}") for n in ("page_width", "page_height")}).select(*chunks.columns)
 
 

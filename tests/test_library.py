@@ -343,3 +343,30 @@ def test_hashing_embedder_at_any_width(spark, n):
         want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % n] += 1
     got = spark.createDataFrame([(text,)], "t string").select(vec.hash_embedding(F.col("t"), n)).first()[0]
     assert np.allclose(got, want / np.linalg.norm(want))
+
+
+def test_documents_that_share_a_job_id(spark):
+    one = documents(spark, 1)
+    two = one.unionByName(one.withColumn("title", F.lit("other"))).unionByName(one.withColumn("job_id", F.lit(None).cast("string")))
+    p = ingest.prepared(two)
+    single = ingest.prepared(one).count()
+    assert p.count() == p.dropDuplicates(["id"]).count() and p.where("title = 'other'").count() > 0 and p.count() >= 2 * single
+    sizes = spark.createDataFrame([("f1", "100", "7"), ("f1", "90", None), (None, "5", "6")], "job_id string, page_width string, page_height string")
+    chunks = spark.createDataFrame([("f1", None, None), (None, None, 1.0), ("x", None, None)], "job_id string, page_width double, page_height double")
+    assert sorted(map(tuple, chunking.with_page_size(chunks, sizes).collect()), key=str) == sorted([("f1", 90.0, 7.0), (None, 5.0, 1.0), ("x", None, None)], key=str)
+
+
+def test_medical_types(spark):
+    c = spark.createDataFrame([(t, "x", None) for t in ("medication", "lab_result", "vital_signs", "text", None)], "chunk_type string, chunk string, section_type string")
+    assert [r.medical_type for r in enrich.enriched(c).collect()] == ["medication", "lab_result", "vital_signs", None, None]
+
+
+def test_collections_by_name(spark):
+    spark.sql("DROP TABLE IF EXISTS named")
+    store.create(spark, "named")
+    have = {f.split(" ")[0]: f.split(" ", 1)[1] for f in store.POINT.split(", ")}
+    p = spark.createDataFrame([("a", [1.0, 0.0], "biobert"), ("b", [0.8, 0.6], "biobert"), ("c", [0.9, 0.1], "openai")], "id string, embedding array<float>, embedding_type string")
+    p.select(*[(F.col(n) if n in p.columns else F.lit(None)).cast(t).alias(n) for n, t in have.items()]).write.insertInto("named")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vector array<double>")
+    got = lambda name: [r.id for r in retrieve.search_collection(q, "named", name, 5).orderBy("position").collect()]
+    assert got("named") == ["a", "c", "b"] and got("named_biobert") == ["a", "b"] and got("named_scibert") == [] and got("elsewhere") == got("other_biobert") == []

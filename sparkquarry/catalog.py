@@ -11,7 +11,8 @@ from .functions import subwords
 from .functions import text as tx
 from .functions import vectors as vec
 from .functions import vocab
-from .operators import answer, centroids, chunkers, chunking, enrich, inverted, ner, query, rerank, search, sections
+from .operators import answer, centroids, chunkers, chunking, embed, enrich, inverted, ner, query, rerank, search, sections
+from .plans import retrieve
 from .sources import documents as src
 from .sources import parsed, store
 
@@ -895,18 +896,40 @@ def no_hit_response(spark, d):
     return answer.answered(q, ranked).select("qid", "answer")
 
 
-@named()
-def retrieve_answers(spark, d):
-    """The whole retrieval plan: benchmark items as questions over chunks of all documents."""
-    from .operators.embed import embedded
-    from .plans.retrieve import retrieve
-
+def _stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents with text, as points of one collection, stored before they are searched."""
     docs = table(spark, d, "documents").where("text is not null")
     c = docs.select(F.col("doc_id").cast("string").alias("job_id"), F.posexplode(chunking.split_plain(F.col("text"))).alias("chunk_no", "chunk")).withColumn("section_type", F.lit(None).cast("string"))
     c = enrich.enriched(c).withColumns({"embedding_type": F.lit("pubmedbert"), "id": F.concat_ws("-", "job_id", "chunk_no"), "text": F.col("chunk")})
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.array(F.lit("pubmedbert")).alias("embedding_types"))
-    # points are stored before they are searched
-    out = retrieve(q, store.materialised(embedded(c)), 10, "boost_only")
+    return store.materialised(embed.embedded(c))
+
+
+def _benchmark_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("query"), F.array(F.lit("pubmedbert")).alias("embedding_types"))
+
+
+_BUCKETED = r"list_transform(list_transform(range(64), lambda b: len(list_filter(bs, lambda x: x = b))::DOUBLE), lambda n: (n / sqrt(list_sum(list_transform(range(64), lambda b: (len(list_filter(bs, lambda x: x = b)) * len(list_filter(bs, lambda x: x = b)))::DOUBLE))))::FLOAT::DOUBLE)"
+_BUCKETS_OF = r"list_transform(regexp_extract_all(lower({0}), '[A-Za-z0-9]+|[^\sA-Za-z0-9]'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64)"
+_WINDOWS = SQL["chunk_generic"].rpartition("SELECT doc_id, i::INTEGER AS chunk_no")[0]
+
+
+@named(_WINDOWS + f""", c AS (SELECT doc_id || '-' || i AS id, {_BUCKETS_OF.format("array_to_string(w, ' ')")} AS bs FROM m),
+cv AS (SELECT id, {_BUCKETED} AS v FROM c),
+b AS (SELECT id - 1000 AS qid, {_BUCKETS_OF.format('c')} AS bs FROM {_CLEANED} WHERE id BETWEEN 1000 AND 999999),
+qv AS (SELECT qid, {_BUCKETED} AS v FROM b WHERE len(bs) > 0),
+x AS (SELECT qid, id, list_dot_product(qv.v, cv.v) / (sqrt(list_dot_product(qv.v, qv.v)) * sqrt(list_dot_product(cv.v, cv.v))) AS sc FROM qv, cv),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, id) AS r FROM x)
+SELECT qid::BIGINT AS qid, id, round(sc, 4) AS score FROM r WHERE r <= 10""")
+def retrieve_hits(spark, d):
+    """What the retrieval plan finds for benchmark items as questions, over chunks of all documents."""
+    _, found = retrieve.hits(_benchmark_questions(spark, d), _stored_chunks(spark, d), 10, "boost_only")
+    return found.select("qid", "id", F.round("original_score", 4).alias("score"))
+
+
+@named()
+def retrieve_answers(spark, d):
+    """The whole retrieval plan: benchmark items as questions over chunks of all documents."""
+    out = retrieve.retrieve(_benchmark_questions(spark, d), _stored_chunks(spark, d), 10, "boost_only")
     return out.select("qid", "answer", "intent", F.size("cited").alias("citations"), joined("searched").alias("searched"))
 
 

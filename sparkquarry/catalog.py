@@ -247,10 +247,12 @@ def pooled_vectors(spark, d):
     return g.select("grp", total("cls").alias("cls"), total("mean").alias("mean"), total("max").alias("most"))
 
 
-@named("VALUES (1, '1.0,2.0', '2.0,4.0', '3.0,6.0')".replace("VALUES (1, '1.0,2.0', '2.0,4.0', '3.0,6.0')", "SELECT 1 AS id, '1.0,2.0' AS cls, '2.0,4.0' AS mean, '3.0,6.0' AS most"))
+@named("WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT id, round(list_sum(v), 4) AS cls, round(list_sum(list_transform(v, lambda x: 1.5 * x)), 4) AS mean, round(list_sum(list_transform(v, lambda x: greatest(x, 2 * x))), 4) AS most FROM v")
 def pooling(spark, d):
-    m = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(6.0)))
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("id"), *[joined(F.transform(vec.pooled(m, h), lambda x: x.cast("string")), ",").alias(n) for h, n in (("cls", "cls"), ("mean", "mean"), ("max", "most"))])
+    """Every vector and its double as one, by each way of pooling."""
+    v = vec.doubled(F.col("embedding"))
+    m = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(v, F.transform(v, lambda x: 2 * x)).alias("m"))
+    return m.select("id", *[F.round(F.aggregate(vec.pooled(F.col("m"), h), F.lit(0.0), lambda a, x: a + x), 4).alias(n) for h, n in (("cls", "cls"), ("mean", "mean"), ("max", "most"))])
 
 
 @named(r"""
@@ -549,29 +551,44 @@ def corpus_stats(spark, d):
 _NER = "VALUES (1,'metformin 500 mg twice a day was prescribed')"
 
 
-def _ner(spark: SparkSession) -> DataFrame:
-    e = lambda t, k, s, n, c: ner.entity(F.lit(t), F.lit(k), F.lit(s), F.lit(n), F.lit(c))
-    r = rows(spark, _NER, "id", "text")
-    return r.withColumn("entities", F.array(e("twice a day", "frequency", 17, 28, 0.85), e("metformin", "drug", 0, 9, 0.9), e("500", "strength", 10, 13, 0.8), e("mg", "dosage", 14, 16, 0.75), e("day", "duration", 25, 28, 0.2)).cast(f"array<{ner.ENTITY}>"))
+#: Phrases, what a model says of them (text, type, begin, end, confidence), and what the steps make of that (text, type,
+#: begin, end, confidence, normal form, related amount, related drug).
+_PHRASES = {
+    "metformin 500 mg twice a day was prescribed": (
+        [("twice a day", "frequency", 17, 28, 0.85), ("metformin", "drug", 0, 9, 0.9), ("500", "strength", 10, 13, 0.8), ("mg", "dosage", 14, 16, 0.75), ("day", "duration", 25, 28, 0.2)],
+        [("metformin", "drug", 0, 9, 0.9, "", "500 mg", ""), ("500 mg", "dosage", 10, 16, 0.75, "500mg", "", "metformin"), ("twice a day", "frequency", 17, 28, 0.85, "twice daily", "", "")],
+    ),
+    "history of HTN and aspirin": ([("HTN", "disease", 11, 14, 0.8), ("aspirin", "drug", 19, 26, 0.95)], [("HTN", "disease", 11, 14, 0.8, "hypertension", "", ""), ("aspirin", "drug", 19, 26, 0.95, "", "", "")]),
+    "acet-minophen 5 mg": (
+        [("acet", "drug", 0, 4, 0.9), ("minophen", "drug", 5, 13, 0.8), ("5 mg", "dosage", 14, 18, 0.9)],
+        [("acet-minophen", "drug", 0, 13, 0.8, "", "5 mg", ""), ("5 mg", "dosage", 14, 18, 0.9, "5mg", "", "acet-minophen")],
+    ),
+}
 
 
-_TAGS = "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'B-' ELSE 'I-' END || upper(regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0)) AS tag FROM documents"
-_NAMED_TAGS = ", ".join(f"({-i - 1}, 'B-{k.upper()}')" for i, k in enumerate([*vocab.TAG_TYPES, "nothing"]))
+def _ner(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn of every conversation, followed by one of the phrases: id, text, and entities as a model would find them."""
+    c = table(spark, d, "conversations").select((1000 * F.col("conv_id") + F.col("turn")).alias("id"), "turn", F.coalesce("text", F.lit("")).alias("own"))
+    of = lambda found: F.array(*[ner.entity(F.lit(t), F.lit(k), F.length("own") + 1 + a, F.length("own") + 1 + b, F.lit(x)) for t, k, a, b, x in found]).cast(f"array<{ner.ENTITY}>")
+    which = lambda values: F.when(F.col("turn") % 3 == 0, values[0]).when(F.col("turn") % 3 == 1, values[1]).otherwise(values[2])
+    return c.select("id", "turn", F.concat("own", F.lit(" "), which([F.lit(p) for p in _PHRASES])).alias("text"), which([of(found) for found, _ in _PHRASES.values()]).alias("entities"))
 
 
-@named(f"SELECT id, tag, CASE " + " ".join(f"WHEN contains(lower(tag), '{k}') THEN '{v}'" for k, v in vocab.TAG_TYPES.items()) + f" ELSE 'other' END AS kind FROM (SELECT * FROM (VALUES {_NAMED_TAGS}) t(id, tag) UNION ALL {_TAGS})")
-def ner_tag_map(spark, d):
-    """The types of all tags by name, and of tags made of the documents' first words."""
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "B-").otherwise("I-"), F.upper(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0))).alias("tag"))
-    t = rows(spark, f"VALUES {_NAMED_TAGS}", "id", "tag").union(t)
-    return t.select("id", "tag", ner.tag_type(F.col("tag")).alias("kind"))
+_SPOKEN = "SELECT 1000 * conv_id + turn AS id, turn, coalesce(text, '') AS own, CASE turn % 3 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END AS phrase FROM conversations"
+_RAISED = "CASE " + " ".join(f"WHEN type = '{k}' AND regexp_matches(near, '{'|'.join(ws)}') THEN least(1.0, confidence * 1.1)" for k, ws in vocab.CONTEXT_WORDS.items()) + " ELSE confidence END"
+_EXPECTED = (
+    "WITH x(phrase, text, type, s, e, confidence, normalized, related_dosage, related_drug) AS (VALUES "
+    + ", ".join(f"('{p}', '{t}', '{k}', {a}, {b}, {x}::DOUBLE, '{n}', '{m}', '{r}')" for p, (_, made) in _PHRASES.items() for t, k, a, b, x, n, m, r in made)
+    + f"), y AS (SELECT id, turn, x.*, length(own) + 1 + s AS begins, length(own) + 1 + e AS ends, own || ' ' || phrase AS whole FROM ({_SPOKEN}) JOIN x USING (phrase)), z AS (SELECT *, lower(substr(whole, (greatest(begins - 50, 0) + 1)::BIGINT, (ends + 50 - greatest(begins - 50, 0))::BIGINT)) AS near FROM y) "
+)
 
 
-@named("SELECT * FROM (VALUES ('metformin','drug',0,9,0.99,'','500 mg',''),('500 mg','dosage',10,16,0.75,'500mg','','metformin'),('twice a day','frequency',17,28,0.85,'twice daily','','')) t(text, type, s, e, confidence, normalized, related_dosage, related_drug)".replace("0.99", "0.99::DOUBLE").replace("0.75", "0.75::DOUBLE").replace("0.85", "0.85::DOUBLE"))
+@named(_EXPECTED + f"SELECT id, text, type, begins::INTEGER AS s, ends::INTEGER AS e, round({_RAISED}, 4)::DOUBLE AS confidence, normalized, related_dosage, related_drug FROM z")
 def ner_process(spark, d):
-    e = ner.processed(_ner(spark)).select(F.explode("entities").alias("e"))
+    """A model's entities in every turn of every conversation, after all steps."""
+    e = ner.processed(_ner(spark, d)).select("id", F.explode("entities").alias("e"))
     meta = lambda k: F.coalesce(F.element_at("e.metadata", k), F.lit("")).alias(k)
-    return e.select("e.text", "e.type", F.col("e.start").alias("s"), F.col("e.end").alias("e"), F.round("e.confidence", 4).alias("confidence"), F.coalesce("e.normalized", F.lit("")).alias("normalized"), meta("related_dosage"), meta("related_drug"))
+    return e.select("id", "e.text", "e.type", F.col("e.start").alias("s"), F.col("e.end").alias("e"), F.round("e.confidence", 4).alias("confidence"), F.coalesce("e.normalized", F.lit("")).alias("normalized"), meta("related_dosage"), meta("related_drug"))
 
 
 @named()
@@ -582,6 +599,18 @@ def ner_process_whole(spark, d):
     return e.select("id", "e.text", "e.type", F.col("e.start").alias("s"), F.col("e.end").alias("e"), F.round("e.confidence", 4).alias("confidence"), "e.normalized")
 
 
+_TAGS = "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'B-' ELSE 'I-' END || upper(regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0)) AS tag FROM documents"
+_NAMED_TAGS = ", ".join(f"({-i - 1}, 'B-{k.upper()}')" for i, k in enumerate([*vocab.TAG_TYPES, "nothing"]))
+
+
+@named(f"SELECT id, tag, CASE " + " ".join(f"WHEN contains(lower(tag), '{k}') THEN '{v}'" for k, v in vocab.TAG_TYPES.items()) + f" ELSE 'other' END AS kind FROM (SELECT * FROM (VALUES {_NAMED_TAGS}) t(id, tag) UNION ALL {_TAGS})")
+def ner_tag_map(spark, d):
+    """The types of all tags by name, and of tags made of the documents' first words."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "B-").otherwise("I-"), F.upper(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0))).alias("tag"))
+    t = rows(spark, f"VALUES {_NAMED_TAGS}", "id", "tag").union(t)
+    return t.select("id", "tag", ner.tag_type(F.col("tag")).alias("kind"))
+
+
 def _numbers():
     """A model that finds runs of digits."""
     import re
@@ -613,22 +642,26 @@ def ner_abbrev(spark, d):
     return w.select("qid", "i", ner.abbreviations(F.col("e"))[0]["normalized"].alias("normalized"))
 
 
-@named("SELECT * FROM (VALUES ('dosage','500 mg'),('drug','metformin'),('frequency','twice a day')) t(type, texts)")
+@named(_EXPECTED + "SELECT id, type, text AS texts FROM z")
 def ner_summary(spark, d):
-    e = ner.processed(_ner(spark)).select(F.explode(ner.summary(F.col("entities"))).alias("type", "t"))
-    return e.select("type", joined("t").alias("texts"))
+    """The texts of each type in every turn of every conversation."""
+    e = ner.processed(_ner(spark, d)).select("id", F.explode(ner.summary(F.col("entities"))).alias("type", "t"))
+    return e.select("id", "type", joined("t").alias("texts"))
 
 
-@named("SELECT 3 AS n")
+@named(_EXPECTED + "SELECT id, count(*)::INTEGER AS n FROM z GROUP BY id")
 def ner_unique(spark, d):
-    e = ner.processed(_ner(spark))
-    return e.select(F.size(ner.unique(F.concat("entities", "entities"))).alias("n"))
+    """How many different entities every turn of every conversation has; they are there twice."""
+    return ner.processed(_ner(spark, d)).select("id", F.size(ner.unique(F.concat("entities", "entities"))).alias("n"))
 
 
-@named("SELECT * FROM (VALUES (1,'definition|dosage'),(2,'general')) t(id, types)")
+@named(f"SELECT id, array_to_string(list_sort((CASE turn % 3 WHEN 1 THEN ['definition', 'diagnosis'] ELSE ['definition', 'dosage'] END) || (CASE WHEN turn % 4 = 0 THEN ['treatment'] ELSE [] END)), '|') AS types FROM ({_SPOKEN}) UNION ALL SELECT -1, 'general'")
 def ner_answer_types(spark, d):
-    e = ner.processed(_ner(spark))
-    return e.select("id", joined(ner.answer_types(F.col("entities"), F.lit(None).cast("string"))).alias("types")).union(e.select(F.lit(2), joined(ner.answer_types(F.filter("entities", lambda x: F.lit(False)), F.lit(None).cast("string")))))
+    """What every turn of every conversation answers, by its entities and its section; and a text without any."""
+    e = ner.processed(_ner(spark, d))
+    kind = F.when(F.col("turn") % 4 == 0, "treatment")
+    none = spark.range(1).select(F.lit(-1).cast("long").alias("id"), joined(ner.answer_types(F.array().cast(f"array<{ner.ENTITY}>"), F.lit(None).cast("string"))).alias("types"))
+    return e.select("id", joined(ner.answer_types(F.col("entities"), kind)).alias("types")).union(none)
 
 
 # ---- questions

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,9 +13,9 @@ from .functions import text as tx
 from .functions import vectors as vec
 from .functions import vocab
 from .operators import answer, centroids, chunkers, chunking, embed, enrich, inverted, ner, query, rerank, search, sections
-from .plans import retrieve
+from .plans import backfill, retrieve
 from .sources import documents as src
-from .sources import parsed, store
+from .sources import ledger, parsed, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -831,6 +832,52 @@ def backfill_missing(spark, d):
     return enrich.backfilled(p).select(F.col("id").alias("doc_id"), joined("answer_types").alias("answer_types"))
 
 
+def _as_points(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents as points, by doc_id, with whatever fields of a point they have."""
+    have = {f.split(" ")[0]: f.split(" ", 1)[1] for f in store.POINT.split(", ")}
+    return docs.select(*[(F.col(n) if n in docs.columns else F.lit(None)).cast(t).alias(n) for n, t in have.items()])
+
+
+def _own_table(spark: SparkSession, made: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``made`` makes with a collections' table of its own, which is dropped after it."""
+    name = f"points_{uuid.uuid4().hex}"
+    try:
+        store.create(spark, name)
+        return store.materialised(made(name))
+    finally:
+        for t in (name, f"{name}_ids", f"{name}_filters", f"{name}_done"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+@named("SELECT 1 AS batch, count(*)::BIGINT AS asked, count(*)::BIGINT AS added FROM documents WHERE lang = 'en' UNION ALL SELECT 2, count(*)::BIGINT, count(*) FILTER (WHERE lang IS DISTINCT FROM 'en')::BIGINT FROM documents")
+def ledger_batches(spark, d):
+    """The English documents' points into a table, then those of all documents: what each batch asked for and added."""
+
+    def made(name):
+        p = _as_points(spark, table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.lit("biobert").alias("embedding_type"), F.col("lang").alias("type")))
+        added = [ledger.upsert(p.where("type = 'en'"), name), ledger.upsert(p, name)]
+        return spark.createDataFrame([(i + 1, x["asked"], x["added"]) for i, x in enumerate(added)], "batch int, asked long, added long")
+
+    return _own_table(spark, made)
+
+
+@named(SQL["backfill_missing"])
+def backfill_resumed(spark, d):
+    """The same in a table, by a run that stops after one partition and another that goes on."""
+
+    def made(name):
+        have = table(spark, d, "labels").select("doc_id").distinct().withColumn("_have", F.lit(True))
+        p = table(spark, d, "documents").where("text is not null").join(have, "doc_id", "left")
+        kind = F.when(F.col("lang") == "en", "biobert").otherwise("pubmedbert")
+        p = p.select(F.col("doc_id").cast("string").alias("id"), "text", kind.alias("embedding_type"), F.when(F.col("_have"), F.array(F.lit("kept"))).alias("answer_types"))
+        _as_points(spark, p).write.insertInto(name)
+        backfill.resumed(spark, name, f"{name}_done", limit=1)
+        backfill.resumed(spark, name, f"{name}_done")
+        return spark.read.table(name).select(F.col("id").cast("long").alias("doc_id"), joined("answer_types").alias("answer_types"))
+
+    return _own_table(spark, made)
+
+
 # ---- ranking and answers
 
 _BM25 = r"""

@@ -8,7 +8,8 @@ same tree in plain Python, since array operations pay only for many words.
 
 Splitting texts into words follows the tokenizer file's byte-level pattern; strings of its special tokens in a text
 become their ids.  Defined results: a null or empty text has no ids and decodes to an empty text; texts of any length
-are taken whole; repeated rows are encoded each; other columns take no part.
+are taken whole; rows are rows: repeated ones and those that share a doc_id or have none are encoded each; an empty table
+gives no rows; other columns take no part.
 """
 
 from __future__ import annotations

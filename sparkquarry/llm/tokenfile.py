@@ -13,7 +13,8 @@ streams of doc_ids, of document ends, and of the directory (zeros of each plane;
 blocks, plane by plane, a zlib stream each.  A written manifest names the shards that belong to the output in order; files
 of tasks that were lost or repeated are in no manifest.
 
-Defined results: a null or empty text has only the end id; rows with null doc_id come first; rows that share a doc_id
+Defined results: a null or empty text has only the end id; a text of any length is one document, encoded whole, that may
+fill a shard by itself; rows with null doc_id come first; rows that share a doc_id
 stand side by side, ordered by a hash of the text, then text (so one doc_id with very many rows is split over tasks); an
 empty table has an empty manifest; other columns take no part.
 """

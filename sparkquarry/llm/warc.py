@@ -11,7 +11,8 @@ revisits of it (identical-payload-digest): they keep the HTTP head, with its Con
 the payload.  Tasks hold one record and one block at a time; a file's name holds the attempt, and only files in a written
 manifest belong to the output, so lost or repeated tasks leave nothing behind that is read.
 
-Defined results: a null html is an empty payload; smaller payloads are all responses; rows that share the smallest
+Defined results: a null html is an empty payload; a payload of any length is one record, held whole by the task that
+writes or reads it; smaller payloads are all responses; rows that share the smallest
 page_id of equal payloads are all responses; a null page_id is kept and is never referred to, and such a row revisits
 like others; an empty table gives no archives and no rows; other columns take no part.
 """

@@ -798,9 +798,10 @@ def entity_filters(spark, d):
     return query.enhanced(_questions(spark, d)).select("qid", *[joined(n).alias(n) for n in query.PLURAL.values()])
 
 
-@named("SELECT 1 AS qid, 'metformin dosage|glucophage dosage|fortamet dosage|glumetza dosage|metformin medication information|metformin drug|metformin dose|how much metformin' AS texts")
+@named()
 def search_variants(spark, d):
-    return query.enhanced(_questions(spark, d)).where("qid = 1").select("qid", joined("search_texts").alias("texts"))
+    """All texts that each question is searched by."""
+    return query.enhanced(_questions(spark, d)).select("qid", joined("search_texts").alias("texts"))
 
 
 @named()

@@ -14,6 +14,8 @@ from ..sources.store import materialised
 
 ENTITY_FIELDS = ("drugs", "diseases", "procedures")
 ASKED = ("types", "chunk_types", *ENTITY_FIELDS, "answer_filter", "boost_sections")
+#: What filters, boosts and ranks look at in a point.
+LOOKED_AT = ("id", "embedding_type", "type", "chunk_type", "answer_types", *ENTITY_FIELDS, "boost_section")
 #: Candidates of a collection, questions that are sent to all executors at most and numbers in their vectors at most, points
 #: of a collection's part beyond that.
 TOP, SENT, SENT_NUMBERS, PART = 50, 500, 1 << 20, 50_000
@@ -159,7 +161,19 @@ def search(queries: DataFrame, points: DataFrame, k: int = TOP, mode: str = "any
     """
     points = candidates(points)
     payload = [c for c in points.columns if c != "embedding"]
-    return boosted(first(_paired(questions(queries), points, sent), mode, k), payload)
+    rest = [c for c in payload if c not in LOOKED_AT]
+    # pairs hold what filters and boosts look at; a point's other columns are read for the hits alone
+    points = points.withColumn("_row", F.xxhash64(*[c for c, t in points.dtypes if c in payload and "map<" not in t]))
+    hit = boosted(first(_paired(questions(queries), points.select(*LOOKED_AT, "embedding", "_row"), sent), mode, k), [*LOOKED_AT, "_row"])
+    if rest:
+        hit = materialised(hit)
+        one = hit.select(F.col("id").alias("_id"), F.col("embedding_type").alias("_type"), F.col("_row").alias("_own")).distinct()
+        # k rows a question at most: small where the questions were few
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("embedding_type") == F.col("_type")) & (F.col("_row") == F.col("_own"))
+        found = points.select("id", "embedding_type", "_row", *rest).join(F.broadcast(one) if one.count() <= SENT * TOP else one, same, "left_semi").dropDuplicates(["id", "embedding_type", "_row"])
+        found = found.select(F.col("id").alias("_id"), F.col("embedding_type").alias("_type"), F.col("_row").alias("_own"), *rest)
+        hit = hit.join(found, same)
+    return hit.select("qid", "original_score", "score", "boost_applied", *payload, "rank")
 
 
 def merged(hits: DataFrame, k: int = TOP) -> DataFrame:

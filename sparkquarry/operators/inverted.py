@@ -91,7 +91,7 @@ def rounds(queries: DataFrame, path: str, k: int) -> dict[str, DataFrame]:
     for n in range(TURNS):
         own = a.where(F.col("turn") == n).join(bounds, "qid")
         # blocks in which a document that has had no term so far may still reach the bound
-        admitted = materialised(own.join(b.select("term", "level", "block_largest"), "term").where(F.col("block_largest") + F.col("now") + F.col("later") - F.col("largest") >= F.col("bound")).select("qid", "term", "level"))
+        admitted = own.join(b.select("term", "level", "block_largest"), "term").where(F.col("block_largest") + F.col("now") + F.col("later") - F.col("largest") >= F.col("bound")).select("qid", "term", "level")
         tables[f"met_{n}"] = met = admitted.join(postings, ["term", "level"]).select("qid", "id", "impact")
         if left is not None:
             # documents that are in the running get their other postings as well
@@ -103,7 +103,8 @@ def rounds(queries: DataFrame, path: str, k: int) -> dict[str, DataFrame]:
         reached = sums.withColumn("_r", F.row_number().over(kth)).where(F.col("_r") <= k).groupBy("qid").agg(F.when(F.count("*") == k, F.min("sum") - SLACK).alias("reached"))
         bounds = materialised(bounds.join(reached, "qid", "left").select("qid", F.greatest("bound", "reached").alias("bound")))
         later = a.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("turn") > n, F.col("largest"))), F.lit(0.0)).alias("later"))
-        left = materialised(sums.join(bounds, "qid").join(later, "qid").where(F.col("sum") + F.col("later") >= F.col("bound")).select("qid", "id", "sum"))
+        # sums and bounds are written tables: what is left of them is read where it is needed
+        left = sums.join(bounds, "qid").join(later, "qid").where(F.col("sum") + F.col("later") >= F.col("bound")).select("qid", "id", "sum")
     return tables | {"bounds": bounds, "scored": left.select("qid", "id", F.col("sum").alias("score"))}
 
 

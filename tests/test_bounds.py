@@ -32,3 +32,7 @@ def same(spark, odd, name):
 def test_intent_scores(spark, odd):
     same(spark, odd, "intent_scores")
     same(spark, odd, "section_classify_strict")
+
+
+def test_query_entities(spark, odd):
+    same(spark, odd, "query_entities")

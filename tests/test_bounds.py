@@ -36,3 +36,7 @@ def test_intent_scores(spark, odd):
 
 def test_query_entities(spark, odd):
     same(spark, odd, "query_entities")
+
+
+def test_query_entities_by_type(spark, odd):
+    same(spark, odd, "query_entities_by_type")

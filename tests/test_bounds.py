@@ -40,3 +40,7 @@ def test_query_entities(spark, odd):
 
 def test_query_entities_by_type(spark, odd):
     same(spark, odd, "query_entities_by_type")
+
+
+def test_retrieval_strategy(spark, odd):
+    same(spark, odd, "retrieval_strategy")

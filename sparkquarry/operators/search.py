@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.vectors import dot, unit
+from ..functions.vectors import unit
 from ..sources.store import materialised
+from . import blocks
+from .blocks import ENTITY_FIELDS
 
-ENTITY_FIELDS = ("drugs", "diseases", "procedures")
 ASKED = ("types", "chunk_types", *ENTITY_FIELDS, "answer_filter", "boost_sections")
 #: What filters, boosts and ranks look at in a point.
 LOOKED_AT = ("id", "embedding_type", "type", "chunk_type", "answer_types", *ENTITY_FIELDS, "boost_section")
-#: Candidates of a collection, questions that are sent to all executors at most and numbers in their vectors at most, points
-#: of a collection's part beyond that.
-TOP, SENT, SENT_NUMBERS, PART = 50, 500, 1 << 20, 50_000
+#: Candidates of a collection, questions that are sent to all executors at most and numbers in their vectors at most; beyond
+#: that, questions of a block and points of a collection's part.
+TOP, SENT, SENT_NUMBERS, BLOCK, PART = 50, 500, 1 << 20, 8192, 50_000
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -32,21 +35,6 @@ def routed(queries: DataFrame) -> DataFrame:
     return queries.withColumn("embedding_type", F.explode(kinds))
 
 
-def matches(mode: str = "any") -> Column:
-    """Which points a question may get. ``must``: the document type, if asked for. ``any``: of the conditions on chunk type,
-    entities and answer types that are set at least one has to hold; ``boost_only`` leaves those to scoring."""
-    must = (F.coalesce(F.size("q.types"), F.lit(0)) <= 0) | F.array_contains("q.types", F.col("p.type"))
-    must = F.coalesce(must, F.lit(False))
-    if mode == "boost_only":
-        return must
-    set_ = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    conditions = [(set_("q.chunk_types"), F.coalesce(F.array_contains("q.chunk_types", F.col("p.chunk_type")), F.lit(False)))]
-    conditions += [(set_(f"q.{f}"), overlaps(F.col(f"p.{f}"), F.col(f"q.{f}"))) for f in ENTITY_FIELDS]
-    conditions += [(set_("q.answer_filter"), overlaps(F.col("p.answer_types"), F.col("q.answer_filter")))]
-    none_set = reduce(lambda a, b: a & b, [~c for c, _ in conditions])
-    return must & (none_set | reduce(lambda a, b: a | b, [c & hit for c, hit in conditions]))
-
-
 def boosts() -> list[tuple[str, float, Column]]:
     """(name, factor, when) of the score's boosts, in order."""
     low = lambda c: F.transform(c, lambda x: F.lower(x))
@@ -78,66 +66,55 @@ def candidates(points: DataFrame) -> DataFrame:
     return points
 
 
-def products(vectors: dict[str, np.ndarray]):
-    """A function of (embedding, embedding type) columns: cosines with all of the type's unit vectors, in their order.
+def best(queries: DataFrame, points: DataFrame, k: int, mode: str = "any", sent: int = SENT) -> DataFrame:
+    """Each question's first k points by cosine that it may get, aliases q and p, and original_score.
 
-    It is null for a vector that is null, has no length, or is not as long as the type's.  A row's products are summed in
-    the same order wherever it stands, so equal vectors have equal cosines.
-    """
-
-    @F.pandas_udf("array<double>")
-    def run(embedding: pd.Series, kind: pd.Series) -> pd.Series:
-        out: list = [None] * len(embedding)
-        for name, own in vectors.items():
-            rows = [i for i, (e, k) in enumerate(zip(embedding, kind, strict=True)) if k == name and e is not None and len(e) == own.shape[1]]
-            if rows:
-                m = np.stack([embedding.iloc[i] for i in rows]).astype(float)
-                n = np.sqrt((m * m).sum(1))
-                with np.errstate(all="ignore"):
-                    m /= n[:, None]
-                cosines = np.stack([(m * q).sum(1) for q in own], 1)
-                for i, c in zip(np.array(rows)[np.isfinite(n) & (n > 0)], cosines[np.isfinite(n) & (n > 0)], strict=True):
-                    out[i] = c
-        return pd.Series(out, index=embedding.index, dtype=object)
-
-    return run
-
-
-def _paired(queries: DataFrame, points: DataFrame, sent: int) -> DataFrame:
-    """Each question with the points of its collection, aliases q and p, and original_score.
-
-    Few questions go to all executors as a matrix (their number and size are checked): a collection is not moved at all,
-    and products are made in Arrow batches.  More are copied to the parts of each collection, as many as its points ask
-    for, which a hash of the id spreads evenly, and met in an ordinary join.
+    Few questions go to all executors as a matrix (their number and size are checked): a collection is not moved at all.
+    More are met in blocks: each block of BLOCK questions with each part of a collection, of about PART points by a hash of
+    the id. Either way a task keeps k points a question, and its memory does not grow with the collection.
     """
+    spark = queries.sparkSession
+    points = points.where("embedding_type is not null")
+    schema = points.drop("embedding").withColumns({"original_score": F.lit(0.0), "_no": F.lit(0).cast("long")}).schema
     asked = queries.limit(sent + 1).collect()
-    lengths = {(r["embedding_type"], len(r["vector"])) for r in asked}
-    alike = len(lengths) == len({k for k, _ in lengths})
-    if alike and len(asked) <= sent and sum(len(r["vector"]) for r in asked) <= SENT_NUMBERS:
-        vectors: dict[str, list] = {}
-        numbered = []
-        for no, r in enumerate(asked):
-            own = vectors.setdefault(r["embedding_type"], [])
-            numbered.append((*r, no, len(own)))
-            own.append(r["vector"])
-        spark = queries.sparkSession
-        q = spark.createDataFrame(numbered, spark.createDataFrame([], queries.schema).withColumns({"_no": F.lit(0), "_at": F.lit(0)}).schema)
-        scores = products({k: np.array(v) for k, v in vectors.items()})(F.col("embedding"), F.col("embedding_type"))
-        p = points.where(F.col("embedding_type").isin(list(vectors))).withColumn("_scores", scores)
-        p = p.where("_scores is not null").select(*points.columns, F.posexplode("_scores").alias("_at", "original_score")).alias("p")
-        return F.broadcast(q).alias("q").join(p, (F.col("q.embedding_type") == F.col("p.embedding_type")) & (F.col("q._at") == F.col("p._at")))
-    queries, points = materialised(queries.withColumn("_no", F.monotonically_increasing_id())), points.withColumn("_unit", unit(F.col("embedding")))
-    parts = max(1, -(-points.count() // PART))
-    q = queries.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("q")
-    p = points.where("_unit is not null").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).alias("p")
-    pairs = q.join(p, (F.col("q.embedding_type") == F.col("p.embedding_type")) & (F.col("q._part") == F.col("p._part")) & (F.size("q.vector") == F.size("p._unit")))
-    return pairs.withColumn("original_score", dot(F.col("q.vector"), F.col("p._unit")))
-
-
-def first(pairs: DataFrame, mode: str, k: int) -> DataFrame:
-    """The first k points by cosine of each question that it may get."""
-    top = Window.partitionBy("q._no", "p.embedding_type").orderBy(F.desc("original_score"), "p.id")
-    return pairs.where(matches(mode)).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
+    if len(asked) <= sent and sum(len(r["vector"]) for r in asked) <= SENT_NUMBERS:
+        asked = [(*r, n) for n, r in enumerate(asked)]
+        q = spark.createDataFrame(asked, queries.withColumn("_no", F.lit(0).cast("long")).schema)
+        kinds = {kind: _columns([dict(zip(q.columns, r, strict=True)) for r in asked if r[1] == kind]) for kind in {r[1] for r in asked}}
+
+        def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = {kind: blocks.Best(rows, k, mode) for kind, rows in kinds.items()}
+            for batch in batches:
+                for kind, b in own.items():
+                    b.feed(batch.filter(pc.equal(batch.column("embedding_type"), kind)))
+            for b in own.values():
+                if (hits := b.rows()) is not None:
+                    yield from hits.select(schema.names).to_batches()
+
+        found = points.where(F.col("embedding_type").isin(list(kinds))).mapInArrow(here, schema)
+    else:
+        q = materialised(queries.withColumn("_no", F.monotonically_increasing_id()))
+        n, parts = -(-q.count() // BLOCK), max(1, -(-points.count() // PART))
+        block = F.pmod(F.xxhash64("_no"), F.lit(n)).cast("int")
+        left = q.withColumns({"_block": block, "_part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+        right = points.withColumns({"_part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "_block": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
+        key = ["embedding_type", "_block", "_part"]
+
+        def met(some: pa.Table, own: pa.Table) -> pa.Table:
+            hits = None
+            if some.num_rows and own.num_rows:
+                hits = blocks.best(_columns(some.to_pylist()), own.drop_columns(["_block", "_part"]).combine_chunks().to_batches(), k, mode)
+            return hits.select(schema.names) if hits is not None else to_arrow_schema(schema).empty_table()
+
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(met, schema)
+    top = Window.partitionBy("_no", "embedding_type").orderBy(F.desc("original_score"), "id")
+    p = found.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
+    p = p.select(F.col("_no").alias("_n"), "original_score", *[c for c in points.columns if c != "embedding"]).alias("p")
+    return (F.broadcast(q) if len(asked) <= sent else q).alias("q").join(p, F.col("q._no") == F.col("p._n"))
+
+
+def _columns(rows: list[dict]) -> dict[str, list]:
+    return {c: [r[c] for r in rows] for c in ("_no", "vector", *blocks.ANSWERS)}
 
 
 def boosted(hit: DataFrame, payload: list[str]) -> DataFrame:
@@ -156,6 +133,9 @@ def search(queries: DataFrame, points: DataFrame, k: int = TOP, mode: str = "any
     ``queries``: qid, embedding_type, vector, and whichever filters are set (types, chunk_types, drugs, diseases,
     procedures, answer_filter, boost_sections).
 
+    mode: ``any``: of the conditions on chunk type, entities and answer types that a question sets at least one has to hold, and
+    the document type if it asks for one; ``boost_only``: the document type alone, the others only score.
+
     Vectors that are null, have no length or not the question's length are no hits; a question with such a vector gets
     none.  Each row of queries is a question of its own, also where a qid comes again.
     """
@@ -164,7 +144,7 @@ def search(queries: DataFrame, points: DataFrame, k: int = TOP, mode: str = "any
     rest = [c for c in payload if c not in LOOKED_AT]
     # pairs hold what filters and boosts look at; a point's other columns are read for the hits alone
     points = points.withColumn("_row", F.xxhash64(*[c for c, t in points.dtypes if c in payload and "map<" not in t]))
-    hit = boosted(first(_paired(questions(queries), points.select(*LOOKED_AT, "embedding", "_row"), sent), mode, k), [*LOOKED_AT, "_row"])
+    hit = boosted(best(questions(queries), points.select(*LOOKED_AT, "embedding", "_row"), k, mode, sent), [*LOOKED_AT, "_row"])
     if rest:
         hit = materialised(hit)
         one = hit.select(F.col("id").alias("_id"), F.col("embedding_type").alias("_type"), F.col("_row").alias("_own")).distinct()

@@ -19,12 +19,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.vectors import dot, unit
+from ..functions.vectors import unit
 from ..sources.store import materialised
 from . import search as flat
 
@@ -104,67 +106,123 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/points")
 
 
-def _cells(vectors: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """A function of (vector, embedding type) columns: the type's cells by angle, with the least angle to any of their points."""
-
-    @F.pandas_udf("array<struct<centroid:int,angle:double,least:double>>")
-    def run(vector: pd.Series, kind: pd.Series) -> pd.Series:
+class _Cells:
+    """The cells of all types: numbers, unit centroids and radii; and which of them a question probes: the first ones by angle,
+    or, once it has a reach, those beyond them that may hold points within it."""
+
+    def __init__(self, rows: list, probes: dict[str, int], default: int):
+        self.of = {}
+        for kind in sorted({r["embedding_type"] for r in rows}):
+            own = [r for r in rows if r["embedding_type"] == kind]
+            self.of[kind] = tuple(np.array([r[x] for r in own]) for x in ("centroid", "vector", "radius", "points"))
+        self.probes, self.default = probes, default
+
+    def chosen(self, kind: str, vectors, reach) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Angles, places by angle and choice, a row a question and a column a cell. The angles are summed row by row, so that
+        they are the same wherever they are asked for."""
+        numbers, own, radius, _ = self.of.get(kind, (np.zeros(0, int), np.zeros((0, 0)), np.zeros(0), None))
+        angle = np.full((len(vectors), len(numbers)), np.inf)
+        for i, v in enumerate(vectors):
+            if len(numbers) and own.shape[1] == len(v):
+                angle[i] = np.arccos(np.clip((own * np.asarray(v, float)).sum(1), -1, 1))
+        at = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1, kind="stable")
+        first = at < self.probes.get(kind, self.default)
+        far = np.array([r is not None and r == r for r in reach], bool)
+        r = np.array([0.0 if not f else x for f, x in zip(far, reach, strict=True)])
+        beyond = ~first & (np.maximum(0.0, angle - radius) <= r[:, None])
+        return angle, at, np.where(far[:, None], beyond, first) & np.isfinite(angle)
+
+    def parts(self, wanted: dict[str, set[int]]) -> list[tuple[str, int, int, int]]:
+        """(type, cell, part, pieces): small cells share a part of some PART points, larger ones take a part for each piece."""
         out = []
-        for v, k in zip(vector, kind, strict=True):
-            numbers, own, radius = vectors.get(k, (np.zeros(0, int), np.zeros((0, len(v))), np.zeros(0)))
-            if len(numbers) and own.shape[1] != len(v):
-                numbers, own, radius = numbers[:0], np.zeros((0, len(v))), radius[:0]
-            angle = np.arccos(np.clip(own @ np.asarray(v, float), -1, 1))
-            out.append([{"centroid": int(numbers[i]), "angle": float(angle[i]), "least": float(max(0.0, angle[i] - radius[i]))} for i in np.argsort(angle, kind="stable")])
-        return pd.Series(out, index=vector.index)
-
-    return run
+        for kind, some in wanted.items():
+            part, filled = 0, 0
+            for number, n in zip(self.of[kind][0], self.of[kind][3], strict=True):
+                if number in some:
+                    pieces = max(1, -(-int(n) // flat.PART))
+                    if filled and filled + n > flat.PART:
+                        part, filled = part + 1, 0
+                    out.append((kind, int(number), part, pieces))
+                    part, filled = (part + pieces, 0) if pieces > 1 else (part, filled + n)
+        return out
 
 
-def _first(probes: DataFrame, points: DataFrame, mode: str, k: int, reach: Column | None = None) -> DataFrame:
+def _first(q: DataFrame, points: DataFrame, mode: str, k: int, cells: _Cells) -> DataFrame:
     """The first k points of the cells that questions probe, structs q and p. Only those cells' files are read: their numbers,
-    CENTROIDS a type at most, are in the scan's filter."""
+    CENTROIDS a type at most, are in the scan's filter. Each block of questions meets each part of the cells once."""
+
+    @F.pandas_udf("array<int>")
+    def probed(vector: pd.Series, kind: pd.Series, reach: pd.Series) -> pd.Series:
+        return pd.Series([cells.of[k_][0][cells.chosen(k_, [v], [r])[2][0]].astype(np.int32) if k_ in cells.of else [] for v, k_, r in zip(vector, kind, reach, strict=True)], index=vector.index)
+
+    spark, columns = q.sparkSession, points.columns
+    wanted = {kind: set(numbers) for kind, numbers in q.select("embedding_type", F.explode(probed("vector", "embedding_type", "reach")).alias("c")).groupBy("embedding_type").agg(F.collect_set("c")).collect()}
     where = F.lit(False)
-    for kind, numbers in probes.groupBy("embedding_type").agg(F.collect_set("centroid")).collect():
+    for kind, numbers in wanted.items():
         where = where | ((F.col("embedding_type") == kind) & F.col("centroid").isin(sorted(numbers)))
-    p = points.where(where).withColumn("_unit", unit(F.col("embedding"))).alias("p")
-    on = (F.col("q.embedding_type") == F.col("p.embedding_type")) & (F.col("q.centroid") == F.col("p.centroid"))
-    if reach is not None:
-        on = on & (F.abs(F.col("q.angle") - F.col("p.angle")) <= reach)
-    hit = flat.first(probes.alias("q").join(p, on).withColumn("original_score", dot(F.col("q.vector"), F.col("p._unit"))), mode, k)
-    asked = ["qid", "_no", "embedding_type", "at", *flat.ASKED]
-    return hit.select(F.struct(*[F.col(f"q.{c}") for c in asked]).alias("q"), F.struct(*[F.col(f"p.{c}") for c in points.columns if c != "embedding"]).alias("p"), "original_score")
+    parts = cells.parts(wanted)
+    most = {kind: max(part + pieces for k_, _, part, pieces in parts if k_ == kind) for kind in wanted}
+    n = max(1, -(-q.count() // flat.BLOCK))
+    # a row a cell, CENTROIDS a type at most
+    place = F.broadcast(spark.createDataFrame(parts, "_k string, _c int, _at int, _pieces int"))
+    right = points.where(where).join(place, (F.col("embedding_type") == F.col("_k")) & (F.col("centroid") == F.col("_c")))
+    right = right.select(*columns, (F.col("_at") + F.pmod(F.xxhash64("id"), F.col("_pieces"))).cast("int").alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"))
+    last = F.coalesce(*[F.when(F.col("embedding_type") == kind, m - 1) for kind, m in most.items()], F.lit(None).cast("int"))
+    left = q.withColumn("_block", F.pmod(F.xxhash64("_no"), F.lit(n)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
+    schema = points.drop("embedding").withColumns({"original_score": F.lit(0.0), "_no": F.lit(0).cast("long"), "at": F.lit(0)}).schema
+
+    def met(some: pa.Table, own: pa.Table) -> pa.Table:
+        hits = None
+        if some.num_rows and own.num_rows:
+            asked = flat._columns(some.to_pylist())
+            kind, reach, last = some["embedding_type"][0].as_py(), some["reach"].to_pylist(), some["last"].to_pylist()
+            angle, at, chosen = cells.chosen(kind, asked["vector"], reach)
+            r = np.array([np.inf if x is None else x for x in reach])
+            b = flat.blocks.Best(asked, k, mode)
+            # what questions have found so far bounds what they still look for
+            b.bound = np.array([-2.0 if x is None else x for x in last])
+            own = own.drop_columns(["_part", "_block"]).sort_by("centroid").combine_chunks()
+            of = own["centroid"].to_numpy()
+            turned = own["angle"].to_numpy()
+            edges = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            for begin, end in zip(edges, np.append(edges[1:], len(of)), strict=True):
+                c = int(np.searchsorted(cells.of[kind][0], of[begin]))
+                if chosen[:, c].any():
+                    near = lambda i, j: np.abs(angle[i, c][:, None] - turned[begin:end][j]) <= r[i][:, None]  # noqa: B023, E731
+                    b.feed(own.slice(begin, end - begin).to_batches()[0], chosen[:, c], near)
+            hits = b.rows()
+            if hits is not None:
+                no = np.array(asked["_no"])
+                order = np.argsort(no)
+                i = order[np.searchsorted(no[order], hits["_no"].to_numpy())]
+                hits = hits.append_column("at", pa.array((at[i, np.searchsorted(cells.of[kind][0], hits["centroid"].to_numpy())] + 1).astype(np.int32)))
+        return hits.select(schema.names) if hits is not None else to_arrow_schema(schema).empty_table()
+
+    key = ["embedding_type", "_block", "_part"]
+    top = Window.partitionBy("_no", "embedding_type").orderBy(F.desc("original_score"), "id")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(met, schema).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
+    found = found.select(F.col("_no").alias("_n"), "at", "original_score", F.struct(*[c for c in columns if c != "embedding"]).alias("p"))
+    return q.join(found, F.col("_no") == F.col("_n")).select(F.struct("qid", "_no", "embedding_type", "at", *flat.ASKED).alias("q"), "p", "original_score")
 
 
 def _hits(queries: DataFrame, path: str, k: int, mode: str, exact: bool, probes: int | None) -> DataFrame:
     """The first k points of each question, structs q and p; q.at is the place of the point's cell among the question's."""
     spark = queries.sparkSession
-    vectors: dict[str, tuple] = {}
-    cells = spark.read.parquet(f"{path}/cells").orderBy("embedding_type", "centroid").collect()  # CENTROIDS a type at most
-    for kind in {c["embedding_type"] for c in cells}:
-        own = [c for c in cells if c["embedding_type"] == kind]
-        vectors[kind] = tuple(np.array([c[x] for c in own]) for x in ("centroid", "vector", "radius"))
-    q = flat.questions(queries).withColumn("_no", F.monotonically_increasing_id())
-    q = materialised(q.withColumn("_cells", _cells(vectors)(F.col("vector"), F.col("embedding_type"))))
-    columns = [c for c in q.columns if c != "_cells"]
-    n = F.lit(probes or LEAST)
-    if probes is None:
-        for kind, own in spark.read.parquet(f"{path}/probes").collect():
-            n = F.when(F.col("embedding_type") == kind, F.lit(own)).otherwise(n)
+    own = {} if probes is not None else dict(map(tuple, spark.read.parquet(f"{path}/probes").collect()))  # a row a type
+    # CENTROIDS a type at most
+    cells = _Cells(spark.read.parquet(f"{path}/cells").orderBy("embedding_type", "centroid").collect(), own, probes or LEAST)
+    q = materialised(flat.questions(queries).where(F.col("embedding_type").isin(list(cells.of))).withColumn("_no", F.monotonically_increasing_id()))
     points = flat.candidates(stored(spark, path))
-
-    near = q.select(*columns, F.posexplode("_cells").alias("at", "_c")).where(F.col("at") < n).select(*columns, (F.col("at") + 1).alias("at"), "_c.centroid", "_c.angle")
-    hit = _first(near, points, mode, k)
+    nothing = F.lit(None).cast("double")
+    hit = _first(q.withColumns({"last": nothing, "reach": nothing}), points, mode, k, cells)
     if exact:
         hit = materialised(hit)
-        last = hit.groupBy(F.col("q._no").alias("_n")).agg(F.when(F.count("*") >= k, F.min("original_score")).alias("_last"))
+        last = hit.groupBy(F.col("q._no").alias("_n")).agg(F.when(F.count("*") >= k, F.min("original_score")).alias("last"))
         # with fewer than k hits so far, every cell may hold one
-        reach = F.when(F.col("_last").isNull(), float(np.pi)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_last"))))) + SLACK
-        far = q.join(last, F.col("_no") == F.col("_n"), "left").withColumn("reach", reach)
-        far = far.select(*columns, "reach", F.posexplode("_cells").alias("at", "_c")).where((F.col("at") >= n) & (F.col("_c.least") <= F.col("reach")))
-        far = materialised(far.select(*columns, (F.col("at") + 1).alias("at"), "_c.centroid", "_c.angle", "reach"))
+        reach = F.when(F.col("last").isNull(), float(np.pi)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("last"))))) + SLACK
+        far = materialised(q.join(last, F.col("_no") == F.col("_n"), "left").select(*q.columns, "last", reach.alias("reach")))
         top = Window.partitionBy("q._no", "q.embedding_type").orderBy(F.desc("original_score"), "p.id")
-        hit = hit.unionByName(_first(far, points, mode, k, F.col("q.reach"))).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
+        hit = hit.unionByName(_first(far, points, mode, k, cells)).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
     return hit
 
 

@@ -107,3 +107,28 @@ def test_small_tables(spark, tmp_path):
         centroids.build(p, f"file://{tmp_path}/{name}")
         q = spark.createDataFrame([(1, [1.0, 0.0], "biobert")], "qid long, vector array<double>, embedding_type string")
         assert centroids.search(q, f"file://{tmp_path}/{name}", 5).count() == n
+
+
+def test_blocks_of_questions_meet_parts(spark, index, monkeypatch):
+    """Many questions and points go to tasks in blocks and parts; a task hands on k points a question, not pairs."""
+    rows, path = index
+    q, p = asked(spark, rows), spark.createDataFrame(rows, POINT)
+    want = {x[:3] for x in brute(q, rows, 7)}
+    monkeypatch.setattr(search, "BLOCK", 5)
+    monkeypatch.setattr(search, "PART", 50)
+    assert hits(search.search(q, p, 7, sent=0)) == want
+    assert hits(centroids.search(q, path, 7, probes=1)) == want
+
+
+def test_a_block_of_products_keeps_few(monkeypatch):
+    import pyarrow as pa
+
+    from sparkquarry.operators import blocks
+
+    monkeypatch.setattr(blocks, "NUMBERS", 64)
+    monkeypatch.setattr(blocks, "PAIRS", 3)
+    v = [[1.0, 0.0]] * 40 + [[0.0, 1.0]] * 3 + [[1.0, float("nan")], None, [1.0, None], [0.0, 0.0]]
+    batch = pa.record_batch({"id": pa.array([f"{len(v) - i:03}" for i in range(len(v))]), "embedding": pa.array(v, pa.list_(pa.float32())), "type": pa.array(["a", None] * 23 + ["a"])})
+    t = blocks.best({"_no": [4, 9], "vector": [[1.0, 0.0], [0.0, 1.0]], "types": [None, ["a", None]], **{f: [None, None] for f in blocks.ANSWERS if f != "types"}}, [batch], 3, "any")
+    assert t.num_rows == 6 and [r for r in zip(t["_no"].to_pylist(), t["id"].to_pylist()) if r[0] == 4] == [(4, "008"), (4, "009"), (4, "010")]
+    assert {r[1] for r in zip(t["_no"].to_pylist(), t["id"].to_pylist()) if r[0] == 9} == {"005", "007", "009"}

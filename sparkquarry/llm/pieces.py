@@ -54,14 +54,20 @@ class PieceTable:
         yield from self._values(waiting, encode)
 
     def _values(self, texts: list[list[str]], encode: Callable[[list[str]], Iterable[bytes]]) -> Iterator[bytes]:
-        get = self.table.get
-        values = [list(map(get, keys)) for keys in texts]
-        new = list({k for keys, known in zip(texts, values, strict=True) if None in known for k, v in zip(keys, known, strict=True) if v is None})
+        # in one list, so that what is missing is looked for once
+        keys = [k for ks in texts for k in ks]
+        values = list(map(self.table.get, keys))
+        missing = [i for i, v in enumerate(values) if v is None]
+        new = list(dict.fromkeys([keys[i] for i in missing]))
         made = dict(zip(new, encode([piece_of(k) for k in new]), strict=True))
+        for i in missing:
+            values[i] = made[keys[i]]
         for k, v in made.items():
             cost = getsizeof(k) + getsizeof(v) + _SLOT
             if cost <= self.room and len(k) <= LONGEST:
                 self.room -= cost
                 self.table[k] = v
-        for keys, known in zip(texts, values, strict=True):
-            yield b"".join([made[k] if v is None else v for k, v in zip(keys, known, strict=True)] if None in known else known)
+        at = 0
+        for ks in texts:
+            yield b"".join(values[at : at + len(ks)])
+            at += len(ks)

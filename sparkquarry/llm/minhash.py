@@ -15,7 +15,8 @@ Groups of copies never become all their pairs:
    several components, since a class has another candidate in each of its buckets;
 4. what is left is compared in place: the classes of a bucket come together in blocks of bounded size, first with a byte
    of each of the 200 values, which tells who may link at all (at 0.75 about 50 differ; over DIFFER is 5 deviations more,
-   probability 1e-7), then these with their texts, and only links that join components leave the task.
+   probability 1e-7), then these with their texts, and only links that join components leave the task.  Buckets that hold the
+   same classes are compared once, before either step.
 So whatever shares a bucket is compared, and no step yields more rows than classes have buckets.  All steps are grouped
 aggregates and equi-joins on buckets or classes; hot keys are split by adaptive execution, large buckets into blocks.
 
@@ -180,10 +181,11 @@ def joining(b: pa.RecordBatch) -> list[tuple[int, int]]:
     shared, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     some = times[column] > 1
     row, column = np.repeat(np.arange(len(sets)), sizes)[some], (np.cumsum(times > 1) - 1)[column[some]]
-    both, step = np.zeros((len(sets), len(sets)), np.float32), max(1, CELLS // len(sets))
+    wide = int((times > 1).sum())
+    both, step = np.zeros((len(sets), len(sets)), np.float32), max(1, min(wide, CELLS // len(sets)))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for k in range(0, int((times > 1).sum()), step):
+    for k in range(0, wide, step):
         part = slice(*np.searchsorted(column, [k, k + step]))
         m = np.zeros((len(sets), step), np.float32)
         m[row[part], column[part] - k] = 1
@@ -207,6 +209,13 @@ def joining(b: pa.RecordBatch) -> list[tuple[int, int]]:
     return out
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows (key, id, comp) without the keys that hold the same ids as a smaller one: their pairs are compared there."""
+    held = [F.bit_xor(F.xxhash64("id", F.lit(i))) for i in (0, 1)]
+    same = rows.groupBy("key").agg(F.count("*").alias("n"), held[0].alias("x"), held[1].alias("y")).groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return rows.join(same.select("key"), "key", "left_semi")
+
+
 def compared(mixed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that join components of the same bucket. mixed: key, id, comp."""
 
@@ -220,9 +229,9 @@ def compared(mixed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    by_bytes = in_blocks(mixed.join(classes.select("id", "n", "signs").hint("merge"), "id"), BLOCK)
+    by_bytes = in_blocks(once(mixed).join(classes.select("id", "n", "signs").hint("merge"), "id"), BLOCK)
     some = written(by_bytes.select("key", "p", "q", "i", "id", "comp", "n", "signs").mapInArrow(active, "key long, id long, comp long").distinct())
-    return in_blocks(some.join(texts.hint("merge"), "id"), TEXTS).select("key", "p", "q", "i", "id", "comp", "text").mapInArrow(exact, "a long, b long").distinct()
+    return in_blocks(once(some).join(texts.hint("merge"), "id"), TEXTS).select("key", "p", "q", "i", "id", "comp", "text").mapInArrow(exact, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:

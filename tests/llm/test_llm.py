@@ -277,6 +277,25 @@ def test_near_duplicates(spark, monkeypatch, block, rounds):
     assert sorted(kept) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def test_buckets_of_the_same_classes_are_compared_once(spark):
+    rows = [(k, i, i) for k, ids in ((5, (1, 2)), (3, (1, 2)), (9, (2, 1)), (4, (1, 2, 3)), (6, (7,))) for i in ids]
+    got = {(r.key, r.id) for r in minhash.once(spark.createDataFrame(rows, "key long, id long, comp long")).collect()}
+    assert got == {(3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (6, 7)}
+
+
+def test_two_texts_are_compared_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [edited(i, prose(3, 300), i) for i in range(2)]
+    two = pa.table({"id": [1, 2], "comp": [1, 2], "i": [0, 0], "p": [0, 0], "q": [0, 0], "text": texts}).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    assert minhash.joining(two)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 22
+    tracemalloc.stop()
+
+
 def test_near_copies_without_their_original(spark):
     """Copies of one text with other words changed: most pairs are just below the threshold, some just above."""
     base = prose(7, 120)

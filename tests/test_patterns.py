@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 from sparkquarry.functions import vocab
-from sparkquarry.functions.text import ascii_bounds, matches, whole_words
-from sparkquarry.operators import enrich, ner
+from sparkquarry.functions.text import ascii_bounds, matches, strip, tokens, whole_words
+from sparkquarry.functions.vectors import hash_embedding
+from sparkquarry.operators import chunking, enrich, ner
 
 TEXTS = [
     "", "itis", "arthritis Arthritis, bronchitis-gastritis", "xitis_ _itis 9itis äitis aitisä aitiś", "PINE pine opine alpines statin lovastatin",
@@ -30,3 +31,28 @@ def test_each_pattern_is_in_the_plan_once(spark):
     assert plan.count("regexp_extract_all(") == n
     plan = ner.lexicon(docs, "chunk")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == sum(map(len, ner._LEXICON.values()))
+
+
+def test_words_are_looked_for_in_one_pass_and_entities_ordered_once(spark):
+    docs = spark.createDataFrame([(1, "Aspirin test")], "id long, chunk string")
+    for df in (enrich.entities(docs), ner.lexicon(docs, "chunk")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower().replace("array_contains(", "")
+        assert (plan.count("contains("), plan.count("arrowevalpython")) == (0, 1)
+    some = spark.createDataFrame([("x",)], "t string").withColumn("e", F.array().cast(f"array<{ner.ENTITY}>")).select(ner.related(F.col("e")).alias("r"))
+    assert some._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1
+
+
+def test_chunks_and_vectors_are_made_without_splitting_texts_in_expressions(spark):
+    docs = spark.createDataFrame([("A b, c.",)], "t string")
+    for c in (chunking.split_plain(F.col("t")), hash_embedding(F.col("t"))):
+        assert "regexp_extract_all(" not in docs.select(c)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_chunks_are_the_merged_windows(spark):
+    texts = ["", " ", None, " a b ", *[" ".join(f"w{i}" for i in range(n)) + "  " for n in (511, 512, 513, 561, 562, 974, 975, 1100)], "ä x  ٣ 𝒳a-b" * 200]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    w = F.transform(chunking.merged_windows(tokens(F.col("t"))), lambda x: F.array_join(x, " "))
+    n = F.size(tokens(F.col("t")))
+    want = F.when(n == 0, F.array().cast("array<string>")).when(n <= chunking.SIZE, F.array(strip(F.col("t")))).otherwise(w)
+    for r in d.select("t", want.alias("a"), chunking.split_plain(F.col("t")).alias("b")).collect():
+        assert r.a == r.b, r.t

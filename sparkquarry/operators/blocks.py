@@ -73,14 +73,13 @@ class Best:
         other = None if some is None else unset | some
         return must if other is None else other if must is None else must & other
 
-    def feed(self, points: pa.RecordBatch, among: np.ndarray | None = None, within=None) -> None:
-        """Take in points (id, embedding, what filters look at). among: the questions that ask for them, by default all;
-        within: a function of the numbers of questions and points that says which pairs count."""
+    def feed(self, points: pa.RecordBatch, among: np.ndarray | None = None) -> None:
+        """Take in points (id, embedding, what filters look at). among: the questions that ask for them, by default all."""
         step = max(1, NUMBERS // max(1, len(self.no) if among is None else int(among.sum())))
         for begin in range(0, points.num_rows, step):
-            self._take(points.slice(begin, step), among, begin, within)
+            self._take(points.slice(begin, step), among)
 
-    def _take(self, points: pa.RecordBatch, among, begin: int, within) -> None:
+    def _take(self, points: pa.RecordBatch, among) -> None:
         allowed, place, found = self.allowed(points), None, []
         for length, (rows, q) in self.of.items():
             if among is not None:
@@ -91,8 +90,6 @@ class Best:
             s = q @ p.T
             if allowed is not None:
                 s[~allowed[np.ix_(rows, at)]] = -3
-            if within is not None:
-                s[~within(rows, at + begin)] = -3
             bound = self.bound[rows]
             many = np.flatnonzero((s >= bound[:, None] - ROOM).sum(1) > 2 * self.k)
             if len(many):

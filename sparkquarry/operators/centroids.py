@@ -125,7 +125,8 @@ class _Cells:
         for i, v in enumerate(vectors):
             if len(numbers) and own.shape[1] == len(v):
                 angle[i] = np.arccos(np.clip((own * np.asarray(v, float)).sum(1), -1, 1))
-        at = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1, kind="stable")
+        at = np.empty(angle.shape, np.int32)
+        np.put_along_axis(at, np.argsort(angle, axis=1, kind="stable"), np.arange(angle.shape[1], dtype=np.int32)[None], axis=1)
         first = at < self.probes.get(kind, self.default)
         far = np.array([r is not None and r == r for r in reach], bool)
         r = np.array([0.0 if not f else x for f, x in zip(far, reach, strict=True)])
@@ -181,15 +182,19 @@ def _first(q: DataFrame, points: DataFrame, mode: str, k: int, cells: _Cells) ->
             b = flat.blocks.Best(asked, k, mode)
             # what questions have found so far bounds what they still look for
             b.bound = np.array([-2.0 if x is None else x for x in last])
-            own = own.drop_columns(["_part", "_block"]).sort_by("centroid").combine_chunks()
+            own = own.drop_columns(["_part", "_block"]).sort_by([("centroid", "ascending"), ("angle", "ascending")]).combine_chunks()
             of = own["centroid"].to_numpy()
             turned = own["angle"].to_numpy()
             edges = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             for begin, end in zip(edges, np.append(edges[1:], len(of)), strict=True):
                 c = int(np.searchsorted(cells.of[kind][0], of[begin]))
-                if chosen[:, c].any():
-                    near = lambda i, j: np.abs(angle[i, c][:, None] - turned[begin:end][j]) <= r[i][:, None]  # noqa: B023, E731
-                    b.feed(own.slice(begin, end - begin).to_batches()[0], chosen[:, c], near)
+                i = np.flatnonzero(chosen[:, c])
+                if len(i):
+                    # points that no question reaches go here; which of the others a question does not reach, its bound says
+                    near = begin + np.searchsorted(turned[begin:end], (angle[i, c] - r[i]).min())
+                    far = begin + np.searchsorted(turned[begin:end], (angle[i, c] + r[i]).max(), "right")
+                    if near < far:
+                        b.feed(own.slice(near, far - near).to_batches()[0], chosen[:, c])
             hits = b.rows()
             if hits is not None:
                 no = np.array(asked["_no"])

@@ -17,8 +17,8 @@ _ODD = re.compile("[\t\x0b-\r\x85\xa0  -     　]")
 
 #: Bytes of pieces and ids that a worker keeps; characters of text that are taken in at once; longest piece that is kept.
 KEPT, AT_ONCE, LONGEST = 64 << 20, 1 << 20, 64
-#: Bytes of a table's slot.
-_SLOT = 60
+#: Bytes of a table's slot, and of the smallest entry at least.
+_SLOT, _LEAST = 60, 100
 
 
 def keys_of(text: str) -> list[str]:
@@ -62,12 +62,23 @@ class PieceTable:
         made = dict(zip(new, encode([piece_of(k) for k in new]), strict=True))
         for i in missing:
             values[i] = made[keys[i]]
-        for k, v in made.items():
-            cost = getsizeof(k) + getsizeof(v) + _SLOT
-            if cost <= self.room and len(k) <= LONGEST:
-                self.room -= cost
-                self.table[k] = v
+        self._keep(made)
         at = 0
         for ks in texts:
             yield b"".join(values[at : at + len(ks)])
             at += len(ks)
+
+    def _keep(self, made: dict[str, bytes]) -> None:
+        if self.room < _LEAST or not made:
+            return
+        short = {k: v for k, v in made.items() if len(k) <= LONGEST}
+        cost = sum(map(getsizeof, short)) + sum(map(getsizeof, short.values())) + _SLOT * len(short)
+        if cost <= self.room:
+            self.room -= cost
+            self.table.update(short)
+            return
+        for k, v in short.items():
+            cost = getsizeof(k) + getsizeof(v) + _SLOT
+            if cost <= self.room:
+                self.room -= cost
+                self.table[k] = v

@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from .pieces import PieceTable
 MAGIC, HEAD = b"WVMX0002", struct.Struct("<8sQQIQQQ")
 #: Ids in a shard (a longer document is a shard of its own), bits of a plane's block, blocks that a reader keeps unpacked.
 SHARD_IDS, BLOCK, OPEN = 1 << 21, 1 << 17, 64
-#: What stands for a null doc_id; pieces that one call of the library encodes together.
-NO_ID, TOGETHER = -(1 << 63), 64
+#: What stands for a null doc_id; pieces with marks between them, and without, that the library takes as one text.
+NO_ID, TOGETHER, SHARED = -(1 << 63), 64, 16
 #: Bytes of pieces that a worker keeps.
 KEPT = 128 << 20
 
@@ -220,18 +221,17 @@ class LibraryCodec:
         """The ids of pieces that each begin with a space and end with what is none: one after another they are cut as alone."""
         for k in range(0, len(pieces), 4096):
             part = pieces[k : k + 4096]
-            shared = [part[j : j + TOGETHER] for j in range(0, len(part), TOGETHER)]
-            for own, e in zip(shared, self.library.encode_batch_fast(list(map("".join, shared)), add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = np.cumsum([len(p.encode()) for p in own])
-                bytes_ = np.cumsum(self.sizes[ids])
-                at = np.searchsorted(bytes_, ends)
-                if len(ids) and bytes_[-1] == ends[-1] and (bytes_[np.minimum(at, len(ids) - 1)] == ends).all():
-                    raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
-                    yield from [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
-                else:
-                    # an id whose bytes are not those of the text, or that goes beyond a piece
-                    yield from self._marked(own)
+            made = self.library.encode_batch_fast(["".join(part[j : j + SHARED]) for j in range(0, len(part), SHARED)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable([e.ids for e in made]), "<u4")
+            ends = np.cumsum([len(p.encode()) for p in part])
+            bytes_ = np.cumsum(self.sizes[ids])
+            at = np.searchsorted(bytes_, ends)
+            if len(ids) and bytes_[-1] == ends[-1] and (bytes_[np.minimum(at, len(ids) - 1)] == ends).all():
+                raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+                yield from [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                # an id whose bytes are not those of the text, or that goes beyond a piece
+                yield from self._marked(part)
 
     def _marked(self, pieces: list[str]) -> Iterator[bytes]:
         by, together = self.special[0] if self.special else "", TOGETHER if self.special else 1

@@ -17,3 +17,13 @@ def test_joined_pieces_have_the_ids_of_each(together, monkeypatch):
     monkeypatch.setattr(codec, "_marked", lambda own: marked.extend(own) or iter(()))
     assert [memoryview(x).cast("I").tolist() for x in codec._joined([p for p, _ in plain])] == [ids for _, ids in plain]
     assert not marked
+
+
+def test_a_table_keeps_to_its_bytes():
+    from sparkquarry.llm.pieces import PieceTable
+
+    made = {f"k{i}": b"1234" for i in range(50)} | {"x" * 65: b"1234"}
+    whole, part, none = PieceTable(1 << 20), PieceTable(1000), PieceTable(99)
+    for t in (whole, part, none):
+        t._keep(made)
+    assert len(whole.table) == 50 and 0 < len(part.table) < 50 and part.room >= 0 and not none.table
